@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language, packing, quality, secrets_scan, topk
+from . import decontaminate, html_text, jaccard_join, language, lm_score, packing, quality, secrets_scan, topk, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +57,13 @@ def op9_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": op1_training_order,
     "op2_html_text": op2_html_text,
     "op3_exact_topk": op3_exact_topk,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_lm_score": op7_lm_score,
     "op8_language_id": op8_language_id,
     "op9_quality_vote": op9_quality_vote,
     "op10_secret_scan": op10_secret_scan,
