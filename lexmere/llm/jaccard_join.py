@@ -335,3 +335,21 @@ def _links(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, pe
     again = own.join(dealt, "doc_id").select("doc_id", "text", "one", "two", "blocks")
     sets = again.mapInArrow(shingled, "rep long, shingles binary, blocks array<string>").select("rep", "shingles", F.explode("blocks").alias("block"))
     return sets.groupBy("block").applyInArrow(_join_block(percent), "a long, b long")
+
+
+def duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The doc_ids of all but the first document of each component."""
+    found = jaccard_join(docs, width, percent, id_col, text_col)
+    return found.where("component_id < doc_id").select("doc_id").distinct()
+
+
+def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the duplicates; a row without an id stays, and of rows that repeat an id and a text one stays."""
+    gone = scratch.table(duplicates(docs, width, percent, id_col, text_col).withColumnRenamed("doc_id", "gone_id"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(id_col).isNull()))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import with_rest
+
 LENGTH = 192
 WINDOWS = 12_000
 PER_DOCUMENT = 6
@@ -164,8 +166,8 @@ def train(labelled: DataFrame) -> Network | None:
     return Network(labels).fit(x, y) if len(x) else None
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, lang_pred, score."""
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per document: doc_id, lang_pred, score; with carry also text, and rest with all other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +201,13 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 for d in np.flatnonzero(sums > 0):
                     best = int(totals[d].argmax())
                     pred[d], score[d] = network.labels[best], min(1.0, totals[d, best] / sums[d])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            kept = [batch.column(k) for k in (1, 2)] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), *kept], names=["doc_id", "lang_pred", "score", "text", "rest"][: 3 + len(kept)])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own, rest = with_rest(docs, id_col, text_col)
+    if carry:
+        return own.mapInArrow(run, f"doc_id long, lang_pred string, score double, text string, rest {rest}")
+    return own.drop("rest").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
