@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = scratch.table(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = scratch.table(_small_star(_large_star(now)).distinct(), "edges")
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break

@@ -4,16 +4,18 @@
 2. Which sets can meet: two linked sets of at most r shingles differ in at most
    k = 2r(1-t)/(1+t) of them. The hash range is cut in more than k + 1 parts, so
    some part agrees exactly; its signature is a key. Sets meet only in keys, and
-   a key's members stand in a chain by size, so a group of m sets gives m - 1
-   pairs. A set with too many empty parts for this argument adds their keys too.
-3. The chains' connected components bound the join: linked sets share one. They
+   a key's sets are tied to one of them, so a group of m sets gives m - 1 pairs.
+   A set with too many empty parts for this argument adds their keys too. Keys
+   travel sorted and packed, one row for a task and a range of keys.
+3. The ties' connected components bound the join: linked sets share one. They
    are dealt into blocks of bounded size; a component above the bound is cut in
    pieces and every two pieces meet in a block.
-4. A block is joined by T-occurrence search: sets come by size, the lists of a
-   set's shingles hold the components seen so far, the T - 1 longest are put
-   aside, the rest is heap-merged, candidates are probed in the long lists
-   (DivideSkip), and members of components that can reach T are counted exactly.
-   Members of the set's own component need no count: the link would add nothing.
+4. A block is joined by T-occurrence search: sets come by size, a set's T - 1
+   longest inverted lists are put aside, the rest is heap-merged, and what occurs
+   there is probed in the long lists by binary search (DivideSkip). Sets of the
+   same component need no count: the link would add nothing. Where even the short
+   lists are long, as among thousands of near copies, all lists are counted at
+   once as rows of bits.
 
 Defined results: null, empty and white-space texts have an empty set, link with
 nothing and are their own component. Repeated rows link with each other. A null
@@ -24,7 +26,6 @@ two named columns are read.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,14 @@ from .components import components
 from .textscan import NON_SPACE, mix, scan, slices
 
 SLICE_BYTES = 2 << 20
-#: shingles in a block, and members of one piece of an oversized component
-BLOCK_SHINGLES = 4_000_000
-PIECE_MEMBERS = 16_384
+#: shingles in a block of small components, and the size of one piece of an oversized component
+BLOCK_SHINGLES = 1_000_000
+PIECE_SHINGLES = 4_000_000
+PIECE_MEMBERS = 8_192
+#: short lists of more entries than this are counted as bit rows
+LONG_MERGE = 4_000
+#: keys that a task holds before it sends them
+HELD_KEYS = 4_000_000
 #: lists of documents to read again are broadcast up to so many rows
 BROADCAST_ROWS = 1_000_000
 
@@ -127,147 +133,213 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _classes_and_keys(own: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows of two kinds: a document with its set's size and hashes, or (key null otherwise) a key of a set."""
+COLUMNS = "doc_id long, n long, one long, two long, range int, blob binary, a long, b long"
+
+
+def _row(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of COLUMNS, null where no column is given."""
+    kinds = {"range": pa.int32(), "blob": pa.binary()}
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(rows, kinds.get(x, pa.int64()))) for x in names], names=names)
+
+
+def _pack_keys(key: np.ndarray, one: np.ndarray) -> bytes:
+    """Sorted distinct keys as differences of 48 bits where they fit, and the set of each by number."""
+    sets, at = np.unique(one, return_inverse=True)
+    gap = np.diff(key, prepend=U(0))
+    gap[0] = 0
+    small = U(gap.max()) < U(1 << 48)
+    parts = [gap.astype("<u4"), (gap >> U(32)).astype("<u2")] if small else [gap.astype("<u8")]
+    head = np.array([len(key), len(sets), small], "<u8")
+    wide = "<u2" if len(sets) < 1 << 16 else "<u4"
+    return b"".join(x.tobytes() for x in (head, key[:1].astype("<u8"), *parts, at.astype(wide), sets.astype("<i8")))
+
+
+def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m, small = (int(x) for x in np.frombuffer(blob, "<u8", 3))
+    at = 32
+    start = np.frombuffer(blob, "<u8", 1, 24)
+
+    def take(kind: str, k: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(blob, kind, k, at)
+        at += out.nbytes
+        return out
+
+    gap = take("<u4", n).astype(U) | (take("<u2", n).astype(U) << U(32)) if small else take("<u8", n)
+    which = take("<u2" if m < 1 << 16 else "<u4", n)
+    return start + np.cumsum(gap, dtype=U), take("<i8", m)[which]
+
+
+def _ties(key: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys and a set of each, and pairs that tie a key's other sets to it."""
+    by = np.lexsort((one, key))
+    key, one = key[by], one[by]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    centre = one[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    apart = centre != one
+    pairs = np.unique(np.stack([centre[apart], one[apart]], 1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
+    return key[first], one[first], pairs[:, 0], pairs[:, 1]
+
+
+def _classes_and_keys(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """Rows of three kinds: a document with its set's size and hashes; keys of a range, packed; a pair of sets.
+
+    Sets of one task that share a key are paired at once and send the key once,
+    so a range receives a key at most as often as there are tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, known, seen = Levels(percent), {}, set()
+        levels, known = Levels(percent), {}
+        keys: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            key, one, a, b = _ties(np.concatenate(keys), np.concatenate(sets))
+            keys.clear()
+            sets.clear()
+            if len(a):
+                yield _row(len(a), a=pa.array(a), b=pa.array(b))
+            to = ((key >> U(32)) * U(ranges)) >> U(32)
+            cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+            for x, y in zip(cut[:-1], cut[1:]):
+                yield _row(1, range=pa.array([int(to[x])], pa.int32()), blob=pa.array([_pack_keys(key[x:y], one[x:y])], pa.binary()))
+
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                size, one, two, keys, of = [], [], [], [], []
+                size, one, two = [], [], []
                 with np.errstate(over="ignore"):
-                    for k, own_set in enumerate(shingle_sets(part.column(1), width)):
+                    for own_set in shingle_sets(part.column(1), width):
                         size.append(len(own_set))
                         a, b = set_hashes(own_set)
                         one.append(a)
                         two.append(b)
-                        if not len(own_set) or a in seen:
-                            continue
-                        if len(seen) < 500_000:  # only spares repeated keys: they are told apart later in any case
-                            seen.add(a)
-                        for x in signatures(own_set, mix(own_set ^ SALT_B), levels, known):
+                        for x in signatures(own_set, mix(own_set ^ SALT_B), levels, known) if len(own_set) else ():
                             keys.append(x)
-                            of.append(np.full(len(x), k))
-                n, one = np.array(size, np.int64), np.array(one, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(one), pa.array(two, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "one", "two", "key"])
-                if keys:
-                    key, at = np.concatenate(keys).view(np.int64), np.concatenate(of)
-                    none = pa.nulls(len(key), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(n[at]), pa.array(one[at]), none, pa.array(key)], names=["doc_id", "n", "one", "two", "key"])
+                            sets.append(np.full(len(x), a, np.int64))
+                            held += len(x)
+                    yield _row(part.num_rows, doc_id=part.column(0), n=pa.array(size, pa.int64()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()))
+                    if held > HELD_KEYS:
+                        yield from flush()
+                        held = 0
+        with np.errstate(over="ignore"):
+            yield from flush()
 
-    return own.mapInArrow(run, "doc_id long, n long, one long, two long, key long")
+    return own.mapInArrow(run, COLUMNS)
+
+
+def _tied(table: pa.Table) -> pa.Table:
+    """The pairs of a range's keys."""
+    found = [_unpack_keys(x.as_buffer()) for x in table["blob"].combine_chunks()]
+    _, _, a, b = _ties(np.concatenate([k for k, _ in found]), np.concatenate([o for _, o in found]))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 class Block:
-    """T-occurrence join of the sets of one block; roots[i] is the component of set i."""
+    """T-occurrence join of the sets of one block; join() gives the component of each set."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent = percent
-        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        self.order = order
-        self.size = np.array([len(sets[i]) for i in order], np.int64)
-        flat = np.concatenate([sets[i] for i in order]) if sets else np.empty(0, U)
-        owner = np.repeat(np.arange(len(order)), self.size)
+        self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        n = len(self.order)
+        self.size = np.array([len(sets[i]) for i in self.order], np.int64)
+        flat = np.concatenate([sets[i] for i in self.order]) if n else np.empty(0, U)
+        owner = np.repeat(np.arange(n), self.size)
         _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count > 1
-        renamed = np.cumsum(shared) - 1
+        shared = count > 1  # a shingle of one set alone is in no overlap
         keep = shared[code]
-        code, owner = renamed[code[keep]], owner[keep]
-        self.first = np.searchsorted(owner, np.arange(len(order) + 1))
-        self.code = code
-        by = np.argsort(code, kind="stable")
+        self.code, owner = (np.cumsum(shared) - 1)[code[keep]], owner[keep]
+        self.first = np.searchsorted(owner, np.arange(n + 1))
+        by = np.argsort(self.code, kind="stable")
         self.post_owner = owner[by]
-        self.post_first = np.searchsorted(code[by], np.arange(int(shared.sum()) + 1))
-        self.lists: list[list[int]] = [[] for _ in range(int(shared.sum()))]
-        self.label = np.arange(len(order))
-        self.members = {i: [i] for i in range(len(order))}
-        self.recent: dict[int, list[int]] = {i: [i] for i in range(len(order))}
-
-    def linked(self, overlap: np.ndarray, n: int, other: np.ndarray) -> np.ndarray:
-        return 100 * overlap >= self.percent * (n + other - overlap)
-
-    def _list(self, c: int) -> list[int]:
-        """The components seen for a shingle, in order; stale names are replaced."""
-        own = self.lists[c]
-        now = sorted({int(self.label[x]) for x in own})
-        if now != own:
-            self.lists[c] = now
-        return now
-
-    def _meets(self, x: int, root: int) -> int:
-        """A member of the component linked with x, or -1."""
-        mine = self.code[self.first[x] : self.first[x + 1]]
-        n = int(self.size[x])
-        for y in reversed(self.recent[root]):
-            theirs = self.code[self.first[y] : self.first[y + 1]]
-            if self.linked(np.count_nonzero(np.isin(mine, theirs, assume_unique=True)), n, int(self.size[y])):
-                return y
-        if len(self.members[root]) <= len(self.recent[root]):
-            return -1
-        begin, count = self.post_first[mine], self.post_first[mine + 1] - self.post_first[mine]
-        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        owner = self.post_owner[at]
-        owner = owner[(owner < x) & (self.label[owner] == root)]
-        overlap = np.bincount(owner, minlength=1)
-        good = np.flatnonzero(self.linked(overlap, n, self.size[: len(overlap)]) & (overlap > 0))
-        return int(good[0]) if len(good) else -1
-
-    def _unite(self, x: int, root: int, y: int) -> None:
-        a, b = int(self.label[x]), root
+        self.post_first = np.searchsorted(self.code[by], np.arange(int(shared.sum()) + 1))
+        self.lengths = np.diff(self.post_first)
+        self.pairs = self.code[by] * n + self.post_owner  # sorted: every list can be probed at once
+        # shingles of many sets as bit rows over the sets, for counting whole lists at once
+        common = np.flatnonzero(self.lengths >= max(64, n // 16))
+        self.row = np.full(len(self.lengths), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.bits = np.zeros((len(common), -(-n // 8)), np.uint8)
+        for r, c in enumerate(common):
+            mark = np.zeros(n, bool)
+            mark[self._list(c)] = True
+            self.bits[r] = np.packbits(mark)
+        self.label = np.arange(n)
+        self.members = {i: [i] for i in range(n)}
+
+    def _list(self, c: int) -> np.ndarray:
+        return self.post_owner[self.post_first[c] : self.post_first[c + 1]]
+
+    def _linked(self, overlap: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+        return (overlap > 0) & (100 * overlap >= self.percent * (self.size[x] + self.size[others] - overlap))
+
+    def _unite(self, x: int, y: int) -> None:
+        a, b = int(self.label[x]), int(self.label[y])
+        if a == b:
+            return
         if len(self.members[a]) > len(self.members[b]):
             a, b = b, a
         self.label[self.members[a]] = b
         self.members[b] += self.members.pop(a)
-        self.recent[b] = (self.recent.pop(a) + self.recent[b] + [y, x])[-6:]
+
+    def _merged(self, short: np.ndarray, x: int) -> np.ndarray:
+        """Earlier sets of other components in the short lists, by a heap over the lists."""
+        own, found, last = self.label[x], [], -1
+        for y in heapq.merge(*(self._list(c).tolist() for c in short)):
+            if y >= x:
+                break
+            if y != last and self.label[y] != own:
+                found.append(y)
+            last = y
+        return np.array(found, np.int64)
+
+    def _counted(self, codes: np.ndarray, x: int) -> np.ndarray:
+        """The overlaps of all earlier sets with x: rare lists are added up, common ones counted as bit rows."""
+        rare = codes[self.row[codes] < 0]
+        lists = [self._list(c) for c in rare]
+        overlap = np.bincount(np.concatenate(lists), minlength=len(self.order))[:x] if lists else np.zeros(x, np.int64)
+        rows = self.row[codes[self.row[codes] >= 0]]
+        for a in range(0, len(rows), 255):
+            part = np.unpackbits(self.bits[rows[a : a + 255], : x // 8 + 1], axis=1)[:, :x]
+            overlap = overlap + np.add.reduce(part, axis=0, dtype=np.uint8)
+        return overlap
 
     def join(self) -> np.ndarray:
         """The component of each set, in the order given."""
-        for x in range(len(self.order)):
-            codes = self.code[self.first[x] : self.first[x + 1]].tolist()
-            need = -(-self.percent * int(self.size[x]) // 100)
-            if len(codes) >= need:
-                for root in self._candidates(codes, need):
-                    if self.label[x] != root and root in self.members:
-                        y = self._meets(x, root)
-                        if y >= 0:
-                            self._unite(x, root, y)
-            root = int(self.label[x])
-            for c in codes:
-                own = self.lists[c]
-                at = bisect_left(own, root)
-                if at == len(own) or own[at] != root:
-                    insort(own, root)
-        out = np.empty(len(self.order), np.int64)
+        n = len(self.order)
+        for x in range(1, n):
+            codes = self.code[self.first[x] : self.first[x + 1]]
+            need = -(-self.percent * int(self.size[x]) // 100)  # of x and any smaller or equal set
+            if len(codes) < need:
+                continue
+            by_length = codes[np.argsort(self.lengths[codes], kind="stable")]
+            short, long = by_length[: len(codes) - need + 1], by_length[len(codes) - need + 1 :]
+            if int(self.lengths[short].sum()) > LONG_MERGE:
+                overlap = self._counted(codes, x)
+                for root in np.unique(self.label[:x][self._linked(overlap, x, np.arange(x))]).tolist():
+                    self._unite(x, root)
+                continue
+            near = self._merged(short, x)
+            near = near[100 * self.size[near] >= self.percent * self.size[x]]
+            if not len(near):
+                continue
+            overlap = self._probed(short, near) + self._probed(long, near)
+            for y in near[self._linked(overlap, x, near)].tolist():
+                self._unite(x, y)
+        out = np.empty(n, np.int64)
         out[self.order] = self.label
         return out
 
-    def _candidates(self, codes: list[int], need: int) -> list[int]:
-        """Components whose sets together reach the required overlap."""
-        lists = sorted((self._list(c) for c in codes), key=len)
-        aside = max(0, need - 1)
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        found: list[int] = []
-        last, times = -1, 0
-        for root in heapq.merge(*short):
-            if root != last:
-                if times:
-                    found.append((last, times))
-                last, times = root, 0
-            times += 1
-        if times:
-            found.append((last, times))
-        out = []
-        for root, times in found:
-            left = len(long)
-            for own in long:
-                if times >= need or times + left < need:
-                    break
-                left -= 1
-                at = bisect_left(own, root)
-                times += at < len(own) and own[at] == root
-            if times >= need:
-                out.append(root)
-        return out
+    def _probed(self, codes: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """In how many of the lists each set is, by binary search."""
+        if not len(codes):
+            return np.zeros(len(near), np.int64)
+        wanted = codes[:, None] * len(self.order) + near
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return (self.pairs[at] == wanted).sum(0)
 
 
 def _join_block(percent: int):
@@ -287,35 +359,27 @@ def _join_block(percent: int):
 def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     own = _own(docs, id_col, text_col)
-    both = scratch.table(_classes_and_keys(own, width, percent), "shingles")
-    plain = both.where("key IS NULL").select("doc_id", "n", "one", "two")
+    both = scratch.table(_classes_and_keys(own, width, percent, max(8, own.rdd.getNumPartitions())), "shingles")
+    plain = both.where("n IS NOT NULL").select("doc_id", "n", "one", "two")
     classes = scratch.table(plain.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    chain = F.lag(F.struct("one", "n")).over(_by_size())
-    chained = both.where("key IS NOT NULL").select("key", "one", "n").distinct().withColumn("prior", chain)
-    edges = chained.where(f"prior IS NOT NULL AND prior.one <> one AND 100 * prior.n >= {percent} * n").select(F.col("prior.one").alias("a"), F.col("one").alias("b"))
+    met = both.where("range IS NOT NULL").select("range", "blob").groupBy("range").applyInArrow(_tied, "a long, b long")
+    edges = both.where("a IS NOT NULL").select("a", "b").unionByName(met)
     coarse = scratch.table(components(edges), "coarse")
-    links = _links(own, classes, coarse, width, percent)
-    roots = components(links)
+    roots = _roots(own, classes, coarse, width, percent)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("root", "rep").alias("component_id"))
     some = plain.where("n > 0").join(named, ["one", "two", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     none = plain.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 
-def _by_size():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("n", "one")
-
-
-def _links(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) between class representatives, enough of them to connect every linked two."""
+def _roots(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of the class representatives that are linked with a smaller one; root is the smallest."""
     met = scratch.table(classes.join(coarse.withColumnRenamed("node", "one"), "one").select("rep", "one", "two", "n", "root"), "met")
     sizes = met.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    large = scratch.table(sizes.where((F.col("members") > PIECE_MEMBERS) | (F.col("shingles") > BLOCK_SHINGLES)), "large")
+    large = scratch.table(sizes.where((F.col("members") > PIECE_MEMBERS) | (F.col("shingles") > PIECE_SHINGLES)), "large")
     total, count = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) * 2 // BLOCK_SHINGLES))
-    pieces = F.greatest(F.ceil(F.col("members") / PIECE_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    pieces = F.greatest(F.ceil(F.col("members") / PIECE_MEMBERS), F.ceil(F.col("shingles") / PIECE_SHINGLES))
     dealt = met.join(large.select("root", pieces.cast("long").alias("pieces")), "root", "left")
     piece = F.pmod(F.xxhash64("rep"), F.col("pieces"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda j: F.concat_ws(":", "root", F.least(j, piece), F.greatest(j, piece)))
@@ -334,7 +398,10 @@ def _links(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, pe
 
     again = own.join(dealt, "doc_id").select("doc_id", "text", "one", "two", "blocks")
     sets = again.mapInArrow(shingled, "rep long, shingles binary, blocks array<string>").select("rep", "shingles", F.explode("blocks").alias("block"))
-    return sets.groupBy("block").applyInArrow(_join_block(percent), "a long, b long")
+    found = scratch.table(sets.groupBy("block").applyInArrow(_join_block(percent), "a long, b long"), "links")
+    if large.count():  # what the blocks of one component found has still to be put together
+        return components(found)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
