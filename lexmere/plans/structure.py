@@ -134,7 +134,7 @@ def mru_searches(spark, sf):
 
 @query(
     d.with_(d.PASSAGES)
-    + """, g AS (SELECT document_id, a, b, max(b) OVER (PARTITION BY document_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT document_id, CAST(vec_id % 60 * 3 AS INTEGER) AS a, CAST(vec_id % 60 * 3 + token_count % 5 AS INTEGER) AS b FROM passages WHERE vec_id % 3 = 0)),
+    + """, g AS (SELECT document_id, a, b, max(b) OVER (PARTITION BY document_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT document_id, CAST(vec_id % 60 * 3 AS INTEGER) AS a, CAST(vec_id % 60 * 3 + token_count % 5 AS INTEGER) AS b FROM passages WHERE vec_id % 3 = 0)),
     n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g)
     SELECT document_id, min(a) AS start, max(b) AS "end" FROM n GROUP BY document_id, island"""
 )
