@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a vector of hashed byte trigrams: logarithms of their counts, weighted
-by rarity, of unit length. A truncated singular value decomposition of the
+A text is a vector of terms: hashed byte trigrams, and one term for a word that
+repeats the word before it, which trigrams cannot tell from its neighbours. Terms
+count by logarithm and rarity; vectors have unit length. A truncated singular value decomposition of the
 labelled vectors gives a space of RANK dimensions. Every document is projected,
 its cosines with all labelled vectors are computed in blocks, and its NEIGHBOURS
 nearest vote with their similarity.
@@ -25,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import arrow_bytes, slices
+from .textscan import NON_SPACE, arrow_bytes, scan, slices
 
-FEATURES = 4096
+TRIGRAMS = 4096
+FEATURES = TRIGRAMS + 1
+#: the repetition term stands against hundreds of trigrams
+REPEAT_WEIGHT = 8
 RANK = 64
 SAMPLE = 6000
 NEIGHBOURS = 25
@@ -38,23 +42,36 @@ SLICE_BYTES = 1 << 20
 
 
 def trigram_counts(raw: np.ndarray) -> np.ndarray:
-    """Counts of a text's byte trigrams, hashed to FEATURES numbers."""
-    if len(raw) < 3:
-        raw = np.concatenate([raw, np.zeros(3 - len(raw), np.uint8)]) if len(raw) else raw
+    """Counts of a text's byte trigrams, hashed to TRIGRAMS numbers."""
     if not len(raw):
-        return np.zeros(FEATURES, np.int64)
+        return np.zeros(TRIGRAMS, np.int64)
+    if len(raw) < 3:
+        raw = np.concatenate([raw, np.zeros(3 - len(raw), np.uint8)])
     x = raw.astype(np.uint32)
     key = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    return np.bincount((key * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
+    return np.bincount((key * np.uint32(2654435761)) >> np.uint32(20), minlength=TRIGRAMS)
+
+
+class Terms:
+    """The term counts of a slice's texts, made for a range of them at a time."""
+
+    def __init__(self, texts: pa.Array):
+        self.raw, self.off = arrow_bytes(texts)
+        w = scan(texts, NON_SPACE)
+        again = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+        self.repeats = np.bincount(w.doc[1:][again], minlength=len(texts))
+
+    def counts(self, a: int, b: int) -> np.ndarray:
+        rows = [trigram_counts(self.raw[self.off[d] : self.off[d + 1]]) for d in range(a, b)]
+        return np.concatenate([np.stack(rows), self.repeats[a:b, None]], 1)
 
 
 def _sampled_features(rows: DataFrame) -> list[tuple[int, int, bytes]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = arrow_bytes(batch.column(2))
-            made = []
-            for a, b in zip(off[:-1], off[1:]):
-                c = trigram_counts(raw[a:b])
+            terms, made = Terms(batch.column(2)), []
+            for d in range(batch.num_rows):
+                c = terms.counts(d, d + 1)[0]
                 at = np.flatnonzero(c)
                 made.append(np.concatenate([at, np.minimum(c[at], 65535)]).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["key", "label", "f"])
@@ -69,6 +86,7 @@ class Voter:
         self.share = share
         rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
         self.rarity = rarity.astype(np.float32)
+        self.rarity[TRIGRAMS:] *= REPEAT_WEIGHT
         a = self._weighted(counts)
         rng = np.random.default_rng(seed)
         rank = min(rank, len(counts))
@@ -140,11 +158,11 @@ def score(docs: DataFrame, voter: Voter | float, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                raw, off = arrow_bytes(part.column(1))
+                terms = Terms(part.column(1))
                 out = np.empty(part.num_rows)
                 for a in range(0, part.num_rows, BLOCK):
                     b = min(part.num_rows, a + BLOCK)
-                    out[a:b] = voter if isinstance(voter, float) else voter.scores(np.stack([trigram_counts(raw[off[d] : off[d + 1]]) for d in range(a, b)]))
+                    out[a:b] = voter if isinstance(voter, float) else voter.scores(terms.counts(a, b))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=["doc_id", "score"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
