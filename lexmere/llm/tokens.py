@@ -9,14 +9,15 @@ and printable signs go through the library's full path.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-import regex
 
 PIECES, WORDS = 500_000, 400_000
 SEGMENT = 1 << 20
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]+")
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# letters, digits and signs of these ranges are told apart by the same rules here and in the library
+LATIN = re.compile("[\x21-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def default_vocabulary() -> str:
@@ -32,48 +33,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of lower-case words, made when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+        self.packed = [k.to_bytes(2, "little") for k in range(1 << 16)]
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        packed = self.packed
+        found = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
+class _Pieces(dict):
+    """Ids of space-separated pieces, made when first asked for."""
+
+    def __init__(self, full):
+        super().__init__()
+        self.full, self.words = full, _Words(full.model)
+        self[""] = b""
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = (piece.isascii() and piece.isprintable()) or LATIN.fullmatch(piece)
+        if plain and "<|" not in piece:
+            found = b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
+        else:
+            found = np.array(self.full.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        if len(self) >= PIECES:
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class WordBPE:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            letters = self.letters
-            mapped = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        if PLAIN.fullmatch(piece) and "<|" not in piece:
-            return b"".join(map(self._word, WORD.findall(piece.lower())))
-        return np.array(self.full.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        self.pieces = _Pieces(self.full)
 
     def _segment(self, text: str) -> bytes:
-        parts = text.split(" ")
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        pieces = self.pieces
-        for p in parts:
-            if p not in pieces:
-                pieces[p] = self._piece(p)
-        return b"".join(map(pieces.__getitem__, parts))
+        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, two little-endian bytes each; none for a null."""
