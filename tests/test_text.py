@@ -45,7 +45,7 @@ def test_sentences_join_again(spark):
     assert one(spark, "第一句。第二句。", lambda c: T.join_sentences(T.split_sentences(c))) == "第一句。第二句。"
 
 
-@pytest.mark.parametrize("raw, want", [("안녕하세요 반갑습니다 여러분", "ko"), ("更换滤芯的步骤如下所示请注意", "zh"), ("plain English text", "en"), ("滤芯更换步骤 filter parts", "mixed"), ("abc", None)])
+@pytest.mark.parametrize("raw, want", [("안녕하세요 반갑습니다 여러분", "ko"), ("更换滤芯的步骤如下所示请注意", "zh"), ("plain English text", "en"), ("滤芯更换步骤说明 filter part", "mixed"), ("abc", None)])
 def test_document_language(spark, raw, want):
     assert one(spark, raw, T.document_language) == want
 
