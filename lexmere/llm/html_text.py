@@ -39,15 +39,18 @@ SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promotion promoted "
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit adbanner adcontainer adwrapper sponsor sponsored sponsors promo promotion promoted "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer masthead topbar toolbar "
     "sidebar aside rail widget widgets cookie cookies consent gdpr notice notices banner alert popup modal overlay lightbox "
-    "newsletter subscribe subscription signup login register paywall comment comments disqus respond reply replies discussion "
-    "share sharing social related recommended recommendations outbrain taboola skip skiplink".split()
+    "newsletter subscribe subscription signup login register paywall comment comments disqus respond reply replies discussion responses "
+    "share sharing social related recommended recommendations outbrain taboola skip skiplink tags".split()
 )
 HEADER = frozenset("header head masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GOOD = frozenset("article content main post body entry story text blog page".split())
+OWN_HEADER = frozenset("article entry post story".split())
+#: names that say what a part has or allows, not what it is
+ABOUT = re.compile(r"^(?:has|with|without|no|not|is|show|hide)[-_]|[-_](?:open|closed|enabled|disabled)$", re.I)
 LEAST_BLOCK = 25
 
 
@@ -56,7 +59,8 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
-    return {x.lower() for k in ("class", "id") for x in NAME_PART.findall(attributes.get(k, ""))}
+    whole = [x for k in ("class", "id") for x in attributes.get(k, "").split() if not ABOUT.search(x)]
+    return {part.lower() for x in whole for part in NAME_PART.findall(x)}
 
 
 def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
@@ -75,13 +79,14 @@ def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
     names = _names(own)
     if tag in HEADING or tag == "a":
         return bool(names & NOISE) and not names & GOOD
-    return bool(names & NOISE) or (bool(names & HEADER) and not in_article and not names & GOOD)
+    return bool(names & NOISE) or (bool(names & HEADER) and not in_article and not names & OWN_HEADER)
 
 
 class Page:
     """A page's tree and its text blocks in order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
         self.tag, self.parent, self.weight = ["#"], [-1], [0.0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(html)
@@ -179,13 +184,13 @@ class Page:
             weight = 0.0
             if not dropped and tag in BLOCK:
                 in_article = any(self.tag[s] in ("article", "main") for s in stack)
-                if _unwanted(tag, raw, in_article):
+                if tag in NEVER or self.by_name and _unwanted(tag, raw, in_article):
                     dropped = len(stack) + 1
                 elif tag in ("article", "main"):
                     weight = 25.0
                 elif raw and _names(_attributes(raw)) & GOOD:
                     weight = 15.0
-            elif not dropped and _unwanted(tag, raw, True):
+            elif not dropped and (tag in NEVER or self.by_name and _unwanted(tag, raw, True)):
                 dropped = len(stack) + 1
             self.weight.append(weight)
             stack.append(node)
@@ -256,6 +261,11 @@ class Page:
         return found
 
 
+def main_text(html: str) -> str:
+    """A page's article; where names leave nothing of a page, only the kinds of its elements count."""
+    return Page(html).main_text() or Page(html, by_name=False).main_text()
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
 
@@ -263,7 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = [Page(h.as_py()).main_text() if h.is_valid else "" for h in part.column(2)]
+                texts = [main_text(h.as_py()) if h.is_valid else "" for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -108,6 +108,8 @@ def test_tokens_equal_the_librarys(texts):
     "page, want",
     [
         ("", ""), ("plain", "plain"), ("<p", ""), ("<p>x<b>y</p><p>z", "xy\nz"), ("<!-- <p>no</p> --><p>a &lt;b&gt; &#233;</p>", "a <b> é"), ("a < b", "a < b"),
+        ("<div class='layout has-sidebar'><div class='page-header'>Site</div><div class='post comments-open'><div class='entry-header'><h2>Head</h2></div><p>Some long text, with a comma or two, that counts as such.</p><div class=tags><a href=x>tag</a></div></div></div>", "Head\nSome long text, with a comma or two, that counts as such."),
+        ("<div class='banner'><p>All there is on this page is in here, and nothing else.</p></div>", "All there is on this page is in here, and nothing else."),
         ("<title>t</title><script>if (a<b) {}</script><style>p{}</style><p>One  two<br>three</p>", "One two three"),
         ("<body><header><h1>Site</h1></header><nav><a href=/>menu</a></nav><div class='wrap'><article><h1>Title</h1><p>A first paragraph, with commas, and a length that counts.</p><ul><li>one<li>two</ul><form><p>Your mail, please, to get more of this.</p></form></article>"
          "<div class='sidebar'><p>Beside the article, there is more, and it is long as well.</p></div><section id='comments'><p>I like this article, really, and I say so at length.</p></section></div><div id=cookie-notice>We use cookies, you know.</div><footer>end</footer>",
@@ -115,7 +117,7 @@ def test_tokens_equal_the_librarys(texts):
     ],
 )
 def test_main_text(page, want):
-    assert html_text.Page(page).main_text() == want
+    assert html_text.main_text(page) == want
 
 
 def test_html_query(spark):
