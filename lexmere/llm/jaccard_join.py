@@ -1,7 +1,11 @@
 """N-gram Jaccard join: exact links between shingle sets, and their components.
 
 1. Each document's set of word shingles is hashed (64 bits); equal sets are one class.
-2. Which sets can meet: two linked sets of at most r shingles differ in at most
+   A set can only link if the required share of its shingles is in other sets too.
+   Shingles go, as 32-bit prints, to ranges; a range counts for each document how
+   many of its prints another one has. Documents with too few are done. (A chance
+   meeting of prints only keeps a document that the next steps then tell apart.)
+2. Which of the others can meet: two linked sets of at most r shingles differ in at most
    k = 2r(1-t)/(1+t) of them. The hash range is cut in more than k + 1 parts, so
    some part agrees exactly; its signature is a key. Sets meet only in keys, and
    a key's sets are tied to one of them, so a group of m sets gives m - 1 pairs.
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,13 +138,76 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-COLUMNS = "doc_id long, n long, one long, two long, range int, blob binary, a long, b long"
+HEADS = "chunk long, range int, prints binary, heads binary"
+PLAIN = "doc_id long, n long, one long, two long, eligible boolean"
+KEYS = "range int, blob binary, a long, b long"
+
+
+def _documents(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """PLAIN: every document with its set's size and hashes, and whether enough of it is in other sets."""
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for slice_ in slices(batch, "text", SLICE_BYTES):
+                with np.errstate(over="ignore"):
+                    sets = shingle_sets(slice_.column(1), width)
+                    hashes = [set_hashes(x) for x in sets]
+                n = np.array([len(x) for x in sets], np.int64)
+                present = np.asarray(slice_.column(0).is_valid())
+                name = np.asarray(slice_.column(0).fill_null(0))
+                heads = np.concatenate([np.stack([name, present, n], 1), np.array(hashes, np.int64).reshape(-1, 2)], 1).astype("<i8").tobytes()
+                flat = np.concatenate([*sets, np.empty(0, U)])
+                of = np.repeat(np.arange(len(n)), n)
+                to = ((flat >> U(32)) * U(ranges)) >> U(32)
+                print_ = (mix(flat) >> U(32)).astype("<u4")
+                by = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[by], np.arange(ranges + 1))
+                rows = []
+                for r in range(ranges):
+                    own_rows = by[cut[r] : cut[r + 1]]
+                    if len(own_rows) or not r:
+                        rows.append((r, np.bincount(of[own_rows], minlength=len(n)).astype("<u4").tobytes() + print_[own_rows].tobytes(), heads if not r else None))
+                chunk = pa.array(np.full(len(rows), (part << 32) + at, np.int64))
+                at += 1
+                yield pa.RecordBatch.from_arrays([chunk, pa.array([x[0] for x in rows], pa.int32()), pa.array([len(n).to_bytes(4, "little") + x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], names=["chunk", "range", "prints", "heads"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        parts = []
+        for x in table["prints"].combine_chunks():
+            raw = x.as_buffer()
+            n = int.from_bytes(raw[:4], "little")
+            parts.append((np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", offset=4 + 4 * n)))
+        every = np.sort(np.concatenate([p for _, p in parts]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        out = []
+        for counts, prints in parts:
+            near = np.minimum(np.searchsorted(twice, prints), max(0, len(twice) - 1))
+            hit = twice[near] == prints if len(twice) else np.zeros(len(prints), bool)
+            out.append(np.bincount(np.repeat(np.arange(len(counts)), counts)[hit], minlength=len(counts)).astype("<u4").tobytes())
+        return pa.table({"chunk": table["chunk"], "shared": pa.array(out, pa.binary()), "heads": table["heads"]})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shared, heads in zip(batch.column(0), batch.column(1)):
+                head = np.frombuffer(heads.as_buffer(), "<i8").reshape(-1, 5)
+                found = np.zeros(len(head), np.int64)
+                for x in shared.values:
+                    found += np.frombuffer(x.as_buffer(), "<u4")
+                n = head[:, 2]
+                fits = (n > 0) & (100 * found >= percent * n)
+                yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 3]), pa.array(head[:, 4]), pa.array(fits)], names=["doc_id", "n", "one", "two", "eligible"])
+
+    sent = own.mapInArrow(printed, HEADS)
+    back = sent.groupBy("range").applyInArrow(counted, "chunk long, shared binary, heads binary")
+    whole = back.groupBy("chunk").agg(F.collect_list("shared").alias("shared"), F.max("heads").alias("heads"))
+    return scratch.table(whole.select("shared", "heads").mapInArrow(rows, PLAIN), "documents")
 
 
 def _row(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    """A batch of COLUMNS, null where no column is given."""
+    """A batch of KEYS, null where no column is given."""
     kinds = {"range": pa.int32(), "blob": pa.binary()}
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    names = [x.split()[0] for x in KEYS.split(", ")]
     return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(rows, kinds.get(x, pa.int64()))) for x in names], names=names)
 
 
@@ -182,8 +250,8 @@ def _ties(key: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[first], one[first], pairs[:, 0], pairs[:, 1]
 
 
-def _classes_and_keys(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
-    """Rows of three kinds: a document with its set's size and hashes; keys of a range, packed; a pair of sets.
+def _keys(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """Rows of two kinds: keys of a range, packed; a pair of sets.
 
     Sets of one task that share a key are paired at once and send the key once,
     so a range receives a key at most as often as there are tasks.
@@ -210,25 +278,20 @@ def _classes_and_keys(own: DataFrame, width: int, percent: int, ranges: int) ->
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                size, one, two = [], [], []
                 with np.errstate(over="ignore"):
                     for own_set in shingle_sets(part.column(1), width):
-                        size.append(len(own_set))
-                        a, b = set_hashes(own_set)
-                        one.append(a)
-                        two.append(b)
+                        name = set_hashes(own_set)[0] if len(own_set) else 0
                         for x in signatures(own_set, mix(own_set ^ SALT_B), levels, known) if len(own_set) else ():
                             keys.append(x)
-                            sets.append(np.full(len(x), a, np.int64))
+                            sets.append(np.full(len(x), name, np.int64))
                             held += len(x)
-                    yield _row(part.num_rows, doc_id=part.column(0), n=pa.array(size, pa.int64()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()))
                     if held > HELD_KEYS:
                         yield from flush()
                         held = 0
         with np.errstate(over="ignore"):
             yield from flush()
 
-    return own.mapInArrow(run, COLUMNS)
+    return own.mapInArrow(run, KEYS)
 
 
 def _tied(table: pa.Table) -> pa.Table:
@@ -359,9 +422,13 @@ def _join_block(percent: int):
 def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     own = _own(docs, id_col, text_col)
-    both = scratch.table(_classes_and_keys(own, width, percent, max(8, own.rdd.getNumPartitions())), "shingles")
-    plain = both.where("n IS NOT NULL").select("doc_id", "n", "one", "two")
-    classes = scratch.table(plain.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    ranges = max(8, own.rdd.getNumPartitions())
+    plain = _documents(own, width, percent, ranges)
+    classes = scratch.table(plain.where("eligible AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    if classes.count() <= BROADCAST_ROWS:
+        reps = F.broadcast(reps)
+    both = scratch.table(_keys(own.join(reps, "doc_id", "left_semi"), width, percent, ranges), "keys")
     met = both.where("range IS NOT NULL").select("range", "blob").groupBy("range").applyInArrow(_tied, "a long, b long")
     edges = both.where("a IS NOT NULL").select("a", "b").unionByName(met)
     coarse = scratch.table(components(edges), "coarse")
