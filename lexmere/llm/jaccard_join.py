@@ -45,12 +45,12 @@ from .textscan import NON_SPACE, mix, scan, slices
 SLICE_BYTES = 2 << 20
 #: shingles in a block of small components, and the size of one piece of an oversized component
 BLOCK_SHINGLES = 1_000_000
-PIECE_SHINGLES = 4_000_000
+PIECE_SHINGLES = 2_000_000
 PIECE_MEMBERS = 8_192
 #: short lists of more entries than this are counted as bit rows
 LONG_MERGE = 4_000
 #: keys that a task holds before it sends them
-HELD_KEYS = 4_000_000
+HELD_KEYS = 1_000_000
 #: lists of documents to read again are broadcast up to so many rows
 BROADCAST_ROWS = 1_000_000
 
@@ -246,8 +246,27 @@ def _ties(key: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first = np.concatenate([[True], key[1:] != key[:-1]])
     centre = one[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
     apart = centre != one
-    pairs = np.unique(np.stack([centre[apart], one[apart]], 1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
-    return key[first], one[first], pairs[:, 0], pairs[:, 1]
+    return key[first], one[first], *_forest(centre[apart], one[apart])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the given ones do: each node with the least of its component."""
+    names, at = np.unique(np.stack([a, b], 1), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in np.unique(at.reshape(-1, 2), axis=0).tolist():
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    least = np.array([root(x) for x in range(len(names))], np.int64)
+    apart = least != np.arange(len(names))
+    return names[least[apart]], names[apart]
 
 
 def _keys(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
