@@ -1,7 +1,7 @@
 """Cross-entropy difference between matched target and background bigram models.
 
-Both models have one vocabulary (the VOCABULARY - 2 most frequent words of target
-and background together, all others being one unknown word), the same order and
+Both models have one vocabulary (the most frequent words of target and background
+together, VOCABULARY - 2 at most, all others being one unknown word), the same order and
 the same interpolation; the target model is counted on the target documents, the
 background model on all others. A document's score is the mean over its words of
 the target model's loss less the background model's: the lower, the more it reads
@@ -49,7 +49,7 @@ def _unpacked(blob, n: int) -> list[np.ndarray]:
 
 
 def vocabulary(docs: DataFrame, ranges: int, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts, at most size - 2."""
+    """Sorted hashes of the most frequent words of all texts, at most size - 2; words of one count stay or go together."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(word: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -83,8 +83,16 @@ def vocabulary(docs: DataFrame, ranges: int, size: int = VOCABULARY) -> np.ndarr
         return pa.table({"word": pa.array(word[best]), "count": pa.array(count[best])})
 
     sent = docs.select("text").mapInArrow(counted, "range int, blob binary")
-    top = sent.groupBy("range").applyInArrow(summed, "word long, count long").orderBy(F.desc("count"), "word").limit(size - 2)
-    return np.sort(np.array([r[0] for r in top.select("word").collect()], np.int64).view(np.uint64))
+    counts = scratch.table(sent.groupBy("range").applyInArrow(summed, "word long, count long"), "words")
+    # how many words have each count: few numbers, from which the least count that fits follows
+    least, total = 1 << 62, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).toLocalIterator():
+        total += r["words"]
+        if total > size - 2:
+            break
+        least = r["count"]
+    chosen = counts.where(F.col("count") >= least).select("word").collect()
+    return np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
 
 
 def _chunks(docs: DataFrame, words: np.ndarray) -> DataFrame:
