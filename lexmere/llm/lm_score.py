@@ -1,17 +1,17 @@
 """Cross-entropy difference between matched target and background bigram models.
 
-Both models have one vocabulary (the most frequent words of target and background
-together, VOCABULARY - 2 at most, all others being one unknown word), the same order and
-the same interpolation; the target model is counted on the target documents, the
-background model on all others. A document's score is the mean over its words of
-the target model's loss less the background model's: the lower, the more it reads
-like the target.
-
-Words become 16-bit ids in chunks, written once. A chunk sends its distinct
-bigrams with their counts, packed, to ranges; a range adds them up over all
-chunks, turns each into a loss difference and sends every chunk the differences
-of its own bigrams. What travels grows with the text and is never at one place;
-only tables of VOCABULARY numbers reach the driver.
+Both models have one vocabulary (every word of target and background, and one place
+for a word never seen), the same order and the same interpolation; the target model
+is counted on the target documents, the background model on all others. A document's
+score is the mean over its words of the target model's loss less the background
+model's: the lower, the more it reads like the target.
+
+Words become ids of a chunk's own list of words, written once. A chunk sends its
+distinct words, and then its distinct bigrams, with their counts, packed, to ranges;
+a range adds them up over all chunks and sends every chunk the sums of its own, from
+which the chunk takes the losses. What travels grows with the text and is never at
+one place; only the numbers of words reach the driver. Words and bigrams are told
+apart by 64 hash bits.
 
 Defined results: null and empty texts have no words and score 0. Without target
 documents the target model is uniform. A document is a target if its id is among
@@ -21,202 +21,167 @@ the targets; repeated rows count repeatedly. Only the named columns are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 from .textscan import ALNUM, mix, scan, slices
 
-VOCABULARY = 1 << 16
-UNKNOWN, OPEN = 0, VOCABULARY - 1
+#: stands before a document's first word; no word has this hash
+OPEN = np.uint64(0)
 MIXTURE = 0.7
 CHUNK_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.asarray(a, "<u4").tobytes() for a in arrays), 1)
+    """Columns of whole numbers, bytes of one weight together: the high ones are mostly zero."""
+    return zlib.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays), 1)
 
 
-def _unpacked(blob, n: int) -> list[np.ndarray]:
-    flat = np.frombuffer(zlib.decompress(blob), "<u4")
-    return np.split(flat, n)
+def _unpacked(blob, *kinds: str) -> list[np.ndarray]:
+    flat, width = np.frombuffer(zlib.decompress(blob), np.uint8), [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(flat) // sum(width), [], 0
+    for kind, w in zip(kinds, width):
+        out.append(np.ascontiguousarray(flat[at : at + n * w].reshape(w, n).T).view(kind).ravel())
+        at += n * w
+    return out
 
 
-def vocabulary(docs: DataFrame, ranges: int, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts, at most size - 2; words of one count stay or go together."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(word: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-            to = ((word >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
-            for a, b in zip(cut[:-1], cut[1:]):
-                if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), pa.array([word[a:b].tobytes() + count[a:b].astype("<i8").tobytes()], pa.binary())], names=["range", "blob"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return word, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-
-        for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES):
-                held.append(np.unique(scan(part.column(0), ALNUM).hash, return_counts=True))
-                if sum(len(w) for w, _ in held) > 2_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield from send(*held.pop())
-        if held:
-            yield from send(*merged())
-
-    def summed(table: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1) for x in table["blob"].combine_chunks()]
-        word, at = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-        count = np.bincount(at, np.concatenate([p[1] for p in pairs])).astype(np.int64)
-        best = np.lexsort((word, -count))[: size - 2]
-        return pa.table({"word": pa.array(word[best]), "count": pa.array(count[best])})
-
-    sent = docs.select("text").mapInArrow(counted, "range int, blob binary")
-    counts = scratch.table(sent.groupBy("range").applyInArrow(summed, "word long, count long"), "words")
-    # how many words have each count: few numbers, from which the least count that fits follows
-    least, total = 1 << 62, 0
-    for r in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).toLocalIterator():
-        total += r["words"]
-        if total > size - 2:
-            break
-        least = r["count"]
-    chosen = counts.where(F.col("count") >= least).select("word").collect()
-    return np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
-
-
-def _chunks(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(chunk, docs, ids): up to CHUNK_BYTES of documents as ids; docs holds each one's id, presence, target mark and words."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, docs, words, ids): up to CHUNK_BYTES of documents as ids; docs holds each one's id, presence, target mark and words, words the sorted hashes that ids count, OPEN first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for own in slices(batch, "text", CHUNK_BYTES):
                 w = scan(own.column(1), ALNUM)
-                near = np.minimum(np.searchsorted(words, w.hash), max(0, len(words) - 1))
-                ids = np.where(words[near] == w.hash, near + 1, UNKNOWN) if len(words) else np.zeros(len(w.hash))
+                words, ids = np.unique(np.concatenate([[OPEN], np.maximum(w.hash, OPEN + np.uint64(1))]), return_inverse=True)
                 present = np.asarray(own.column(0).is_valid())
                 name = np.asarray(own.column(0).fill_null(0))
                 target = np.asarray(own.column(2))
                 head = np.stack([name, present, target, np.diff(w.first())], 1).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), pa.array([head.tobytes()], pa.binary()), pa.array([ids.astype("<u2").tobytes()], pa.binary())], names=["chunk", "docs", "ids"])
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (head, words.astype("<u8"), ids[1:].astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), *blobs], names=["chunk", "docs", "words", "ids"])
                 at += 1
 
-    return scratch.table(docs.mapInArrow(run, "chunk long, docs binary, ids binary"), "chunks")
+    return scratch.table(docs.mapInArrow(run, "chunk long, docs binary, words binary, ids binary"), "chunks")
 
 
-def _bigrams(docs: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents' heads, each word's document, whether it is a target's, and its bigram."""
-    head = np.frombuffer(docs, "<i8").reshape(-1, 4)
-    now = np.frombuffer(ids, "<u2").astype(np.uint32)
+def _bigrams(docs, words, ids) -> tuple[np.ndarray, ...]:
+    """Documents' heads, hashes of the words, each word's document, whether it is a target's, the id before it and its own."""
+    head, name = np.frombuffer(docs, "<i8").reshape(-1, 4), np.frombuffer(words, "<u8")
+    now = np.frombuffer(ids, "<u4")
     of = np.repeat(np.arange(len(head)), head[:, 3])
     before = np.empty_like(now)
     before[1:] = now[:-1]
     first = np.ones(len(of), bool)
     first[1:] = of[1:] != of[:-1]
-    before[first] = OPEN
-    return head, of, head[of, 2].astype(bool), (before << np.uint32(16)) | now
+    before[first] = 0
+    return head, name, of, head[of, 2].astype(bool), before, now
 
 
-def _ranged(key: np.ndarray, ranges: int) -> np.ndarray:
-    return ((mix(key.astype(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+def _distinct(name: np.ndarray, before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the distinct bigrams, and each word's place among them."""
+    return np.unique(mix(name[before] * np.uint64(0x9E3779B97F4A7C15) + name[now]), return_inverse=True)
 
 
-def _distinct(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams by range and value, each word's place among them, and the ranges' bounds."""
-    found, at = np.unique(key, return_inverse=True)
-    to = _ranged(found, ranges)
-    order = np.lexsort((found, to))
-    place = np.empty(len(found), np.int64)
-    place[order] = np.arange(len(found))
-    return found[order], place[at], np.searchsorted(to[order], np.arange(ranges + 1))
+def _sent(chunk: int, key: np.ndarray, counts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """A chunk's sorted keys and their counts, a row for each range."""
+    to = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cut = np.searchsorted(to, np.arange(ranges + 1))
+    full = [r for r in range(ranges) if cut[r + 1] > cut[r]]
+    blobs = [_packed(np.diff(key[cut[r] : cut[r + 1]], prepend=np.uint64(0)), *(c[cut[r] : cut[r + 1]].astype("<u4") for c in counts)) for r in full]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk, np.int64)), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "range", "blob"])
 
 
-def _unigrams(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of words (target, background) and of contexts (target, background)."""
+def _added(counts: int) -> Callable[[pa.Table], pa.Table]:
+    """Sums of a range's counts over all chunks, for each chunk those of its own keys; the first row has the number of keys but OPEN and the sums of all counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, VOCABULARY), np.int64)
-        for batch in batches:
-            for docs, ids in zip(batch.column(0), batch.column(1)):
-                _, _, target, key = _bigrams(docs.as_buffer(), ids.as_buffer())
-                for k, own in enumerate((key[target] & 0xFFFF, key[~target] & 0xFFFF, key[target] >> 16, key[~target] >> 16)):
-                    total[k] += np.bincount(own, minlength=VOCABULARY)
-        at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[k, at]) for k in range(4))], names=["id", "a", "b", "c", "d"])
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(x.as_buffer(), "<u8", *["<u4"] * counts) for x in table["blob"].combine_chunks()]
+        keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([p[k] for p in parts])).astype("<u8") for k in range(1, counts + 1)]
+        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        blobs = [_packed(*(t[at[a:b]] for t in total)) for a, b in zip(cut[:-1], cut[1:])]
+        sums = [[int((found != OPEN).sum()), *(int(t.sum()) for t in total)], *[None] * (len(keys) - 1)]
+        return pa.table({"chunk": table["chunk"], "range": table["range"], "blob": pa.array(blobs, pa.binary()), "sums": pa.array(sums, pa.list_(pa.int64()))})
 
-    rows = chunks.select("docs", "ids").mapInArrow(run, "id int, a long, b long, c long, d long")
-    out = np.zeros((4, VOCABULARY), np.int64)
-    for r in rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect():
-        out[:, r["id"]] = tuple(r)[1:]
-    return tuple(out)
+    return run
 
 
-def _losses(key: np.ndarray, count: np.ndarray, word: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
+def _joined(blobs: pa.ListScalar, counts: int) -> list[np.ndarray]:
+    """The sums of all of a chunk's keys, in their order."""
+    parts = [_unpacked(x.as_buffer(), *["<u8"] * counts) for x in blobs.values] if blobs.is_valid else []
+    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in range(counts)]
+
+
+def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, size: int) -> np.ndarray:
     """The loss of each bigram in one model."""
-    now, before = key & 0xFFFF, key >> 16
-    flat = (word[now] + 1) / (word.sum() + size)
-    seen = context[before]
-    return -np.log(np.where(seen > 0, MIXTURE * count / np.maximum(seen, 1) + (1 - MIXTURE) * flat, flat))
+    flat = (word + 1.0) / (total + size)
+    return -np.log(np.where(context > 0, MIXTURE * pair / np.maximum(context, 1) + (1 - MIXTURE) * flat, flat))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, is_target, score. targets: a column of ids named id_col."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = max(8, own.rdd.getNumPartitions())
-    words = vocabulary(own, ranges)
     names = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     names = scratch.table(names, "targets")
     if names.count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
-    chunks = _chunks(own.join(names, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), words)
-    uni = _unigrams(chunks)
-    size = len(words) + 1
+    chunks = _chunks(own.join(names, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, docs_, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                _, _, target, key = _bigrams(docs_.as_buffer(), ids.as_buffer())
-                found, at, cut = _distinct(key, ranges)
-                both = np.bincount(at, minlength=len(found))
-                of_target = np.bincount(at[target], minlength=len(found))
-                full = [r for r in range(ranges) if cut[r + 1] > cut[r]]
-                blobs = [_packed(np.diff(found[cut[r] : cut[r + 1]], prepend=np.uint32(0)), of_target[cut[r] : cut[r + 1]], (both - of_target)[cut[r] : cut[r + 1]]) for r in full]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk, np.int64)), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "range", "blob"])
-
-    def compared(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(x.as_buffer(), 3) for x in table["blob"].combine_chunks()]
-        keys = [np.cumsum(p[0], dtype=np.uint32) for p in parts]
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        target = np.bincount(at, np.concatenate([p[1] for p in parts]))
-        background = np.bincount(at, np.concatenate([p[2] for p in parts]))
-        loss = _losses(found, target, uni[0], uni[2], size) - _losses(found, background, uni[1], uni[3], size)
-        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        blobs = [loss[at[a:b]].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table({"chunk": table["chunk"], "range": table["range"], "blob": pa.array(blobs, pa.binary())})
+            for chunk, *blobs in zip(batch.column(0).to_pylist(), *batch.columns[1:4]):
+                _, name, _, target, before, now = _bigrams(*(x.as_buffer() for x in blobs))
+                if len(now):
+                    counts = [np.bincount(x, minlength=len(name)) for x in (now[target], now[~target], before[target], before[~target])]
+                    yield _sent(chunk, name, counts, ranges)
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *blobs in zip(batch.column(0).to_pylist(), *batch.columns[1:4]):
+                _, name, _, target, before, now = _bigrams(*(x.as_buffer() for x in blobs))
+                if len(now):
+                    found, at = _distinct(name, before, now)
+                    counts = [np.bincount(at[own], minlength=len(found)) for own in (target, ~target)]
+                    yield _sent(chunk, found, counts, ranges)
+
+    def added(sent, counts: int) -> DataFrame:
+        rows = chunks.mapInArrow(sent, "chunk long, range int, blob binary")
+        return rows.groupBy("range").applyInArrow(_added(counts), "chunk long, range int, blob binary, sums array<long>")
+
+    words = scratch.table(added(of_words, 4), "words")
+    size, *total = (n or 0 for n in words.agg(*[F.sum(F.col("sums")[k]) for k in range(3)]).first())
+    size += 1
+
+    def of_kind(pairs: bool) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("pairs") == pairs, F.struct("range", "blob")))), lambda x: x["blob"])
 
-    sent = chunks.mapInArrow(counted, "chunk long, range int, blob binary")
-    back = sent.groupBy("range").applyInArrow(compared, "chunk long, range int, blob binary")
-    gathered = back.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("range", "blob"))), lambda x: x["blob"]).alias("losses"))
+    back = words.withColumn("pairs", F.lit(False)).unionByName(added(of_pairs, 2).withColumn("pairs", F.lit(True)))
+    gathered = back.groupBy("chunk").agg(of_kind(False).alias("of_words"), of_kind(True).alias("of_pairs"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs_, ids, losses in zip(batch.column(0), batch.column(1), batch.column(2)):
-                head, of, _, key = _bigrams(docs_.as_buffer(), ids.as_buffer())
-                _, at, _ = _distinct(key, ranges)
-                flat = np.frombuffer(b"".join(x.as_buffer() for x in losses.values) if losses.is_valid else b"", "<f4")
-                total = np.bincount(of, flat[at].astype(np.float64) if len(at) else None, minlength=len(head)) if len(of) else np.zeros(len(head))
-                n = head[:, 3]
-                yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 2] == 1), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_words", "is_target", "score"])
-
-    return chunks.join(gathered, "chunk", "left").select("docs", "ids", "losses").mapInArrow(scored, "doc_id long, n_words long, is_target boolean, score double")
+            for docs_, words_, ids, sums, pairs in zip(*batch.columns[:5]):
+                head, name, of, _, before, now = _bigrams(docs_.as_buffer(), words_.as_buffer(), ids.as_buffer())
+                n, mean = head[:, 3], np.zeros(len(head))
+                if len(now):
+                    found, at = _distinct(name, before, now)
+                    some = np.zeros(len(found), np.int64)
+                    some[at] = np.arange(len(at))
+                    a, b = before[some], now[some]
+                    sums, pairs = _joined(sums, 4), _joined(pairs, 2)
+                    loss = _loss(pairs[0], sums[2][a], sums[0][b], total[0], size) - _loss(pairs[1], sums[3][a], sums[1][b], total[1], size)
+                    mean = np.bincount(of, loss[at], minlength=len(head)) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 2] == 1), pa.array(mean)], names=["doc_id", "n_words", "is_target", "score"])
+
+    return chunks.join(gathered, "chunk", "left").select("docs", "words", "ids", "of_words", "of_pairs").mapInArrow(scored, "doc_id long, n_words long, is_target boolean, score double")

@@ -356,6 +356,29 @@ def test_cross_entropy_difference(spark, docs, texts, empty):
     assert lm_score.cross_entropy_difference(docs, targets.limit(0)).count() == len(texts)
 
 
+def test_cross_entropy_difference_of_many_words(spark):
+    rng = np.random.default_rng(7)
+    order = np.concatenate([np.arange(70_000), rng.permutation(70_000)[:20_000], rng.permutation(70_000)[:20_000]])
+    rows = [(i, [f"w{k}" for k in own]) for i, own in enumerate(np.split(order, 55))]
+    target = {i for i, _ in rows if i % 3 == 0}
+    uni, ctx, bi, n = ({m: Counter() for m in (True, False)} for _ in range(4))
+    for i, v in rows:
+        m = i in target
+        uni[m].update(v)
+        ctx[m].update([None, *v[:-1]])
+        bi[m].update(zip([None, *v], v))
+        n[m][0] += len(v)
+
+    def loss(m, a, b):
+        flat = (uni[m][b] + 1) / (n[m][0] + 70_001)
+        return -np.log(0.7 * bi[m][a, b] / ctx[m][a] + 0.3 * flat if ctx[m][a] else flat)
+
+    want = [np.mean([loss(True, a, b) - loss(False, a, b) for a, b in zip([None, *v], v)]) for _, v in rows]
+    docs = spark.createDataFrame([(i, " ".join(v)) for i, v in rows], "doc_id long, text string").repartition(3)
+    got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], want, atol=1e-9)
+
+
 # 8. language id
 def test_language_id(spark, docs, empty):
     got = language.language_id(clashing(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
