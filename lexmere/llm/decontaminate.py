@@ -126,31 +126,39 @@ def _cleaned(raw: bytes, words: Words, hit: np.ndarray, origin: int) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _search(text: pa.Array, windows: Windows) -> tuple[Words, np.ndarray, list[list[str]]]:
+    """A shard's words, which of them are hit, and the items found in each document."""
+    words = scan(text, ALNUM)
+    hit, doc, item = search_shard(words, windows)
+    found: list[list[str]] = [[] for _ in range(len(text))]
+    for d, i in zip(doc.tolist(), item.tolist()):
+        found[d].append(windows.items[i])
+    return words, hit, found
+
+
+def _result(part: pa.RecordBatch, words: Words, hit: np.ndarray, found: list[list[str]], texts: bool) -> pa.RecordBatch:
+    n, first = part.num_rows, words.first()
+    n_hit = np.bincount(words.doc[hit], minlength=n)
+    clean: list[str | None] = [None] * n
+    if texts:
+        clean = part.column(1).to_pylist()
+        for d in np.flatnonzero(n_hit):
+            a, b = first[d], first[d + 1]
+            own = Words(words.buf, words.off, words.start[a:b], words.end[a:b], words.doc[a:b], words.hash[:0])
+            clean[d] = _cleaned(clean[d].encode(), own, hit[a:b], int(words.off[d]))
+    kept = [part.column(k) for k, name in enumerate(part.schema.names) if name == "rest"]
+    return pa.RecordBatch.from_arrays(
+        [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string()), *kept],
+        names=["doc_id", "n_words", "n_hit", "items", "clean", "rest"][: 5 + len(kept)],
+    )
+
+
 def _runner(items: list[tuple[str, str]], size: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows.of(items, size)
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
-                words = scan(part.column(1), ALNUM)
-                hit, doc, item = search_shard(words, windows)
-                n = part.num_rows
-                first = words.first()
-                found: list[list[str]] = [[] for _ in range(n)]
-                for d, i in zip(doc.tolist(), item.tolist()):
-                    found[d].append(windows.items[i])
-                n_hit = np.bincount(words.doc[hit], minlength=n)
-                clean: list[str | None] = [None] * n
-                if texts:
-                    clean = part.column(1).to_pylist()
-                    for d in np.flatnonzero(n_hit):
-                        a, b = first[d], first[d + 1]
-                        own = Words(words.buf, words.off, words.start[a:b], words.end[a:b], words.doc[a:b], words.hash[:0])
-                        clean[d] = _cleaned(clean[d].encode(), own, hit[a:b], int(words.off[d]))
-                kept = [part.column(k) for k in range(2, part.num_columns)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string()), *kept],
-                    names=["doc_id", "n_words", "n_hit", "items", "clean", "rest"][: 5 + len(kept)],
-                )
+                yield _result(part, *_search(part.column(1), windows), texts)
 
     return run
 
@@ -160,9 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     With carry also rest, a struct of all other columns.
 
-    The benchmark goes to the tasks in blocks of at most BLOCK_BYTES; with more
-    than one block a document's n_hit is that of the whole benchmark only when
-    texts is set, as each further block searches what the earlier ones left of it.
+    The benchmark goes to the tasks in blocks of about BLOCK_BYTES, a pass for each;
+    the results do not depend on their number.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -173,33 +180,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     if blocks == 1:
         rows = [(r[0], r[1]) for r in items.collect()]
         return own.mapInArrow(_runner(rows, window, texts), schema)
-    return _in_blocks(own, items, window, blocks)
+    return _in_blocks(own, items, window, blocks, texts, schema)
 
 
-def _in_blocks(own: DataFrame, items: DataFrame, window: int, blocks: int) -> DataFrame:
-    """One pass for each block of items, carrying each document's finds along."""
-    held = own.withColumns({"base": F.lit(None).cast("long"), "hits": F.lit(0).cast("long"), "found": F.array().cast("array<string>")})
-    rest = ["rest"] if "rest" in own.columns else []
+def _in_blocks(own: DataFrame, items: DataFrame, window: int, blocks: int, texts: bool, schema: str) -> DataFrame:
+    """One pass over the unchanged texts for each block of items, carrying each document's hit words (as bits, null for none) and finds along; what is hit in any pass is cut at the end."""
+    held = own.withColumns({"bits": F.lit(None).cast("binary"), "found": F.array().cast("array<string>")})
 
-    def carry(rows, fresh):
-        run = _runner(rows, window, True)
+    def hits(part: pa.RecordBatch, words: Words) -> np.ndarray:
+        hit, first = np.zeros(len(words.start), bool), words.first()
+        for d, bits in enumerate(part.column("bits").to_pylist()):
+            if bits is not None:
+                hit[first[d] : first[d + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=first[d + 1] - first[d])
+        return hit
 
-        def go(batches):
+    def carry(rows):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows.of(rows, window)
             for batch in batches:
-                done = pa.Table.from_batches(list(run([batch.select(["doc_id", "text"])])))
-                base = done["n_words"].to_pylist() if fresh else batch.column("base").to_pylist()
-                hits = [a + b for a, b in zip(batch.column("hits").to_pylist(), done["n_hit"].to_pylist())]
-                found = [sorted({*a, *b}) for a, b in zip(batch.column("found").to_pylist(), done["items"].to_pylist())]
-                columns = {"text": done["clean"].combine_chunks(), "base": pa.array(base, pa.int64()), "hits": pa.array(hits, pa.int64()), "found": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+                for part in slices(batch, "text", SHARD_BYTES):
+                    words, hit, fresh = _search(part.column(1), windows)
+                    hit |= hits(part, words)
+                    first = words.first()
+                    bits = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(first[:-1], first[1:])]
+                    found = [sorted({*a, *b}) for a, b in zip(part.column("found").to_pylist(), fresh)]
+                    columns = {"bits": pa.array(bits, pa.binary()), "found": pa.array(found, pa.list_(pa.string()))}
+                    yield pa.RecordBatch.from_arrays([columns[c] if c in columns else part.column(c) for c in part.schema.names], names=part.schema.names)
 
         return go
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SHARD_BYTES):
+                words = scan(part.column(1), ALNUM, hashes=False)
+                yield _result(part, words, hits(part, words), part.column("found").to_pylist(), texts)
+
     block = F.pmod(F.xxhash64("item"), F.lit(blocks))
     for k in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(block == k).collect()]
-        held = held.mapInArrow(carry(rows, k == 0), held.schema)
-    return held.selectExpr("doc_id", "base AS n_words", "hits AS n_hit", "found AS items", "text AS clean", *rest)
+        held = held.mapInArrow(carry(rows), held.schema)
+    return held.mapInArrow(cut, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

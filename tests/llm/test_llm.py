@@ -196,6 +196,22 @@ def test_decontamination(spark, docs, texts, empty, monkeypatch):
     assert Counter((r.doc_id, r.n_words, r.contaminated) for r in one) == Counter(tuple(r) for r in many)
 
 
+def test_decontamination_in_many_blocks(spark, monkeypatch):
+    w = [f"W{k}" for k in range(40)]
+    whole, apart = " ".join(w[:20]), [*w[20:25], *w[30:35]]
+    items = [(k, whole) for k in range(6)] + [(10 + k, " ".join(w[k : k + 10])) for k in range(11)] + [(30 + k, " ".join(apart)) for k in range(6)] + [(40 + k, "one two, three") for k in range(4)]
+    texts = [(1, f"Before. {whole}, after!"), (2, " ".join([*apart[:5], *w[:10], *apart[5:]])), (3, None), (4, "one " + " ".join(w[3:18]) + " two three"), (5, "(" + " ".join(apart) + ") One two three"), (5, ""), (None, whole)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for keep in (True, False):
+        got = decontaminate.decontaminate(docs.withColumn("extra", docs.doc_id), bench, texts=keep, carry=True).cache()
+        assert Counter(tuple(r) for r in decontaminate.digest(got).collect()) == contaminated(texts, items)
+        assert all(r.rest.extra == r.doc_id for r in got.collect())
+        clean = sorted((r.doc_id or 0, r.clean or "") for r in got.collect())
+        want = [(0, ""), (1, "Before. , after!"), (2, " ".join([*apart[:5], "", *apart[5:]])), (3, ""), (4, "one  two three"), (5, ""), (5, "(")]
+        assert clean == (want if keep else [(d, "") for d, _ in want])
+
+
 # 5. packing
 def test_packing_plan_covers_and_fills():
     rng = np.random.default_rng(3)
