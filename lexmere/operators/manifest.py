@@ -111,15 +111,25 @@ def totals(documents: DataFrame) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """Free names for (position, name): "stem (2).ext" and on, past those taken. Up to 999 tries."""
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    order = Window.partitionBy("name").orderBy("position")
-    tries = wanted.withColumns({"turn": F.row_number().over(order), "stem": stem, "ext": ext})
-    options = tries.select("name", "stem", "ext").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(999))))
-    option = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), F.col("k").cast("string"), F.lit(")"), "ext"))
-    free = options.withColumn("free", option).join(existing.select(F.col("name").alias("free")), "free", "left_anti")
-    ranked = free.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy("k")))
-    return tries.join(ranked.select("name", "turn", "free"), ["name", "turn"]).select("position", "name", F.col("free").alias("given"))
+    """Free names for (position, name): "stem (2).ext" and on, past those taken."""
+
+    def parts(name: Column | str) -> list[Column]:
+        return [F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", k) for k in (1, 2)]
+
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("position")).cast("long")
+    asked = wanted.select("position", "name", turn.alias("turn"), F.lit(0).alias("taken"))
+    # an existing name takes number 1 of itself, and "stem (k).ext" number k of "stem.ext"
+    stem, ext = parts("name")
+    base, k = (F.regexp_extract(stem, r"^(.*) \(([1-9][0-9]*)\)$", j) for j in (1, 2))
+    numbered = existing.select(F.concat(base, ext).alias("name"), k.try_cast("long").alias("k")).where("k >= 2")
+    numbers = existing.where("name IS NOT NULL").select("name", F.lit(1).cast("long").alias("k")).unionByName(numbered).distinct()
+    # the turns after k less the numbers taken up to k lie beyond it
+    after = F.col("k") - F.row_number().over(Window.partitionBy("name").orderBy("k"))
+    both = asked.unionByName(numbers.select("name", after.alias("turn"), F.lit(1).alias("taken")), allowMissingColumns=True)
+    before = F.sum("taken").over(Window.partitionBy("name").orderBy("turn", "taken").rowsBetween(Window.unboundedPreceding, 0))
+    given = both.withColumn("k", F.col("turn") + before).where("taken = 0")
+    option = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("k").cast("string"), F.lit(")"), ext))
+    return given.select("position", "name", option.alias("given"))
 
 
 def merge_requests(requests: DataFrame) -> DataFrame:

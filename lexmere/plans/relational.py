@@ -253,6 +253,17 @@ def unique_names(spark, sf):
     return manifest.unique_names(wanted, spark.createDataFrame([("1.txt",), ("3.txt",)], "name string"))
 
 
+@query(
+    M
+    + """, w AS (SELECT doc_id AS position, (doc_id % 5) || '.txt' AS name FROM manifest)
+    SELECT position, name, CASE WHEN turn = 1 THEN name ELSE regexp_replace(name, '\\.txt$', '') || ' (' || turn || ').txt' END AS given
+    FROM (SELECT position, name, row_number() OVER (PARTITION BY name ORDER BY position) + CASE WHEN name IN ('1.txt', '3.txt') THEN 1 ELSE 0 END AS turn FROM w)"""
+)
+def unique_names_whole(spark, sf):
+    wanted = d.manifest(spark, sf).select(F.col("doc_id").alias("position"), F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".txt")).alias("name"))
+    return manifest.unique_names(wanted, spark.createDataFrame([("1.txt",), ("3.txt",)], "name string"))
+
+
 @query(
     """WITH r AS (SELECT event_id AS position, event_type AS scope, 'd' || (user_id % 3) AS directory, user_id % 2 = 0 AS force, CASE WHEN event_id % 40 <> 0 THEN 'p' || (event_id % 6) END AS path FROM events WHERE event_id < 400)
     SELECT scope, directory, force, min(position) AS position, CASE WHEN count(*) = count(path) THEN array_to_string(list_sort(list(DISTINCT path)), ',') END AS paths FROM r GROUP BY scope, directory, force"""

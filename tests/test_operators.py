@@ -67,6 +67,20 @@ def test_source_packing_skips_and_keeps_the_first(spark):
     assert [s["place"] for s in kept] == [1, 4]
 
 
+def test_unique_names_without_a_limit(spark):
+    taken = ["a (3).txt", "a (2).txt", "a (1000).txt", "a (02).txt", "a (99999999999999999999).txt", "b.txt", "b (3).txt", "c", "c (2)", "other.pdf"]
+    names = ["a.txt"] * 2500 + ["b.txt"] * 3 + ["c"] * 2 + ["b (3).txt"] * 2 + [".d"] * 2
+    want = []
+    for name in dict.fromkeys(names):
+        stem, dot, ext = name.rpartition(".")
+        stem, ext = (stem, dot + ext) if dot else (name, "")
+        free = (o for k in range(1, 9999) if (o := name if k == 1 else f"{stem} ({k}){ext}") not in taken)
+        want += [(p, name, next(free)) for p, n in enumerate(names) if n == name]
+    wanted = spark.createDataFrame(list(enumerate(names)), "position long, name string")
+    got = manifest.unique_names(wanted, spark.createDataFrame([(n,) for n in taken], "name string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_stream_text(spark):
     lines = ['data: {"choices":[{"delta":{"content":"hi"}}]}', "data: [DONE]", ": note", "data: {bad", 'data: {"choices":[{"delta":{}}]}']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(rag.delta_text(F.col("l"))).collect()]
