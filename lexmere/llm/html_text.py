@@ -6,7 +6,9 @@ scripts, styles, reader comments, hidden elements) are left out while parsing.
 Each block passes points, for itself, its commas and its length, to the elements
 around it, less with distance and less for text inside links. The element with
 the most points, lowered by its own share of links, is the article; it widens to
-a parent that holds clearly more, and siblings that look like text are kept.
+a parent that holds clearly more, to all of the article or main element around it,
+and elsewhere to parents that add mostly text outside links; siblings with few links
+are kept. Lists of links are left out only outside the article.
 
 Defined results: a null or empty page, and one without text, give an empty
 string. Unclosed, misnested and cut-off markup is read as far as it goes. Only
@@ -212,11 +214,14 @@ class Page:
         """The kept blocks, a line each."""
         n = len(self.tag)
         points, whole, chars, linked = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+        count, plain = [0] * n, [0] * n
         owners = [self.owner(node) for node, _, _ in self.blocks]
         for own, (_, text, inside) in zip(owners, self.blocks):
             for up in self._up(own):
                 chars[up] += len(text)
                 linked[up] += inside
+                count[up] += 1
+                plain[up] += 2 * inside < len(text)
             if len(text) < LEAST_BLOCK or self.tag[own] in HEADING:
                 continue
             gain = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - inside / len(text))
@@ -230,6 +235,7 @@ class Page:
         density = [linked[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
         score = [(points[k] + self.weight[k]) * (1 - density[k]) if points[k] > 0 else 0.0 for k in range(n)]
         best = max(range(n), key=lambda k: (score[k], -k))
+        chosen = -1
         if score[best] <= 0:
             kept = None
         else:
@@ -238,12 +244,20 @@ class Page:
                 if up <= 0 or self.tag[best] in KEPT_WHOLE or whole[up] * (1 - density[up]) < 1.25 * whole[best]:
                     break
                 best = up
+            around = [k for kind in ("main", "article") for k in self._up(best) if self.tag[k] == kind]
+            best = around[-1] if around else best
+            chosen = best if self.tag[best] not in ("html", "body") else -1
+            while not around and self.tag[best] not in KEPT_WHOLE:
+                up = self.parent[best]
+                if up <= 0 or self.tag[up] in KEPT_WHOLE or 2 * (plain[up] - plain[best]) < count[up] - count[best]:
+                    break
+                best = up
             kept = {best} | self._siblings(best, score, chars, density)
         out = []
         menus = {k for k in range(n) if self.tag[k] in ("ul", "ol", "dl", "table") and density[k] > 0.6}
         for own, (_, text, _) in zip(owners, self.blocks):
             path = list(self._up(own))
-            if (kept is None or any(p in kept for p in path)) and not any(p in menus for p in path):
+            if (kept is None or any(p in kept for p in path)) and (chosen in path or not any(p in menus for p in path)):
                 out.append(text)
         return "\n".join(out)
 
@@ -258,6 +272,8 @@ class Page:
                 found.add(k)
             elif self.tag[k] in ("p", "pre", "blockquote") and chars[k] > 80 and density[k] < 0.25:
                 found.add(k)
+            elif self.tag[best] not in ("article", "main") and chars[k] and density[k] < 0.25:
+                found.add(k)
         return found
 
 

@@ -120,6 +120,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+FULL = "A full paragraph of the page, with commas, words, and more of them, so that it is long enough to count for much. " * 3
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><h1>Title</h1>{}</main>", "<div class='x'>{}</div>", "<div><div>{}</div></div>", "{}"])
+def test_main_text_keeps_short_sections(around):
+    short = "<section><h2>Head {0}</h2><p>First of {0}, which is short.</p><p>Second of {0}.</p></section>"
+    page = "<section>" + f"<p>{FULL}</p>" * 20 + "</section>" + short.format("B") + "<p>Between.</p>" + short.format("C")
+    menu = "<ul><li><a href=/a>Some menu entry</a><li><a href=/b>Another menu entry</a></ul>"
+    got = html_text.main_text("<html><body>" + menu + around.format(page) + menu + "</body></html>").split("\n")
+    want = [FULL.strip()] * 20 + ["Head B", "First of B, which is short.", "Second of B.", "Between.", "Head C", "First of C, which is short.", "Second of C."]
+    assert got == ["Title"] * ("Title" in around) + want
+
+
+def test_main_text_keeps_a_list_of_sources():
+    sources = "<ul><li><a href=/1>First source of the article</a><li><a href=/2>Second source</a></ul>"
+    got = html_text.main_text(f"<body>{sources.replace('source', 'menu')}<article><p>{FULL}</p><p>{FULL}</p>{sources}</article></body>")
+    assert got.split("\n") == [FULL.strip()] * 2 + ["First source of the article", "Second source"]
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<p>text</p>"), (2, None, None), (2, None, None), (None, "u", "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect()
