@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def vector_topk(passages: DataFrame, queries: DataFrame, k: int, filters: dict[s
     return scored.drop("embedding", "q").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def vector_topk_in_parts(passages: DataFrame, queries: DataFrame, k: int, filters: dict[str, str | None] | None = None, scope: Scope | None = None, digits: int = 6) -> DataFrame:
+    """vector_topk for any number of queries: a search for each part of about half of what may be broadcast."""
+    parts = 1 + 2 * queries.count() // QUERY_ROWS
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [vector_topk(passages, queries.where(part == n) if parts > 1 else queries, k, filters, scope, digits) for n in range(parts)])
+
+
 def single_topk(passages: DataFrame, vector: list[float], k: int, filters: dict[str, str | None] | None = None, scope: Scope | None = None, digits: int = 6) -> DataFrame:
     """One query: a plain ordered limit, which runs as a distributed top-k without a full sort."""
     q = F.array(*[F.lit(float(x)) for x in vector])

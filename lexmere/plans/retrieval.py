@@ -18,14 +18,18 @@ def _queries(spark, sf, most=10):
     return table(spark, sf, "embeddings").where(f"vec_id < {most}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _topk_sql(where: str, k: int = 10, most: int = 10) -> str:
+def _every(spark, sf, which="vec_id % 50 = 0"):
+    return table(spark, sf, "embeddings").where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _topk_sql(where: str, k: int = 10, most: int = 10, which: str | None = None) -> str:
     dot = d.DOT.format(a="p.embedding", b="q.embedding")
     return (
         d.with_(d.PASSAGES)
         + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, document_id, chunk_index, score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM (
         SELECT q.vec_id AS query_id, p.vec_id, p.document_id, p.chunk_index, {dot} AS score FROM passages p, embeddings q
-        WHERE q.vec_id < {most} AND p.kind IS DISTINCT FROM 'heading' AND {where})) WHERE rank <= {k}"""
+        WHERE {which or f'q.vec_id < {most}'} AND p.kind IS DISTINCT FROM 'heading' AND {where})) WHERE rank <= {k}"""
     )
 
 
@@ -44,6 +48,22 @@ def vector_topk_scoped(spark, sf):
     return search.vector_topk(d.passages(spark, sf), _queries(spark, sf), 10, scope=Scope("src1")).select(*_COLUMNS)
 
 
+# the same searches for the queries that the job names: every row whose id is divisible by 50
+@query(_topk_sql("true", which="q.vec_id % 50 = 0"))
+def vector_batch_topk_whole(spark, sf):
+    return search.vector_topk_in_parts(d.passages(spark, sf), _every(spark, sf), 10).select(*_COLUMNS)
+
+
+@query(_topk_sql("p.language = 'en'", which="q.vec_id % 50 = 0"))
+def vector_topk_filtered_whole(spark, sf):
+    return search.vector_topk_in_parts(d.passages(spark, sf), _every(spark, sf), 10, {"language": "en"}).select(*_COLUMNS)
+
+
+@query(_topk_sql("(p.owner_id = 'src1' OR p.visibility = 'public')", which="q.vec_id % 50 = 0"))
+def vector_topk_scoped_whole(spark, sf):
+    return search.vector_topk_in_parts(d.passages(spark, sf), _every(spark, sf), 10, scope=Scope("src1")).select(*_COLUMNS)
+
+
 @query(_topk_sql("true", 10, 1).replace("SELECT query_id, CAST(rank AS INTEGER) AS rank, ", "SELECT ", 1))
 def vector_topk(spark, sf):
     vector = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
@@ -155,6 +175,43 @@ def expected_pages(spark, sf):
     return p.join(F.broadcast(wanted), evaluation.expected_page()).select("vec_id", "expected")
 
 
+# the same evaluations with every row as a case
+_FIRST_WHOLE = _FIRST.replace(_RANKS, _topk_sql("true", 5, which="true")).replace("WHERE e.vec_id < 40 GROUP BY", "GROUP BY")
+
+
+def _ranks_whole(spark, sf):
+    cases = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), (F.col("label") % 2).alias("group"), F.col("label").cast("string").alias("wanted"))
+    hits = search.vector_topk_in_parts(d.passages(spark, sf), _every(spark, sf, "true"), 5).withColumnRenamed("query_id", "case_id")
+    judged = hits.join(cases, "case_id").withColumn("matches", (F.col("document_id") == F.col("wanted")) & (F.col("vec_id") != F.col("case_id")))
+    return evaluation.first_ranks(cases, judged, 5)
+
+
+@query(_FIRST_WHOLE + f"SELECT {_MEASURES} FROM firsts")
+def retrieval_metrics_whole(spark, sf):
+    return evaluation.summary(_ranks_whole(spark, sf))
+
+
+@query(_FIRST_WHOLE + f'SELECT "group", {_MEASURES} FROM firsts GROUP BY GROUPING SETS ((), ("group"))')
+def retrieval_metrics_grouped_whole(spark, sf):
+    return evaluation.summary(_ranks_whole(spark, sf), "group")
+
+
+@query(_FIRST_WHOLE + "SELECT case_id, first_rank FROM firsts")
+def first_match_rank_whole(spark, sf):
+    return _ranks_whole(spark, sf).select("case_id", "first_rank")
+
+
+@query(
+    d.with_(d.PASSAGES)
+    + """SELECT p.vec_id, o.vec_id AS expected FROM passages p JOIN (SELECT vec_id, filename, CAST(vec_id % 10 + 1 AS INTEGER) AS page FROM passages) o
+    ON p.filename = o.filename AND o.page BETWEEN p.page_start AND p.page_end"""
+)
+def expected_pages_whole(spark, sf):
+    p = d.passages(spark, sf).select("vec_id", "filename", "page_start", "page_end")
+    wanted = d.passages(spark, sf).select(F.col("vec_id").alias("expected"), F.col("filename").alias("expect_filename"), (F.col("vec_id") % 10 + 1).cast("int").alias("page"))
+    return p.join(wanted, evaluation.expected_page()).select("vec_id", "expected")
+
+
 @query("SELECT CAST(user_id % 3 AS BIGINT) AS preset, round(avg(value), 6) AS mrr FROM events GROUP BY preset ORDER BY mrr DESC, preset DESC LIMIT 1")
 def best_preset(spark, sf):
     s = table(spark, sf, "events").groupBy((F.col("user_id") % 3).alias("preset")).agg(F.round(F.avg("value"), 6).alias("mrr")).withColumn("recall_at_1", F.col("preset"))

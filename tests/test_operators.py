@@ -81,6 +81,17 @@ def test_unique_names_without_a_limit(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_searches_cover_every_query(spark, monkeypatch):
+    from lexmere.operators import search
+
+    monkeypatch.setattr(search, "QUERY_ROWS", 300)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = {r.vec_id for r in rows.where("vec_id % 50 = 0").collect()}
+    got = QUERIES["vector_batch_topk_whole"](spark, SF).collect()
+    assert {r.query_id for r in got} == want and len(got) == 10 * len(want)
+    assert QUERIES["retrieval_metrics_whole"](spark, SF).first().cases == rows.count()
+
+
 def test_stream_text(spark):
     lines = ['data: {"choices":[{"delta":{"content":"hi"}}]}', "data: [DONE]", ": note", "data: {bad", 'data: {"choices":[{"delta":{}}]}']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(rag.delta_text(F.col("l"))).collect()]
