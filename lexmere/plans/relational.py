@@ -274,6 +274,16 @@ def merge_run_requests(spark, sf):
     return manifest.merge_requests(r).withColumn("paths", F.when(F.col("paths").isNotNull(), F.array_join("paths", ",")))
 
 
+@query(
+    """WITH r AS (SELECT event_id AS position, event_type AS scope, 'd' || (user_id % 3) AS directory, user_id % 2 = 0 AS force, CASE WHEN event_id % 40 <> 0 THEN 'p' || (event_id % 6) END AS path FROM events)
+    SELECT scope, directory, force, min(position) AS position, CASE WHEN count(*) = count(path) THEN array_to_string(list_sort(list(DISTINCT path)), ',') END AS paths FROM r GROUP BY scope, directory, force"""
+)
+def merge_run_requests_whole(spark, sf):
+    path = F.concat(F.lit("p"), (F.col("event_id") % 6).cast("string"))
+    r = table(spark, sf, "events").select(F.col("event_id").alias("position"), F.col("event_type").alias("scope"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("directory"), (F.col("user_id") % 2 == 0).alias("force"), F.when(F.col("event_id") % 40 != 0, F.array(path)).alias("paths"))
+    return manifest.merge_requests(r).withColumn("paths", F.when(F.col("paths").isNotNull(), F.array_join("paths", ",")))
+
+
 @query(
     M
     + """SELECT filepath AS path, CASE WHEN doc_id % 19 = 0 THEN 'processing' WHEN doc_id % 11 = 0 THEN 'queued' WHEN doc_id % 3 <> 1 THEN status ELSE 'not_indexed' END AS state FROM manifest"""
@@ -315,6 +325,11 @@ def name_hashes(spark, sf):
     return d.manifest(spark, sf).where("doc_id < 100").select("doc_id", F.sha1(F.lit("x").cast("binary")).alias("probe"), F.substring(F.sha1(F.concat_ws(":", "document_id", F.lit("0")).cast("binary")), 1, 8).alias("key"))
 
 
+@query(M + "SELECT doc_id, sha1('x') AS probe, substr(lower(sha1(concat(document_id, ':0'))), 1, 8) AS key FROM manifest")
+def name_hashes_whole(spark, sf):
+    return d.manifest(spark, sf).select("doc_id", F.sha1(F.lit("x").cast("binary")).alias("probe"), F.substring(F.sha1(F.concat_ws(":", "document_id", F.lit("0")).cast("binary")), 1, 8).alias("key"))
+
+
 @query(
     M
     + """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id

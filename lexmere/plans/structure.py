@@ -144,6 +144,18 @@ def merged_ranges(spark, sf):
     return temporal.merged_ranges(r, "document_id")
 
 
+@query(
+    d.with_(d.PASSAGES)
+    + """, g AS (SELECT document_id, a, b, max(b) OVER (PARTITION BY document_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT document_id, CAST(vec_id % 60 * 3 AS INTEGER) AS a, CAST(vec_id % 60 * 3 + token_count % 5 AS INTEGER) AS b FROM passages)),
+    n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g)
+    SELECT document_id, min(a) AS start, max(b) AS "end" FROM n GROUP BY document_id, island"""
+)
+def merged_ranges_whole(spark, sf):
+    p = d.passages(spark, sf)
+    r = p.select("document_id", (F.col("vec_id") % 60 * 3).cast("int").alias("start"), (F.col("vec_id") % 60 * 3 + F.col("token_count") % 5).cast("int").alias("end"))
+    return temporal.merged_ranges(r, "document_id")
+
+
 _BLOCKS = """blocks AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS "order" FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|li)[^>]*>[^<]*') AS b FROM pages WHERE html IS NOT NULL))"""
 
 
@@ -170,6 +182,12 @@ def body_font_mode(spark, sf):
     return spans.groupBy("l_orderkey").agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body_size"))
 
 
+@query("SELECT l_orderkey, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_discount * 100, 1) AS size, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey, size) GROUP BY l_orderkey")
+def body_font_mode_whole(spark, sf):
+    spans = table(spark, sf, "lineitem").groupBy("l_orderkey", F.round(F.col("l_discount") * 100, 1).alias("size")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    return spans.groupBy("l_orderkey").agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body_size"))
+
+
 @query("SELECT l_orderkey, count(*) AS line_ends, count(*) FILTER (WHERE l_returnflag = 'R') AS with_space, count(*) >= 4 AND CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) >= 0.2 AS midword FROM lineitem GROUP BY l_orderkey")
 def midword_evidence(spark, sf):
     own = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("line_ends"), F.count_if(F.col("l_returnflag") == "R").alias("with_space"))

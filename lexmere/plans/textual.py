@@ -169,6 +169,13 @@ def event_messages(spark, sf):
     return table(spark, sf, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.page").alias("page"), event_text(F.col("event_type"), F.col("props")).alias("message"))
 
 
+@query("SELECT event_id, json_extract_string(props, '$.page') AS page, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS message FROM events")
+def event_messages_whole(spark, sf):
+    from ..operators.rag import event_text
+
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), event_text(F.col("event_type"), F.col("props")).alias("message"))
+
+
 @query("""SELECT item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE 'w' || item_id END AS delta FROM benchmark""")
 def stream_deltas(spark, sf):
     from ..operators.rag import delta_text

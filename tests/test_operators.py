@@ -92,6 +92,13 @@ def test_searches_cover_every_query(spark, monkeypatch):
     assert QUERIES["retrieval_metrics_whole"](spark, SF).first().cases == rows.count()
 
 
+def test_whole_tables_are_read(spark):
+    rows = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("events", "lineitem", "documents")}
+    assert QUERIES["event_messages_whole"](spark, SF).count() == rows["events"].count()
+    assert QUERIES["body_font_mode_whole"](spark, SF).count() == rows["lineitem"].select("l_orderkey").distinct().count()
+    assert QUERIES["name_hashes_whole"](spark, SF).count() == rows["documents"].count()
+
+
 def test_stream_text(spark):
     lines = ['data: {"choices":[{"delta":{"content":"hi"}}]}', "data: [DONE]", ": note", "data: {bad", 'data: {"choices":[{"delta":{}}]}']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(rag.delta_text(F.col("l"))).collect()]
