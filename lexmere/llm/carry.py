@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> str:
+    """A column's name as an expression reads it, whatever signs it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def with_rest(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """(doc_id, text, rest) with every other column inside rest, and rest's type."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
+    others = [F.col(named(c)) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+    out = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"), F.struct(*others).alias("rest"))
     return out, out.schema["rest"].dataType.simpleString()
 
 

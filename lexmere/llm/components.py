@@ -1,7 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Nothing is collected: each step is a grouped minimum and a join, each round is
-written to the shared folder, and the rounds end when a round changes no edge.
+Nothing is collected: each step is a grouped minimum and a join with it, each round
+is written to the shared folder, and the rounds end when a round changes no edge.
+A node with very many edges is no hot key: minima are combined before they are
+exchanged, and joined by broadcast, all of them while they are few and those of
+the large nodes (at most one for HUB edges) always.
 """
 
 from __future__ import annotations
@@ -11,17 +14,34 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+#: minima are broadcast up to so many rows
+BROADCAST_ROWS = 1_000_000
+#: edges that make a node large
+HUB = 10_000
+
+
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (a, b) with the low of a; low has (a, low, k), k the edges of a."""
+    low = scratch.table(low, "low")
+    if low.count() <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(low.drop("k")), "a")
+    hubs = scratch.table(low.where(F.col("k") > HUB).drop("k"), "hubs")
+    if hubs.count() <= BROADCAST_ROWS:
+        hubs = F.broadcast(hubs)
+    few = edges.join(hubs.select("a"), "a", "left_anti").join(low.where(F.col("k") <= HUB).drop("k"), "a")
+    return few.unionByName(edges.join(hubs, "a"))
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("k"))
+    return _with_low(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    joined = down.join(low, "a")
+    low = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("k"))
+    joined = _with_low(down, low)
     return joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
 
 
@@ -30,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = scratch.table(_small_star(_large_star(now)).distinct(), "edges")
+        wide = scratch.table(_large_star(now).distinct(), "edges")
+        now = scratch.table(_small_star(wide).distinct(), "edges")
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break

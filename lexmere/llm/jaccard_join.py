@@ -12,14 +12,15 @@
    A set with too many empty parts for this argument adds their keys too. Keys
    travel sorted and packed, one row for a task and a range of keys.
 3. The ties' connected components bound the join: linked sets share one. They
-   are dealt into blocks of bounded size; a component above the bound is cut in
-   pieces and every two pieces meet in a block.
-4. A block is joined by T-occurrence search: sets come by size, a set's T - 1
-   longest inverted lists are put aside, the rest is heap-merged, and what occurs
-   there is probed in the long lists by binary search (DivideSkip). Sets of the
-   same component need no count: the link would add nothing. Where even the short
-   lists are long, as among thousands of near copies, all lists are counted at
-   once as rows of bits.
+   are dealt into blocks of bounded size. A component above the bound is cut in
+   pieces that are joined each by itself; then all that is not in the largest part
+   found meets the others and all of that part. A group of copies is one part after
+   the first pass, so its sets are sent once.
+4. Each component of a block is joined by T-occurrence search: sets come by size, a
+   number of a set's longest inverted lists, chosen by DivideSkip's rule, is put
+   aside, the rest is heap-merged with skips, and what occurs there often enough is
+   probed in the long lists by binary search. Sets of one part are not compared
+   again: the link would add nothing.
 
 Defined results: null, empty and white-space texts have an empty set, link with
 nothing and are their own component. Repeated rows link with each other. A null
@@ -29,7 +30,9 @@ two named columns are read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .carry import named
 from .components import components
 from .textscan import NON_SPACE, mix, scan, slices
 
 SLICE_BYTES = 2 << 20
 #: shingles in a block of small components, and the size of one piece of an oversized component
-BLOCK_SHINGLES = 1_000_000
-PIECE_SHINGLES = 2_000_000
-PIECE_MEMBERS = 8_192
-#: short lists of more entries than this are counted as bit rows
-LONG_MERGE = 4_000
+BLOCK_SHINGLES = 250_000
+PIECE_SHINGLES = 500_000
+PIECE_MEMBERS = 2_048
+#: how much less a longer list counts when DivideSkip chooses how many to put aside
+SKIP_WEIGHT = 0.01
 #: keys that a task holds before it sends them
 HELD_KEYS = 1_000_000
 #: lists of documents to read again are broadcast up to so many rows
@@ -135,16 +139,38 @@ def set_hashes(own: np.ndarray) -> tuple[int, int]:
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
 
 
 HEADS = "chunk long, range int, prints binary, heads binary"
-PLAIN = "doc_id long, n long, one long, two long, eligible boolean"
+PLAIN = "doc_id long, n long, one long, two long, text_hash long, eligible boolean"
 KEYS = "range int, blob binary, a long, b long"
 
 
+def _sparse(at: np.ndarray, count: np.ndarray) -> bytes:
+    """Rising places and a count at each, in as few bytes as their size allows."""
+    parts, head = [np.diff(at, prepend=0), count], [len(at)]
+    for k, x in enumerate(parts):
+        kind = next(w for w in (1, 2, 4, 8) if x.max(initial=0) < 1 << 8 * w)
+        parts[k] = x.astype(f"<u{kind}")
+        head.append(kind)
+    return np.array(head, "<u4").tobytes() + b"".join(x.tobytes() for x in parts)
+
+
+def _dense(blob) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places and counts of _sparse, and where they end."""
+    n, a, b = (int(x) for x in np.frombuffer(blob, "<u4", 3))
+    gap, count = np.frombuffer(blob, f"<u{a}", n, 12), np.frombuffer(blob, f"<u{b}", n, 12 + n * a)
+    return np.cumsum(gap, dtype=np.int64), count.astype(np.int64), 12 + n * (a + b)
+
+
 def _documents(own: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
-    """PLAIN: every document with its set's size and hashes, and whether enough of it is in other sets."""
+    """PLAIN: every document with its set's size and hashes, and whether enough of it is in other sets.
+
+    A chunk sends a range its prints and, of the documents that have some there, the
+    numbers; a range sends back the numbers met elsewhere, where there are any. So
+    what travels grows with the prints, however many ranges there are.
+    """
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -156,49 +182,52 @@ def _documents(own: DataFrame, width: int, percent: int, ranges: int) -> DataFra
                 n = np.array([len(x) for x in sets], np.int64)
                 present = np.asarray(slice_.column(0).is_valid())
                 name = np.asarray(slice_.column(0).fill_null(0))
-                heads = np.concatenate([np.stack([name, present, n], 1), np.array(hashes, np.int64).reshape(-1, 2)], 1).astype("<i8").tobytes()
+                heads = np.concatenate([np.stack([name, present, n, np.asarray(slice_.column(2))], 1), np.array(hashes, np.int64).reshape(-1, 2)], 1).astype("<i8").tobytes()
                 flat = np.concatenate([*sets, np.empty(0, U)])
                 of = np.repeat(np.arange(len(n)), n)
                 to = ((flat >> U(32)) * U(ranges)) >> U(32)
                 print_ = (mix(flat) >> U(32)).astype("<u4")
                 by = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[by], np.arange(ranges + 1))
-                rows = []
-                for r in range(ranges):
-                    own_rows = by[cut[r] : cut[r + 1]]
-                    if len(own_rows) or not r:
-                        rows.append((r, np.bincount(of[own_rows], minlength=len(n)).astype("<u4").tobytes() + print_[own_rows].tobytes(), heads if not r else None))
+                used, cut = np.unique(to[by], return_index=True)
+                rows = [(0, None)] if not len(used) or used[0] else []
+                rows += [(int(r), by[x:y]) for r, x, y in zip(used, cut, [*cut[1:], len(by)])]
+                blobs = []
+                for _, own_rows in rows:
+                    docs, count = np.unique(of[own_rows], return_counts=True) if own_rows is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    blobs.append(_sparse(docs, count) + (print_[own_rows].tobytes() if own_rows is not None else b""))
                 chunk = pa.array(np.full(len(rows), (part << 32) + at, np.int64))
                 at += 1
-                yield pa.RecordBatch.from_arrays([chunk, pa.array([x[0] for x in rows], pa.int32()), pa.array([len(n).to_bytes(4, "little") + x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], names=["chunk", "range", "prints", "heads"])
+                yield pa.RecordBatch.from_arrays([chunk, pa.array([r for r, _ in rows], pa.int32()), pa.array(blobs, pa.binary()), pa.array([None if r else heads for r, _ in rows], pa.binary())], names=["chunk", "range", "prints", "heads"])
 
     def counted(table: pa.Table) -> pa.Table:
         parts = []
         for x in table["prints"].combine_chunks():
             raw = x.as_buffer()
-            n = int.from_bytes(raw[:4], "little")
-            parts.append((np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", offset=4 + 4 * n)))
-        every = np.sort(np.concatenate([p for _, p in parts]))
+            docs, count, end = _dense(raw)
+            parts.append((docs, count, np.frombuffer(raw, "<u4", offset=end)))
+        every = np.sort(np.concatenate([p for _, _, p in parts]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
-        for counts, prints in parts:
+        for docs, count, prints in parts:
             near = np.minimum(np.searchsorted(twice, prints), max(0, len(twice) - 1))
             hit = twice[near] == prints if len(twice) else np.zeros(len(prints), bool)
-            out.append(np.bincount(np.repeat(np.arange(len(counts)), counts)[hit], minlength=len(counts)).astype("<u4").tobytes())
-        return pa.table({"chunk": table["chunk"], "shared": pa.array(out, pa.binary()), "heads": table["heads"]})
+            met = np.bincount(np.repeat(np.arange(len(count)), count)[hit], minlength=len(count))
+            out.append(_sparse(docs[met > 0], met[met > 0]) if met.any() else None)
+        return pa.table({"chunk": table["chunk"], "shared": pa.array(out, pa.binary()), "heads": table["heads"]}).filter(pa.array([x is not None or y.is_valid for x, y in zip(out, table["heads"])], pa.bool_()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shared, heads in zip(batch.column(0), batch.column(1)):
-                head = np.frombuffer(heads.as_buffer(), "<i8").reshape(-1, 5)
+                head = np.frombuffer(heads.as_buffer(), "<i8").reshape(-1, 6)
                 found = np.zeros(len(head), np.int64)
                 for x in shared.values:
-                    found += np.frombuffer(x.as_buffer(), "<u4")
+                    docs, count, _ = _dense(x.as_buffer())
+                    found[docs] += count
                 n = head[:, 2]
                 fits = (n > 0) & (100 * found >= percent * n)
-                yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 3]), pa.array(head[:, 4]), pa.array(fits)], names=["doc_id", "n", "one", "two", "eligible"])
+                yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 4]), pa.array(head[:, 5]), pa.array(head[:, 3]), pa.array(fits)], names=[x.split()[0] for x in PLAIN.split(", ")])
 
-    sent = own.mapInArrow(printed, HEADS)
+    sent = own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(printed, HEADS)
     back = sent.groupBy("range").applyInArrow(counted, "chunk long, shared binary, heads binary")
     whole = back.groupBy("chunk").agg(F.collect_list("shared").alias("shared"), F.max("heads").alias("heads"))
     return scratch.table(whole.select("shared", "heads").mapInArrow(rows, PLAIN), "documents")
@@ -321,9 +350,14 @@ def _tied(table: pa.Table) -> pa.Table:
 
 
 class Block:
-    """T-occurrence join of the sets of one block; join() gives the component of each set."""
+    """T-occurrence join of sets; join() gives the component of each.
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    label: what is known to belong together; side: sets of equal side are not compared
+    (their pairs are another block's). Lists hold sets by size, so the sizes that can
+    link with a set are one stretch of every list.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, side: np.ndarray | None = None):
         self.percent = percent
         self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         n = len(self.order)
@@ -337,57 +371,80 @@ class Block:
         self.first = np.searchsorted(owner, np.arange(n + 1))
         by = np.argsort(self.code, kind="stable")
         self.post_owner = owner[by]
-        self.post_first = np.searchsorted(self.code[by], np.arange(int(shared.sum()) + 1))
-        self.lengths = np.diff(self.post_first)
         self.pairs = self.code[by] * n + self.post_owner  # sorted: every list can be probed at once
-        # shingles of many sets as bit rows over the sets, for counting whole lists at once
-        common = np.flatnonzero(self.lengths >= max(64, n // 16))
-        self.row = np.full(len(self.lengths), -1, np.int64)
-        self.row[common] = np.arange(len(common))
-        self.bits = np.zeros((len(common), -(-n // 8)), np.uint8)
-        for r, c in enumerate(common):
-            mark = np.zeros(n, bool)
-            mark[self._list(c)] = True
-            self.bits[r] = np.packbits(mark)
-        self.label = np.arange(n)
-        self.members = {i: [i] for i in range(n)}
-
-    def _list(self, c: int) -> np.ndarray:
-        return self.post_owner[self.post_first[c] : self.post_first[c + 1]]
-
-    def _linked(self, overlap: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
-        return (overlap > 0) & (100 * overlap >= self.percent * (self.size[x] + self.size[others] - overlap))
+        self.label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1].reshape(-1)[self.order]
+        self.side = None if side is None else side[self.order]
+        self.members: dict[int, list[int]] = {}
+        for i, x in enumerate(self.label.tolist()):
+            self.members.setdefault(x, []).append(i)
 
     def _unite(self, x: int, y: int) -> None:
         a, b = int(self.label[x]), int(self.label[y])
-        if a == b:
-            return
         if len(self.members[a]) > len(self.members[b]):
             a, b = b, a
         self.label[self.members[a]] = b
         self.members[b] += self.members.pop(a)
 
-    def _merged(self, short: np.ndarray, x: int) -> np.ndarray:
-        """Earlier sets of other components in the short lists, by a heap over the lists."""
-        own, found, last = self.label[x], [], -1
-        for y in heapq.merge(*(self._list(c).tolist() for c in short)):
-            if y >= x:
-                break
-            if y != last and self.label[y] != own:
-                found.append(y)
-            last = y
-        return np.array(found, np.int64)
-
-    def _counted(self, codes: np.ndarray, x: int) -> np.ndarray:
-        """The overlaps of all earlier sets with x: rare lists are added up, common ones counted as bit rows."""
-        rare = codes[self.row[codes] < 0]
-        lists = [self._list(c) for c in rare]
-        overlap = np.bincount(np.concatenate(lists), minlength=len(self.order))[:x] if lists else np.zeros(x, np.int64)
-        rows = self.row[codes[self.row[codes] >= 0]]
-        for a in range(0, len(rows), 255):
-            part = np.unpackbits(self.bits[rows[a : a + 255], : x // 8 + 1], axis=1)[:, :x]
-            overlap = overlap + np.add.reduce(part, axis=0, dtype=np.uint8)
-        return overlap
+    def _linked(self, x: int, y: int, found: int, long: np.ndarray) -> bool:
+        """Whether y, found so often in the short lists, links with x: the long lists are probed by binary search."""
+        wanted = long + y
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        overlap = found + int((self.pairs[at] == wanted).sum())
+        return 100 * overlap >= self.percent * int(self.size[x] + self.size[y] - overlap)
+
+    def _open(self, flat: np.ndarray, bound: np.ndarray, x: int, beyond: int) -> list[list[int]]:
+        """The lists without sets up to `beyond`, of x's own component or of its side."""
+        keep = (self.label[flat] != self.label[x]) & (flat > beyond)
+        if self.side is not None:
+            keep &= self.side[flat] != self.side[x]
+        ends = np.concatenate([[0], np.cumsum(keep)])[bound].tolist()
+        left = flat[keep].tolist()
+        return [left[a:b] for a, b in zip(ends[:-1], ends[1:]) if b > a]
+
+    def _search(self, x: int, codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: int) -> None:
+        """Unites x with what links with it.
+
+        The `aside` longest lists are only probed; the others are merged by a heap that
+        skips: where fewer than `least` lists stand at the smallest set, so many are
+        moved on, by binary search, to the first set that can still occur so often.
+        """
+        n = len(self.order)
+        by = np.argsort(hi - lo, kind="stable")
+        codes, lo, hi = codes[by], lo[by], hi[by]
+        aside = min(need - 1, int(need / (SKIP_WEIGHT * math.log2(int(hi[-1] - lo[-1]) + 1) + 1)))
+        short, least = len(codes) - aside, need - aside
+        long = codes[short:] * n
+        flat = np.concatenate([self.post_owner[a:b] for a, b in zip(lo[:short], hi[:short])])
+        bound = np.concatenate([[0], np.cumsum((hi - lo)[:short])])
+        beyond = -1
+        while True:
+            queues = self._open(flat, bound, x, beyond)
+            heap = [(q[0], k) for k, q in enumerate(queues)]
+            heapq.heapify(heap)
+            place, united = [0] * len(queues), False
+            while len(heap) >= least:
+                y, popped = heap[0][0], []
+                while heap and heap[0][0] == y:
+                    popped.append(heapq.heappop(heap)[1])
+                if len(popped) >= least:
+                    if self._linked(x, y, len(popped), long):
+                        self._unite(x, y)
+                        beyond, united = y, True
+                        break
+                    goal = y + 1
+                else:
+                    while heap and len(popped) < least - 1:
+                        popped.append(heapq.heappop(heap)[1])
+                    if not heap:
+                        break
+                    goal = heap[0][0]
+                for k in popped:
+                    at = bisect.bisect_left(queues[k], goal, place[k])
+                    if at < len(queues[k]):
+                        place[k] = at
+                        heapq.heappush(heap, (queues[k][at], k))
+            if not united:
+                return
 
     def join(self) -> np.ndarray:
         """The component of each set, in the order given."""
@@ -397,49 +454,39 @@ class Block:
             need = -(-self.percent * int(self.size[x]) // 100)  # of x and any smaller or equal set
             if len(codes) < need:
                 continue
-            by_length = codes[np.argsort(self.lengths[codes], kind="stable")]
-            short, long = by_length[: len(codes) - need + 1], by_length[len(codes) - need + 1 :]
-            if int(self.lengths[short].sum()) > LONG_MERGE:
-                overlap = self._counted(codes, x)
-                for root in np.unique(self.label[:x][self._linked(overlap, x, np.arange(x))]).tolist():
-                    self._unite(x, root)
-                continue
-            near = self._merged(short, x)
-            near = near[100 * self.size[near] >= self.percent * self.size[x]]
-            if not len(near):
-                continue
-            overlap = self._probed(short, near) + self._probed(long, near)
-            for y in near[self._linked(overlap, x, near)].tolist():
-                self._unite(x, y)
+            low = int(np.searchsorted(100 * self.size, self.percent * self.size[x]))
+            lo, hi = np.searchsorted(self.pairs, codes * n + low), np.searchsorted(self.pairs, codes * n + x)
+            some = hi > lo
+            if some.sum() >= need:
+                self._search(x, codes[some], lo[some], hi[some], need)
         out = np.empty(n, np.int64)
         out[self.order] = self.label
         return out
 
-    def _probed(self, codes: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """In how many of the lists each set is, by binary search."""
-        if not len(codes):
-            return np.zeros(len(near), np.int64)
-        wanted = codes[:, None] * len(self.order) + near
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return (self.pairs[at] == wanted).sum(0)
-
 
 def _join_block(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_pylist()
+        node, root, label = (table[c].to_numpy() for c in ("node", "root", "label"))
+        side = np.array(table["side"].to_pylist(), object)
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"].combine_chunks()]
-        label = Block(sets, percent).join()
-        low: dict[int, int] = {}
-        for i, root in zip(ids, label.tolist()):
-            low[root] = min(i, low.get(root, i))
-        pairs = [(i, low[r]) for i, r in zip(ids, label.tolist()) if low[r] != i]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        pairs: set[tuple[int, int]] = set()
+        by = np.lexsort((node, root))
+        for own in np.split(by, np.flatnonzero(np.diff(root[by])) + 1):
+            own = own[np.unique(node[own], return_index=True)[1]]  # a repeated row brings its set once
+            apart = None if side[own[0]] is None else side[own].astype(np.int64)
+            found = Block([sets[k] for k in own], percent, label[own], apart).join()
+            low: dict[int, int] = {}
+            for name, group in zip(label[own].tolist(), found.tolist()):
+                low[group] = min(name, low.get(group, name))
+            pairs.update((name, low[group]) for name, group in zip(label[own].tolist(), found.tolist()) if low[group] != name)
+        a, b = zip(*sorted(pairs)) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _found(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, text_hash, and group, which names its component whatever ids it holds; null without a set."""
     own = _own(docs, id_col, text_col)
     ranges = max(8, own.rdd.getNumPartitions())
     plain = _documents(own, width, percent, ranges)
@@ -452,57 +499,102 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     edges = both.where("a IS NOT NULL").select("a", "b").unionByName(met)
     coarse = scratch.table(components(edges), "coarse")
     roots = _roots(own, classes, coarse, width, percent)
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("root", "rep").alias("component_id"))
-    some = plain.where("n > 0").join(named, ["one", "two", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = plain.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    grouped = scratch.table(classes.join(roots.withColumnRenamed("node", "one"), "one", "left").select("one", "two", "n", "rep", F.coalesce("root", "one").alias("group")), "grouped")
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of_class = grouped.drop("rep").join(F.broadcast(least) if classes.count() <= BROADCAST_ROWS else least, "group")
+    some = plain.where("n > 0").join(of_class, ["one", "two", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.coalesce("group", "one").alias("group"))
+    none = plain.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("group"))
     return some.unionByName(none)
 
 
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return _found(docs, width, percent, id_col, text_col).drop("text_hash", "group")
+
+
 def _roots(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of the class representatives that are linked with a smaller one; root is the smallest."""
+    """(node, root) of the sets, by hash, that are linked with another; root is the same for all of a component."""
     met = scratch.table(classes.join(coarse.withColumnRenamed("node", "one"), "one").select("rep", "one", "two", "n", "root"), "met")
     sizes = met.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    large = scratch.table(sizes.where((F.col("members") > PIECE_MEMBERS) | (F.col("shingles") > PIECE_SHINGLES)), "large")
-    total, count = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-int(total) * 2 // BLOCK_SHINGLES))
-    pieces = F.greatest(F.ceil(F.col("members") / PIECE_MEMBERS), F.ceil(F.col("shingles") / PIECE_SHINGLES))
-    dealt = met.join(large.select("root", pieces.cast("long").alias("pieces")), "root", "left")
-    piece = F.pmod(F.xxhash64("rep"), F.col("pieces"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda j: F.concat_ws(":", "root", F.least(j, piece), F.greatest(j, piece)))
-    block = F.when(F.col("pieces").isNull(), F.array(F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("string"))).otherwise(pairs)
-    dealt = dealt.select(F.col("rep").alias("doc_id"), "one", "two", block.alias("blocks"))
-    if count <= BROADCAST_ROWS:
-        dealt = F.broadcast(dealt)
+    pieces = F.greatest(F.ceil(F.col("members") / PIECE_MEMBERS), F.ceil(F.col("shingles") / PIECE_SHINGLES)).cast("long")
+    large = scratch.table(sizes.where((F.col("members") > PIECE_MEMBERS) | (F.col("shingles") > PIECE_SHINGLES)).select("root", pieces.alias("pieces")), "large")
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // BLOCK_SHINGLES))
+    piece = F.pmod(F.xxhash64("one"), F.col("pieces"))
+    block = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("string")).otherwise(F.concat_ws(":", "root", piece))
+    apart = F.lit(None).cast("int")
+    dealt = met.join(large, "root", "left").select("rep", "one", "two", "root", F.col("one").alias("label"), F.array(F.struct(block.alias("block"), apart.alias("side"))).alias("blocks"))
+    found = scratch.table(_joined(own, dealt, width, percent), "links")
+    if not large.count():
+        return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # pieces of one component know their own links now; what is not in a component's largest part meets all of it
+    inner = scratch.table(components(found), "inner")
+    labelled = met.join(large, "root").join(inner.select(F.col("node").alias("one"), F.col("root").alias("label")), "one", "left").withColumn("label", F.coalesce("label", "one"))
+    labelled = scratch.table(labelled, "labelled")
+    parts = labelled.groupBy("root", "label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    most = parts.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"), F.sum("shingles").alias("s"), F.max_by("shingles", F.struct("k", "label")).alias("most_s"))
+    half_members, half_shingles = max(1, PIECE_MEMBERS // 2), max(1, PIECE_SHINGLES // 2)
+    cut = lambda members, shingles: F.greatest(F.ceil(members / half_members), F.ceil(shingles / half_shingles)).cast("long")
+    plan = most.where(F.col("all") > F.col("k")).select("root", "most", cut(F.col("all") - F.col("k"), F.col("s") - F.col("most_s")).alias("others"), cut(F.col("k"), F.col("most_s")).alias("mains"))
+    both = labelled.drop("pieces").join(plan, "root")
+    other = F.col("label") != F.col("most")
+    p, q = F.pmod(F.xxhash64("one"), F.col("mains")), F.pmod(F.xxhash64("one"), F.col("others"))
+    to_mains = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda j: F.struct(F.concat_ws(":", "root", F.lit("m"), q, j).alias("block"), F.lit(0).alias("side")))
+    same = F.struct(F.concat_ws(":", "root", F.lit("o"), q, q).alias("block"), apart.alias("side"))
+    to_others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: j != q), lambda j: F.struct(F.concat_ws(":", "root", F.lit("o"), F.least(q, j), F.greatest(q, j)).alias("block"), (q > j).cast("int").alias("side")))
+    to_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: F.struct(F.concat_ws(":", "root", F.lit("m"), i, p).alias("block"), F.lit(1).alias("side")))
+    again = both.select("rep", "one", "two", "root", "label", F.when(other, F.concat(to_mains, F.array(same), to_others)).otherwise(to_all).alias("blocks"))
+    return components(inner.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_joined(own, again, width, percent)))
+
+
+def _joined(own: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): labels that links connect. dealt: sets (rep, one, two) with their label and their blocks (block, side)."""
+    dealt = scratch.table(dealt.withColumnRenamed("rep", "doc_id"), "dealt")
+    few = dealt.count() <= BROADCAST_ROWS
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 with np.errstate(over="ignore"):
-                    sets = shingle_sets(part.column(1), width)
-                    same = [k for k, (s, a, b) in enumerate(zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist())) if set_hashes(s) == (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[k].tobytes() for k in same], pa.binary()), part.column(4).take(pa.array(same, pa.int64()))], names=["rep", "shingles", "blocks"])
+                    sets = shingle_sets(part.column(0), width)
+                    same = []
+                    for k, (own_set, *name) in enumerate(zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist())):
+                        if tuple(name) not in sent and set_hashes(own_set) == tuple(name):
+                            sent.add(tuple(name))
+                            same.append(k)
+                kept = [part.column(k).take(pa.array(same, pa.int64())) for k in (1, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array([sets[k].tobytes() for k in same], pa.binary()), *kept[1:]], names=["node", "shingles", "root", "label", "blocks"])
 
-    again = own.join(dealt, "doc_id").select("doc_id", "text", "one", "two", "blocks")
-    sets = again.mapInArrow(shingled, "rep long, shingles binary, blocks array<string>").select("rep", "shingles", F.explode("blocks").alias("block"))
-    found = scratch.table(sets.groupBy("block").applyInArrow(_join_block(percent), "a long, b long"), "links")
-    if large.count():  # what the blocks of one component found has still to be put together
-        return components(found)
-    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    again = own.join(F.broadcast(dealt) if few else dealt, "doc_id").select("text", "one", "two", "root", "label", "blocks")
+    sets = again.mapInArrow(shingled, "node long, shingles binary, root long, label long, blocks array<struct<block:string,side:int>>")
+    rows = sets.select("node", "shingles", "root", "label", F.explode("blocks").alias("x")).select("node", "shingles", "root", "label", "x.block", "x.side")
+    return rows.groupBy("block").applyInArrow(_join_block(percent), "a long, b long")
 
 
 def duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The doc_ids of all but the first document of each component."""
-    found = jaccard_join(docs, width, percent, id_col, text_col)
-    return found.where("component_id < doc_id").select("doc_id").distinct()
+    """(doc_id, text_hash) of all but the first document of each component, the first by both."""
+    found = scratch.table(_found(docs, width, percent, id_col, text_col).where("doc_id IS NOT NULL AND group IS NOT NULL").select("doc_id", "component_id", "text_hash", "group"), "found")
+    later = found.where("component_id < doc_id").select("doc_id", "text_hash")
+    # an id that stands with several linked texts keeps one of them
+    firsts = found.where("component_id = doc_id").select("doc_id", "group", "text_hash").distinct()
+    several = firsts.groupBy("doc_id", "group").agg(F.min("text_hash").alias("least"), F.count("*").alias("k")).where("k > 1").select("doc_id", "group", "least")
+    return later.unionByName(firsts.join(several, ["doc_id", "group"]).where("text_hash <> least").select("doc_id", "text_hash")).distinct()
 
 
 def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the duplicates; a row without an id stays, and of rows that repeat an id and a text one stays."""
-    gone = scratch.table(duplicates(docs, width, percent, id_col, text_col).withColumnRenamed("doc_id", "gone_id"), "gone")
+    """docs without the duplicates.
+
+    A row goes by its id and its text, so a text of its own stays where another text of
+    the same id goes. A row without an id stays; of rows that repeat an id and a text one stays.
+    """
+    gone = scratch.table(duplicates(docs, width, percent, id_col, text_col), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    name, text = (F.col(f"of_docs.{named(c)}") for c in (id_col, text_col))
+    same = (name.cast("long") == F.col("of_gone.doc_id")) & (F.xxhash64(text.cast("string")) == F.col("of_gone.text_hash"))
+    left = docs.alias("of_docs").join(gone.alias("of_gone"), same, "left_anti").select(*[F.col(f"of_docs.{named(c)}") for c in docs.columns])
+    repeated = docs.where(F.col(named(id_col)).isNotNull()).groupBy(F.col(named(id_col)).alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not repeated:
         return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left.where(F.col(named(id_col)).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(named(id_col)).isNull()))

@@ -11,11 +11,13 @@ _own: str | None = None
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none."""
+    """The session's checkpoint folder. Where the session names none, one machine gets a temporary folder and a cluster an error."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     _own = _own or tempfile.mkdtemp(prefix="lexmere-")
     spark.sparkContext.setCheckpointDir(_own)
     return _own

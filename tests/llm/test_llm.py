@@ -307,7 +307,7 @@ def joined(texts, width=4, percent=85):
 @pytest.fixture(scope="module")
 def near(spark, texts):
     rng = np.random.default_rng(8)
-    rows = [x for x in texts if x[0] != -6][:150] + [(-30, "a b c d"), (-31, "A  b c\nd"), (-32, "a b"), (-33, "a B")]
+    rows = [x for x in texts if x[0] in dict(EDGE) or x[0] is None] + [x for x in texts if x[0] not in dict(EDGE) and x[0] is not None][:140] + [(-30, "a b c d"), (-31, "A  b c\nd"), (-32, "a b"), (-33, "a B")]
     for k, (d, t) in enumerate(texts[:25]):
         for j in range(6):
             w = (t or "").split()
@@ -324,16 +324,36 @@ def test_jaccard_join(spark, near, width, percent):
 
 
 def test_jaccard_join_in_pieces(spark, near, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PIECE_MEMBERS", 4)
-    monkeypatch.setattr(jaccard_join, "LONG_MERGE", 3)
     df = spark.createDataFrame(near, "doc_id long, text string")
-    assert Counter(tuple(r) for r in jaccard_join.jaccard_join(df).collect()) == joined(near)
+    for members in (2, 4):
+        monkeypatch.setattr(jaccard_join, "PIECE_MEMBERS", members)
+        assert Counter(tuple(r) for r in jaccard_join.jaccard_join(df).collect()) == joined(near)
     kept = [r.doc_id for r in jaccard_join.first_of_groups(df).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for _, _, c in joined(near) if c is not None})
 
 
 def test_jaccard_join_of_nothing(empty):
-    assert jaccard_join.jaccard_join(empty).count() == 0
+    assert jaccard_join.jaccard_join(empty).count() == 0 == jaccard_join.first_of_groups(empty).count()
+
+
+def test_first_of_groups_goes_by_id_and_text(spark):
+    one, other, third = ("one two three four five six seven eight nine ten " * 3 + x for x in ("end", "end more", "stop here now"))
+    alone = "a text that is like no other text of all these rows here"
+    rows = [(3, one), (5, other), (5, alone), (6, alone), (6, alone), (7, None), (7, None), (7, ""), (None, one), (None, one), (8, third), (8, third + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone_id", "2 AS text_hash", "3 AS component_id", "4 AS `a.b`")
+    got = Counter((r[0], r[1]) for r in jaccard_join.first_of_groups(docs, percent=50).collect())
+    kept = [(3, one), (5, alone), (7, None), (7, ""), (None, one), (None, one)]
+    assert got == Counter(kept)
+    got = Counter((r[0], r[1]) for r in jaccard_join.first_of_groups(docs.where("doc_id = 8"), percent=50).collect())
+    assert sum(got.values()) == 1
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(components, "HUB", 20)
+    edges = [(1, 100 + k) for k in range(300)] + [(100 + k, 1000 + k) for k in range(0, 300, 3)] + [(5000, 5001)]
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {v for k, v in got.items() if k < 5000} == {1} and got[5001] == 5000 and len(got) == 403
 
 
 def test_block_join_of_a_large_group():
@@ -357,9 +377,30 @@ def test_block_join_of_a_large_group():
             o = len(plain[a] & plain[b])
             if 100 * o >= 85 * (len(plain[a]) + len(plain[b]) - o):
                 parent[find(a)] = find(b)
-    got = jaccard_join.Block(sets, 85).join()
-    names = {}
-    assert all(names.setdefault(find(k), got[k]) == got[k] for k in range(500)) and len(set(got.tolist())) == len(names)
+    side = rng.integers(0, 2, 500)
+    for given, apart in ((None, None), (np.array([find(k) if k % 2 else 1000 + k for k in range(500)]), None), (None, side)):
+        want = parent
+        if apart is not None:
+            want = list(range(500))
+            for a in range(500):
+                for b in range(a):
+                    o = len(plain[a] & plain[b])
+                    if side[a] != side[b] and 100 * o >= 85 * (len(plain[a]) + len(plain[b]) - o):
+                        x, y = a, b
+                        while want[x] != x:
+                            x = want[x]
+                        while want[y] != y:
+                            y = want[y]
+                        want[x] = y
+
+        def root(x):
+            while want[x] != x:
+                x = want[x]
+            return x
+
+        got = jaccard_join.Block(sets, 85, given, apart).join()
+        names = {}
+        assert all(names.setdefault(root(k), got[k]) == got[k] for k in range(500)) and len(set(got.tolist())) == len(names)
 
 
 # 7. language models
