@@ -4,7 +4,8 @@ Documents are tokenised, ended with the end id and laid end to end within a scan
 task; every `length` ids are a sequence. Sequences count up over the tasks from
 0 to N - 1, and a Feistel network with the key permutes these numbers: it works
 on the next even power of two, and numbers outside are walked on until they fall
-inside, so the slots are again exactly 0 to N - 1. Slots go in ranges to shards.
+inside, so the slots are again exactly 0 to N - 1. Slots go in ranges to shards,
+and shards in ranges to tasks, each to the task of its number.
 A shard is one file of records of one fixed stride, in slot order, so a reader
 finds slot s in shard s // per_shard at byte (s % per_shard) * stride, and can
 stop and go on anywhere. Spark's own writer commits the files, on any store.
@@ -37,7 +38,8 @@ PER_SHARD = 4096
 ROUNDS = 6
 HEAD = 40
 NULL_ID = -(2**63)
-BROADCAST_ROWS = 1_000_000
+#: shards are written by at most so many tasks, each with a range of them
+MOST_TASKS = 20_000
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -123,6 +125,8 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
     parts = np.array([tuple(r) for r in counts.orderBy("part").toLocalIterator()], np.int64).reshape(-1, 2)
     names, bases = parts[:, 0], np.cumsum(parts[:, 1]) - parts[:, 1]
     pad = 2 * length
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, MOST_TASKS)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +135,8 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
             slot = permute(number, total, key)
             head = np.stack([slot, number, doc, start, n.astype(np.int64)], 1).astype("<i8")
             made = [zlib.compress(head[k].tobytes() + ids.as_buffer().to_pybytes().ljust(pad, b"\0"), 1) for k, ids in enumerate(batch.column(5))]
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(made, pa.binary())], names=["shard", "slot", "record"])
+            shard = slot // per_shard
+            yield pa.RecordBatch.from_arrays([pa.array((shard * tasks // shards).astype(np.int32)), pa.array(shard), pa.array(slot), pa.array(made, pa.binary())], names=["task", "shard", "slot", "record"])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +144,7 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
                 own = batch.slice(a, 1024)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([zlib.decompress(x.as_buffer()) for x in own.column(1)], pa.binary())], names=["shard", "record"])
 
-    shards = max(1, -(-total // per_shard))
-    ranged = rows.mapInArrow(placed, "shard long, slot long, record binary").repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    ranged = rows.mapInArrow(placed, "task int, shard long, slot long, record binary").repartitionById(tasks, "task").sortWithinPartitions("slot")
     raw = ranged.select("shard", "record").mapInArrow(opened, "shard long, record binary")
     # a binary cast to a string keeps its bytes, and the text writer adds the line feed
     raw.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
