@@ -11,19 +11,23 @@ in code points, add up. Failing base matches are found first and dropped then,
 as a shorter search could start inside them.
 
 Defined results: a null text is an empty one and has no spans. Rows that share a
-doc_id, or have none, share candidates and are verified apart. Only the two
-named columns are read.
+doc_id, or have none, share candidates and are verified apart. Other columns are
+not read, only carried along where asked. A text with very many spans takes time
+in proportion to its length, whatever their number.
 """
 
 from __future__ import annotations
 
+import re
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .carry import with_rest
 
 #: candidates are broadcast up to so many rows, joined by shuffle beyond
 BROADCAST_ROWS = 1_000_000
@@ -133,10 +137,15 @@ class Plan:
 
 
 def postings(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The inverted index (trigram, doc_id) over the plan's trigrams."""
+    """The inverted index (trigram, doc_id) over the plan's trigrams, found in one pass over a text."""
     low = docs.select("doc_id", F.lower("text").alias("low")).where("low IS NOT NULL")
-    held = F.array(*[F.when(F.col("low").contains(t), F.lit(k)) for k, t in enumerate(plan.trigrams)])
-    return low.select("doc_id", F.explode(F.array_compact(held)).alias("trigram")).distinct()
+    heads: dict[str, list[str]] = {}
+    for t in plan.trigrams:
+        heads.setdefault(t[0], []).append(re.escape(t[1:]))
+    either = "|".join(f"{re.escape(c)}(?:{'|'.join(tails)})" for c, tails in heads.items())
+    held = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?=({either}))"), F.lit(1)))
+    number = F.create_map(*[F.lit(v) for pair in zip(plan.trigrams, range(len(plan.trigrams))) for v in pair])
+    return low.select("doc_id", F.explode(held).alias("t")).select("doc_id", F.element_at(number, F.col("t")).alias("trigram")).distinct()
 
 
 def candidates(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -164,30 +173,53 @@ def _any(sets: list[frozenset[int]], words: int) -> Column:
 
 
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
+#: an array is walked in stretches of this length, so that a step copies a stretch and not the whole
+STRETCH = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers, those before it merged (0 for none); merge is associative."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def walk(own: Column, start: Column) -> Column:
+        return F.aggregate(own, F.struct(start.alias("at"), none["out"].alias("out")), step)["out"]
+
+    def of(stretches: Column) -> Column:
+        ends = F.transform(stretches, lambda own: F.aggregate(own, F.lit(0), merge))
+        return F.flatten(F.zip_with(stretches, F.aggregate(ends, none, step)["out"], walk))
+
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(STRETCH)), lambda a: F.slice(values, a + 1, F.lit(STRETCH)))
+    return _let(cut, of)
 
 
 def _spans(k: int, rule: Rule) -> Column:
-    """The rule's spans in the column text, in order."""
+    """The rule's spans in the column text, in order: a match begins behind all pieces and matches before it and its own piece."""
     r, text = F.lit(rule.pattern), F.col("text")
     cut = F.arrays_zip(F.regexp_extract_all(text, r, F.lit(0)).alias("m"), F.regexp_extract_all(text, r, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("p"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    sized = F.transform(cut, lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(x["g"]), F.lit(0)).alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.array(F.struct(start.alias("s"), F.lit(k).alias("k"), end.alias("e"), F.lit(rule.kind).alias("kind")))
-        fits = F.length(x["g"]) >= F.lit(max(1, rule.least))
-        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(own: Column) -> Column:
+        start = _before(F.transform(own, lambda x: x["p"] + x["m"]), lambda a, b: a + b)
+        spans = F.zip_with(own, start, lambda x, at: F.when(x["g"] >= F.lit(max(1, rule.least)), F.struct((at + x["p"]).alias("s"), F.lit(k).alias("k"), (at + x["p"] + x["m"]).alias("e"), F.lit(rule.kind).alias("kind"))))
+        return F.array_compact(spans)
 
-    found = F.aggregate(cut, none, step)["out"]
-    return F.when(text.rlike(rule.guard or rule.pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(rule.guard or rule.pattern), _let(sized, placed)).otherwise(F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, found (spans sorted by start, then kind as listed), and the columns to keep."""
+def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, text, found (spans sorted by start, then kind as listed); with carry also rest, a struct of all other columns."""
     rules = BASE + more
     plan = Plan(rules)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    own, _ = with_rest(docs, id_col, text_col)
+    own = own.withColumn("text", F.coalesce("text", F.lit("")))
     likely = scratch.table(candidates(own, plan).withColumnRenamed("doc_id", "likely_id"), "candidates")
     if likely.count() <= BROADCAST_ROWS:
         likely = F.broadcast(likely)
@@ -200,7 +232,7 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id",
             spans = F.when(wanted, spans).otherwise(F.array().cast(SPAN))
         parts.append(spans)
     found = F.array_sort(F.flatten(F.array(*parts)))
-    return joined.select("doc_id", "text", *[F.col(f"kept_{c}") for c in keep], found.alias("found"))
+    return joined.select("doc_id", "text", found.alias("found"), *(["rest"] if carry else []))
 
 
 def _listed(spans: Column) -> Column:
@@ -214,13 +246,27 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
+def _between(chunks: Column, a: Column, b: Column) -> Column:
+    """The text from a to b, of its chunks of CHUNK characters."""
+    first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+    part = lambda i: F.substring(F.get(chunks, i), F.greatest(a - i * CHUNK, F.lit(0)) + 1, F.least(b - i * CHUNK, F.lit(CHUNK)) - F.greatest(a - i * CHUNK, F.lit(0)))
+    return F.when(b > a, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise("")
+
+
+#: characters are counted from the start of a chunk and not of the text
+CHUNK = 4096
+
+
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by a mark."""
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    n = F.length(text)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(n / CHUNK).cast("int")), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def kept(held: Column) -> Column:
+        reach = _before(F.transform(held["found"], lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+        opens = F.filter(F.zip_with(held["found"], reach, lambda x, at: F.struct(at.alias("a"), x["s"].alias("b"))), lambda x: x["b"] >= x["a"])
+        parts = F.transform(opens, lambda x: F.concat(_between(held["chunks"], x["a"], x["b"]), F.lit(mark)))
+        end = F.array_max(F.transform(held["found"], lambda x: x["e"]))
+        return F.concat(F.array_join(parts, ""), _between(held["chunks"], end, held["n"]))
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, none, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    return F.when(F.size(found) == 0, text).otherwise(_let(F.struct(chunks.alias("chunks"), found.alias("found"), n.alias("n")), kept))
