@@ -8,22 +8,26 @@ from above. A block of candidates is passed coarse to fine: pairs whose bound is
 below the query's k-th score so far go, the survivors are computed exactly.
 
 Vectors travel packed, a row a block. The queries are a stated set: their blocks
-meet all candidate blocks, by broadcast while they are within QUERY_BYTES and by
-a join on numbered query blocks beyond. Each pair of blocks yields at most k rows
-a query, and these meet in a grouped sort.
+meet all candidate blocks by broadcast, in passes of about QUERY_BYTES each, so that
+candidates are never shuffled. Each pair of blocks yields at most k rows a query,
+and these meet in a grouped sort.
 
 Defined results: vectors that are null or hold null or non-finite components take
 no part, nor do rows without an id. Rows with the query's own id are the query's
 own. Vectors of different lengths do not compare. Ties go to the smaller id;
-repeated rows stand as often as they are there. Other columns are not read.
+repeated candidates stand as often as they are there. A query row that repeats
+another, id and vector, is asked once; rows of one id with different vectors are
+one query, whose finds are ranked together. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +41,10 @@ EXACT = 2**52
 
 
 def packed(vectors: DataFrame, scale: int, block: int) -> DataFrame:
-    """Rows (dim, ids, values): blocks of vectors of one length, as 64-bit integers."""
+    """Rows (dim, name, ids, vectors): blocks of vectors of one length, as 64-bit integers; name is the block's own number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             lists = batch.column(1)
             flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
@@ -51,11 +56,12 @@ def packed(vectors: DataFrame, scale: int, block: int) -> DataFrame:
                 for a in range(0, len(own), block):
                     at = own[a : a + block]
                     values = np.floor(scale * flat[first[at][:, None] + np.arange(dim)]).astype("<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([(part << 32) + made], pa.int64()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", "name", "ids", "vectors"])
+                    made += 1
 
     usable = vectors.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     usable = usable.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    return usable.mapInArrow(run, "dim int, ids binary, vectors binary")
+    return usable.mapInArrow(run, "dim int, name long, ids binary, vectors binary")
 
 
 def unpack(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -128,35 +134,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     def own(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
-    blocks = packed(own(vectors), scale, BLOCK)
-    asked = scratch.table(packed(own(queries), scale, QUERY_BLOCK), "queries")
+    asked = scratch.table(packed(own(queries).distinct(), scale, QUERY_BLOCK), "queries")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("vectors") + F.octet_length("ids")), F.lit(0))).first()[0]
-    if size <= QUERY_BYTES:
-        held = [(r["dim"], bytes(r["ids"]), bytes(r["vectors"])) for r in asked.collect()]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, ids, values in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                    c_ids, c = unpack(dim, ids, values)
-                    for q_dim, *q_row in held:
-                        if q_dim == dim:
-                            q_ids, q = unpack(dim, *q_row)
-                            yield _rows([(int(q_ids[i]), x, s) for i, x, s in best_of_block(q_ids, q, c_ids, c, k)])
-
-        found = blocks.mapInArrow(run, FOUND)
-    else:
-        numbered = asked.withColumn("q", F.xxhash64("ids")).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-        named = scratch.table(numbered, "queries")
-        names = named.groupBy("dim").agg(F.collect_list("q").alias("names"))
-        dealt = blocks.join(names, "dim").select("dim", "ids", "vectors", F.explode("names").alias("q")).join(named.drop("dim"), "q")
-
-        def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, ids, values, q_ids, q_values in zip(*(batch.column(j).to_pylist() for j in range(5))):
-                    c_ids, c = unpack(dim, ids, values)
-                    a, q = unpack(dim, q_ids, q_values)
-                    yield _rows([(int(a[i]), x, s) for i, x, s in best_of_block(a, q, c_ids, c, k)])
-
-        found = dealt.select("dim", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run_pairs, FOUND)
+    blocks = packed(own(vectors), scale, BLOCK)
+    # half of QUERY_BYTES on average, as blocks are dealt by a hash of their number
+    passes = 1 if size <= QUERY_BYTES else 2 * -(-size // QUERY_BYTES)
+    if passes > 1:
+        blocks = scratch.table(blocks, "vectors")
+    numbered = asked.select("dim", F.pmod(F.xxhash64("name"), F.lit(passes)).alias("pass"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, ids, values, q_ids, q_values in zip(*(batch.column(j).to_pylist() for j in range(5))):
+                c_ids, c = unpack(dim, ids, values)
+                a, q = unpack(dim, q_ids, q_values)
+                yield _rows([(int(a[i]), x, s) for i, x, s in best_of_block(a, q, c_ids, c, k)])
+
+    def searched(n: int) -> DataFrame:
+        met = blocks.join(F.broadcast(numbered.where(F.col("pass") == n)), "dim").select("dim", "ids", "vectors", "q_ids", "q_vectors")
+        return met.mapInArrow(run, FOUND)
+
+    found = searched(0)
+    if passes > 1:  # a pass is over, and its broadcast with it, before the next begins
+        found = reduce(DataFrame.unionByName, [scratch.table(_best(searched(n), k), "found") for n in range(passes)])
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
