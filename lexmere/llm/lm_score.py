@@ -2,9 +2,13 @@
 
 Both models have one vocabulary (every word of target and background, and one place
 for a word never seen), the same order and the same interpolation; the target model
-is counted on the target documents, the background model on all others. A document's
-score is the mean over its words of the target model's loss less the background
-model's: the lower, the more it reads like the target.
+is counted on the target documents, the background model on all others. They are
+matched in size, too: the background's counts are scaled to as many words as the
+target has, as in a sample of that size, so that a count added for smoothing weighs
+the same in both. A document is scored by what the others have: its own counts are
+taken out of the model it was counted in. The score is the mean over its words of
+the target model's loss less the background model's: the lower, the more it reads
+like the target.
 
 Words become ids of a chunk's own list of words, written once. A chunk sends its
 distinct words, and then its distinct bigrams, with their counts, packed, to ranges;
@@ -13,8 +17,9 @@ which the chunk takes the losses. What travels grows with the text and is never
 one place; only the numbers of words reach the driver. Words and bigrams are told
 apart by 64 hash bits.
 
-Defined results: null and empty texts have no words and score 0. Without target
-documents the target model is uniform. A document is a target if its id is among
+Defined results: null and empty texts have no words and score 0. Where a model has
+no document but the one that is scored, it is uniform; without target documents or
+without others nothing is scaled. A document is a target if its id is among
 the targets; repeated rows count repeatedly. Only the named columns are read.
 """
 
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .carry import named
 from .textscan import ALNUM, mix, scan, slices
 
 #: stands before a document's first word; no word has this hash
@@ -119,20 +125,27 @@ def _added(counts: int) -> Callable[[pa.Table], pa.Table]:
 def _joined(blobs: pa.ListScalar, counts: int) -> list[np.ndarray]:
     """The sums of all of a chunk's keys, in their order."""
     parts = [_unpacked(x.as_buffer(), *["<u8"] * counts) for x in blobs.values] if blobs.is_valid else []
-    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in range(counts)]
+    return [np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64) for k in range(counts)]
 
 
-def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, size: int) -> np.ndarray:
-    """The loss of each bigram in one model."""
-    flat = (word + 1.0) / (total + size)
+def _in_document(of: np.ndarray, at: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """How often each place's number occurs in its own document, among the documents marked; 0 in others."""
+    key = of * (int(at.max()) + 1) + at
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return np.where(among, count[back], 0)
+
+
+def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: np.ndarray, weight: float, size: int) -> np.ndarray:
+    """The loss of each bigram in one model, whose counts are weighted by `weight` where one is added to them."""
+    flat = (weight * word + 1.0) / (weight * total + size)
     return -np.log(np.where(context > 0, MIXTURE * pair / np.maximum(context, 1) + (1 - MIXTURE) * flat, flat))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, is_target, score. targets: a column of ids named id_col."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
     ranges = max(8, own.rdd.getNumPartitions())
-    names = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    names = targets.select(F.col(named(id_col)).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     names = scratch.table(names, "targets")
     if names.count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
@@ -162,6 +175,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     words = scratch.table(added(of_words, 4), "words")
     size, *total = (n or 0 for n in words.agg(*[F.sum(F.col("sums")[k]) for k in range(3)]).first())
     size += 1
+    weight = (1.0, total[0] / total[1] if all(total[:2]) else 1.0)
 
     def of_kind(pairs: bool) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("pairs") == pairs, F.struct("range", "blob")))), lambda x: x["blob"])
@@ -173,15 +187,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         for batch in batches:
             for docs_, words_, ids, sums, pairs in zip(*batch.columns[:5]):
                 head, name, of, _, before, now = _bigrams(docs_.as_buffer(), words_.as_buffer(), ids.as_buffer())
+                before, now = before.astype(np.int64), now.astype(np.int64)
                 n, mean = head[:, 3], np.zeros(len(head))
                 if len(now):
                     found, at = _distinct(name, before, now)
-                    some = np.zeros(len(found), np.int64)
-                    some[at] = np.arange(len(at))
-                    a, b = before[some], now[some]
-                    sums, pairs = _joined(sums, 4), _joined(pairs, 2)
-                    loss = _loss(pairs[0], sums[2][a], sums[0][b], total[0], size) - _loss(pairs[1], sums[3][a], sums[1][b], total[1], size)
-                    mean = np.bincount(of, loss[at], minlength=len(head)) / np.maximum(n, 1)
+                    every, every_pair = _joined(sums, 4), _joined(pairs, 2)
+                    inside, loss = head[of, 2] == 1, []
+                    for side, among in enumerate((inside, ~inside)):
+                        pair = every_pair[side][at] - _in_document(of, at, among)
+                        context = every[2 + side][before] - _in_document(of, before, among)
+                        word = every[side][now] - _in_document(of, now, among)
+                        loss.append(_loss(pair, context, word, total[side] - np.where(among, n[of], 0), weight[side], size))
+                    mean = np.bincount(of, loss[0] - loss[1], minlength=len(head)) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 0), pa.array(n), pa.array(head[:, 2] == 1), pa.array(mean)], names=["doc_id", "n_words", "is_target", "score"])
 
     return chunks.join(gathered, "chunk", "left").select("docs", "words", "ids", "of_words", "of_pairs").mapInArrow(scored, "doc_id long, n_words long, is_target boolean, score double")

@@ -409,55 +409,65 @@ def test_block_join_of_a_large_group():
 
 
 # 7. language models
+def differences(rows, targets):
+    """(doc_id, words, score) of (doc_id, words): each document by models of the others, the background scaled to the target's words."""
+    models, size = {}, len({w for _, v in rows for w in v}) + 1
+    for side in (True, False):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for d, v in rows:
+            if (d in targets) == side:
+                uni.update(v)
+                ctx.update([None, *v[:-1]] if v else [])
+                bi.update(zip([None, *v], v))
+        models[side] = (uni, ctx, bi, sum(uni.values()))
+    n = [models[True][3], models[False][3]]
+    weight = {True: 1.0, False: n[0] / n[1] if all(n) else 1.0}
+    out = []
+    for d, v in rows:
+        own = (Counter(v), Counter([None, *v[:-1]]), Counter(zip([None, *v], v)))
+        score = 0.0
+        for side, sign in ((True, 1), (False, -1)):
+            uni, ctx, bi, total = models[side]
+            mine = (d in targets) == side
+            for a, b in zip([None, *v], v):
+                flat = (weight[side] * (uni[b] - mine * own[0][b]) + 1) / (weight[side] * (total - mine * len(v)) + size)
+                c = ctx[a] - mine * own[1][a]
+                score -= sign * np.log(0.7 * (bi[a, b] - mine * own[2][a, b]) / c + 0.3 * flat if c else flat)
+        out.append((d, len(v), score / max(1, len(v))))
+    return out
+
+
 def test_cross_entropy_difference(spark, docs, texts, empty):
     names = {r.doc_id for r in docs.where("doc_id % 3 = 0").collect()}
     targets = docs.where("doc_id % 3 = 0").select("doc_id")
-    words = [(d, ALNUM.findall(low(t))) for d, t in texts]
-    vocabulary = {w for _, v in words for w in v}
-    models = []
-    for side in (True, False):
-        uni, ctx, bi = Counter(), Counter(), Counter()
-        for d, v in words:
-            if (d in names) == side:
-                for a, b in zip([None, *v], v):
-                    uni[b] += 1
-                    ctx[a] += 1
-                    bi[a, b] += 1
-        models.append((uni, ctx, bi, sum(uni.values())))
-
-    def loss(model, a, b):
-        uni, ctx, bi, n = model
-        flat = (uni[b] + 1) / (n + len(vocabulary) + 1)
-        return -np.log(0.7 * bi[a, b] / ctx[a] + 0.3 * flat if ctx[a] else flat)
-
-    want = sorted((d or 0, len(v), round(sum(loss(models[0], a, b) - loss(models[1], a, b) for a, b in zip([None, *v], v)) / max(1, len(v)), 4)) for d, v in words)
-    got = sorted((r.doc_id or 0, r.n_words, round(r.score, 4)) for r in lm_score.cross_entropy_difference(clashing(docs), targets).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-4)
+    rows = [(d, ALNUM.findall(low(t))) for d, t in texts]
+    want = sorted((d or 0, n, s) for d, n, s in differences(rows, names))
+    got = sorted((r.doc_id or 0, r.n_words, r.score) for r in lm_score.cross_entropy_difference(clashing(docs), targets).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
     assert lm_score.cross_entropy_difference(empty, targets).count() == 0
-    assert lm_score.cross_entropy_difference(docs, targets.limit(0)).count() == len(texts)
+    for few in (targets.limit(0), docs.select("doc_id")):
+        want = sorted(x[2] for x in differences(rows, {r.doc_id for r in few.collect()} - {None}))
+        assert np.allclose(sorted(r.score for r in lm_score.cross_entropy_difference(docs, few).collect()), want, atol=1e-9)
 
 
 def test_cross_entropy_difference_of_many_words(spark):
+    """More words than 16 bits can number, and all of them equally frequent but some."""
     rng = np.random.default_rng(7)
     order = np.concatenate([np.arange(70_000), rng.permutation(70_000)[:20_000], rng.permutation(70_000)[:20_000]])
     rows = [(i, [f"w{k}" for k in own]) for i, own in enumerate(np.split(order, 55))]
     target = {i for i, _ in rows if i % 3 == 0}
-    uni, ctx, bi, n = ({m: Counter() for m in (True, False)} for _ in range(4))
-    for i, v in rows:
-        m = i in target
-        uni[m].update(v)
-        ctx[m].update([None, *v[:-1]])
-        bi[m].update(zip([None, *v], v))
-        n[m][0] += len(v)
-
-    def loss(m, a, b):
-        flat = (uni[m][b] + 1) / (n[m][0] + 70_001)
-        return -np.log(0.7 * bi[m][a, b] / ctx[m][a] + 0.3 * flat if ctx[m][a] else flat)
-
-    want = [np.mean([loss(True, a, b) - loss(False, a, b) for a, b in zip([None, *v], v)]) for _, v in rows]
     docs = spark.createDataFrame([(i, " ".join(v)) for i, v in rows], "doc_id long, text string").repartition(3)
     got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).orderBy("doc_id").collect()
-    assert np.allclose([r.score for r in got], want, atol=1e-9)
+    assert np.allclose([r.score for r in got], [s for _, _, s in differences(rows, target)], atol=1e-9)
+
+
+def test_a_copy_tells_a_document_from_one_that_stands_alone(spark):
+    """What a document shares with others counts for it, its own words do not."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 200))) for k in range(60)] + [(100, "")]
+    rows.append((59 + 200, rows[59][1]))
+    got = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(20)], "doc_id long")).collect()}
+    assert got[59] == got[259] and got[100] == 0 and all(got[59] - got[k] > 1 for k in range(20, 59))
 
 
 # 8. language id
