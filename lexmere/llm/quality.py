@@ -9,7 +9,7 @@ nearest vote with their similarity.
 
 At most SAMPLE labelled rows are used, half of each label, chosen by a hash of
 the id; votes are weighted back to the labels' shares among all labelled rows.
-They are the only broadcast data (SAMPLE * RANK numbers).
+They, and twice as many ids to find them, are all that is broadcast.
 
 Defined results: a null or empty text has no direction; its score is the share of
 label 1, as every score is when only one label is known; with no labels at all
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .carry import named
 from .textscan import NON_SPACE, arrow_bytes, scan, slices
 
 TRIGRAMS = 4096
@@ -67,16 +69,19 @@ class Terms:
 
 
 def _sampled_features(rows: DataFrame) -> list[tuple[int, int, bytes]]:
+    """(key, label, features) of the first rows of each label by key: at most SAMPLE in all, however often an id stands there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, made = Terms(batch.column(2)), []
             for d in range(batch.num_rows):
                 c = terms.counts(d, d + 1)[0]
                 at = np.flatnonzero(c)
-                made.append(np.concatenate([at, np.minimum(c[at], 65535)]).astype("<u2").tobytes())
+                made.append(np.concatenate([at, c[at]]).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["key", "label", "f"])
 
-    return [(r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "key long, label int, f binary").collect()]
+    found = scratch.table(rows.mapInArrow(run, "key long, label int, f binary"), "features")
+    return [(r[0], r[1], bytes(r[2])) for label in (0, 1) for r in found.where(F.col("label") == label).orderBy("key", "f").limit(SAMPLE // 2).collect()]
 
 
 class Voter:
@@ -128,26 +133,23 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Voter | float:
     """A voter from the labels that are not held out; the share of label 1 where there is nothing to tell apart."""
-    own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    own = labels.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(label_col)).cast("int").alias("label"))
     own = own.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id")))
     counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return float(next(iter(counts))) if counts else 0.5
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, SAMPLE / n))])
-    key = F.xxhash64("doc_id")
-    chosen = own.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < F.element_at(share, F.col("label")) * (1 << 30))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _sampled_features(texts.join(F.broadcast(chosen), "doc_id").select("key", "label", F.coalesce("text", F.lit("")).alias("text")))
-    picked: list[tuple[int, int, bytes]] = []
-    for label in (0, 1):
-        picked += sorted(r for r in rows if r[1] == label)[: SAMPLE // 2]
+    # twice as many labels as are wanted, as some have no text
+    keyed = own.withColumn("key", F.xxhash64("doc_id"))
+    chosen = keyed.where("label = 0").orderBy("key").limit(SAMPLE).unionByName(keyed.where("label = 1").orderBy("key").limit(SAMPLE))
+    texts = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
+    picked = _sampled_features(texts.join(F.broadcast(chosen), "doc_id").select("key", "label", F.coalesce("text", F.lit("")).alias("text")))
     known = {r[1] for r in picked}
     if len(known) < 2:
         return counts[1] / total
     dense = np.zeros((len(picked), FEATURES), np.float32)
     for i, (_, _, f) in enumerate(picked):
-        at, c = np.frombuffer(f, "<u2").reshape(2, -1)
+        at, c = np.frombuffer(f, "<u4").reshape(2, -1)
         dense[i, at] = c
     return Voter(dense, np.array([r[1] for r in picked]), counts[1] / total)
 
@@ -165,7 +167,7 @@ def score(docs: DataFrame, voter: Voter | float, id_col: str = "doc_id", text_co
                     out[a:b] = voter if isinstance(voter, float) else voter.scores(terms.counts(a, b))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, score double")
 
 
