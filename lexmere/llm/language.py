@@ -6,7 +6,9 @@ over learned byte vectors; each filter's maximum over the window feeds a softmax
 A text's languages are the windows' probabilities, weighted by their letters.
 
 Training uses at most WINDOWS windows of labelled documents, dealt evenly over
-the languages and chosen by a hash of the id; no other limit depends on the data.
+the languages, of documents chosen by a hash of the id, at most PER_DOCUMENT of each,
+spread over its text. These two bounds are parameters of the fit alone: every window
+of every text is classified.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and
 so is every text when nothing is labelled. Ties go to the first language by name.
@@ -22,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .carry import with_rest
+from .carry import named, with_rest
 
 LENGTH = 192
 WINDOWS = 12_000
 PER_DOCUMENT = 6
 WIDTHS = (3, 4, 5)
+WIDEST = max(WIDTHS)
 FILTERS = 16
 VECTOR = 8
 EPOCHS = 6
 BLOCK = 512
+AT_ONCE = 32
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -52,61 +56,65 @@ def windows(text: str) -> np.ndarray:
 
 
 class Network:
-    """Byte vectors, convolutions of several widths, max pooling, softmax."""
+    """Byte vectors, convolutions of several widths, max pooling, softmax.
+
+    All filters stand side by side in one matrix over WIDEST bytes, a narrow one with
+    zeros behind it, so a window is one matrix product. Past a window's end bytes are
+    zero vectors.
+    """
 
     def __init__(self, labels: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.labels = labels
-        self.params = {"bytes": rng.normal(0, 0.5, (256, VECTOR))}
-        for w in WIDTHS:
-            self.params[f"conv{w}"] = rng.normal(0, (2 / (w * VECTOR)) ** 0.5, (w, VECTOR, FILTERS))
-            self.params[f"bias{w}"] = np.zeros(FILTERS)
-        self.params["out"] = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(labels)))
-        self.params["out_bias"] = np.zeros(len(labels))
+        self.mask = np.concatenate([np.repeat(np.arange(WIDEST * VECTOR) < w * VECTOR, FILTERS).reshape(-1, FILTERS) for w in WIDTHS], 1)
+        scale = np.concatenate([np.full(FILTERS, (2 / (w * VECTOR)) ** 0.5) for w in WIDTHS])
+        self.params = {
+            "bytes": rng.normal(0, 0.5, (256, VECTOR)),
+            "conv": rng.normal(0, 1, self.mask.shape) * scale * self.mask,
+            "bias": np.zeros(self.mask.shape[1]),
+            "out": rng.normal(0, 0.1, (self.mask.shape[1], len(labels))),
+            "out_bias": np.zeros(len(labels)),
+        }
         self.params = {k: v.astype(np.float32) for k, v in self.params.items()}
-        self._tables: dict[int, np.ndarray] | None = None
-
-    def _convolved(self, x: np.ndarray, w: int) -> np.ndarray:
-        """A filter's answer is a sum of one table row for each byte it covers."""
-        if self._tables is None:
-            self._tables = {v: np.einsum("bv,wvf->wbf", self.params["bytes"], self.params[f"conv{v}"]) for v in WIDTHS}
-        table, n = self._tables[w], LENGTH - w + 1
-        out = table[0][x[:, :n]]
-        for j in range(1, w):
-            out += table[j][x[:, j : j + n]]
-        return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([np.maximum(self._convolved(x, w).max(1) + self.params[f"bias{w}"], 0) for w in WIDTHS], 1)
-        z = pooled @ self.params["out"] + self.params["out_bias"]
+    def _patches(self, x: np.ndarray) -> np.ndarray:
+        """The vectors of the WIDEST bytes from each place of each window on."""
+        e = np.zeros((len(x), (LENGTH + WIDEST - 1) * VECTOR), np.float32)
+        e[:, : LENGTH * VECTOR] = self.params["bytes"].take(x, 0).reshape(len(x), -1)
+        return np.ascontiguousarray(np.lib.stride_tricks.as_strided(e, (len(x), LENGTH, WIDEST * VECTOR), (e.strides[0], VECTOR * e.itemsize, e.itemsize)))
+
+    def _convolved(self, patches: np.ndarray) -> np.ndarray:
+        return (patches.reshape(-1, patches.shape[2]) @ self.params["conv"]).reshape(len(patches), LENGTH, -1)
+
+    def _softmax(self, act: np.ndarray) -> np.ndarray:
+        z = act @ self.params["out"] + self.params["out_bias"]
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        # a few windows at a time, so that what is convolved stays in the cache
+        pooled = [self._convolved(self._patches(x[a : a + AT_ONCE])).max(1) for a in range(0, len(x), AT_ONCE)]
+        return self._softmax(np.maximum(np.concatenate(pooled) + self.params["bias"], 0))
+
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        self._tables = None
         p, n = self.params, len(x)
-        pooled, places = [], []
-        for w in WIDTHS:
-            c = self._convolved(x, w)
-            at = c.argmax(1)
-            places.append(at)
-            pooled.append(np.take_along_axis(c, at[:, None], 1)[:, 0] + p[f"bias{w}"])
-        raw = np.concatenate(pooled, 1)
+        patches = self._patches(x)
+        c = self._convolved(patches)
+        at = c.argmax(1)
+        top = np.take_along_axis(c, at[:, None], 1)[:, 0]
+        raw = top + p["bias"]
         act = np.maximum(raw, 0)
-        z = act @ p["out"] + p["out_bias"]
-        e = np.exp(z - z.max(1, keepdims=True))
-        d = e / e.sum(1, keepdims=True)
+        d = self._softmax(act)
         d[np.arange(n), y] -= 1
         d /= n
-        grads = {"out": act.T @ d, "out_bias": d.sum(0), "bytes": np.zeros_like(p["bytes"])}
-        back = (d @ p["out"].T) * (raw > 0)
-        for i, w in enumerate(WIDTHS):
-            g = back[:, i * FILTERS : (i + 1) * FILTERS]
-            patch = x[np.arange(n)[:, None, None], places[i][:, :, None] + np.arange(w)]  # n, filters, width
-            grads[f"conv{w}"] = np.einsum("nf,nfwv->wvf", g, p["bytes"][patch], optimize=True)
-            grads[f"bias{w}"] = g.sum(0)
-            np.add.at(grads["bytes"], patch, np.einsum("nf,wvf->nfwv", g, p[f"conv{w}"]))
-        return grads
+        g = (d @ p["out"].T) * (raw > 0)
+        own = patches[np.arange(n)[:, None], at]  # n, filters, bytes and their vectors
+        back = (g[:, :, None] * p["conv"].T).reshape(n, -1, WIDEST, VECTOR)
+        place = at[:, :, None] + np.arange(WIDEST)
+        byte = np.where(place < LENGTH, x[np.arange(n)[:, None, None], np.minimum(place, LENGTH - 1)].astype(np.int64), 256)
+        flat = (byte[..., None] * VECTOR + np.arange(VECTOR)).ravel()
+        of_bytes = np.bincount(flat, back.ravel(), 257 * VECTOR).reshape(257, VECTOR)[:256]
+        return {"out": act.T @ d, "out_bias": d.sum(0), "bias": g.sum(0), "conv": np.einsum("nf,nfk->kf", g, own, optimize=True) * self.mask, "bytes": of_bytes}
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 7) -> "Network":
         """Adam over shuffled batches."""
@@ -123,7 +131,6 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.999 * s[k] + 0.001 * g * g
                     self.params[k] -= (rate * 0.5**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        self._tables = None
         return self
 
 
@@ -212,7 +219,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network from the labelled documents that are not held out."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"), F.col(named(lang_col)).cast("string").alias("lang"))
     return train(own.where(~held_out(F.col("doc_id"))))
 
 

@@ -11,8 +11,8 @@ At most SAMPLE labelled rows are used, half of each label, chosen by a hash of
 the id; votes are weighted back to the labels' shares among all labelled rows.
 They, and twice as many ids to find them, are all that is broadcast.
 
-Defined results: a null or empty text has no direction; its score is the share of
-label 1, as every score is when only one label is known; with no labels at all
+Defined results: a null or empty text, and one of terms that no labelled text has,
+has no direction; its score is the share of label 1, as every score is when only one label is known; with no labels at all
 scores are 0.5. Repeated label rows count as often as they stand there. Only the
 named columns are read.
 """

@@ -480,6 +480,61 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language.language_id(docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()} == {"und"}
 
 
+def by_hand(network, text):
+    """The languages of one text, filter by filter and place by place."""
+    p, size, total, letters_ = network.params, language.LENGTH, np.zeros(len(network.labels)), 0.0
+    raw = [b if 0x60 < b < 0x7B or b > 0x7F else 0x20 for b in text.lower().encode()]
+    for a in range(0, len(raw), size):
+        own = raw[a : a + size] + [0x20] * (size - len(raw[a : a + size]))
+        pooled = []
+        for f in range(p["conv"].shape[1]):
+            width = language.WIDTHS[f // language.FILTERS]
+            taps = p["conv"][:, f].reshape(-1, language.VECTOR)
+            best = max(sum(float(p["bytes"][own[i + j]] @ taps[j]) for j in range(width) if i + j < size) for i in range(size))
+            pooled.append(max(0.0, best + float(p["bias"][f])))
+        z = np.array(pooled) @ p["out"] + p["out_bias"]
+        e = np.exp(z - z.max())
+        weight = sum(b != 0x20 for b in own) + 1e-6
+        total, letters_ = total + weight * e / e.sum(), letters_ + weight
+    return total / letters_
+
+
+def test_language_id_by_hand(spark, docs):
+    network = language.learn(docs)
+    rows = [(1, "A short text."), (2, "Über die Brücke gehen wir heute, und morgen wieder zurück. " * 5), (2, "el niño y la señora"), (3, None), (4, " 12 + 3 "), (5, "漢字"), (None, "x"), (1, "A short text.")]
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language.identify(clashing(spark.createDataFrame(rows, "doc_id long, text string")), network).collect())
+    want = Counter()
+    for d, t in rows:
+        if t is None or not any(map(str.isalpha, t)):
+            want[d, "und", 0.0] += 1
+        else:
+            share = by_hand(network, t)
+            want[d, network.labels[int(share.argmax())], round(float(share.max()), 4)] += 1
+    assert got == want
+    longest = language.identify(docs.where("doc_id IN (-6, -7)"), network).collect()
+    assert len({(r.lang_pred, round(r.score, 6)) for r in longest}) == 1 and len(longest) == 3
+    for k in network.params:
+        network.params[k] = network.params[k] * 0
+    assert {(r.lang_pred, round(r.score, 6)) for r in language.identify(docs.where("doc_id = -4"), network).collect()} == {(min(network.labels), round(1 / len(network.labels), 6))}
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    network = language.Network(["a", "b", "c"])
+    network.params = {k: v.astype(np.float64) for k, v in network.params.items()}
+    x, y = rng.integers(97, 123, (4, language.LENGTH)).astype(np.uint8), np.array([0, 1, 2, 1])
+    grads = network._gradients(x, y)
+    loss = lambda: -np.log(network.probabilities(x)[np.arange(4), y]).mean()
+    for name, at in (("out", (3, 1)), ("bias", (20,)), ("conv", (5, 2)), ("conv", (17, 40)), ("bytes", (int(x[0, 9]), 3)), ("out_bias", (2,))):
+        value, step = network.params[name][at], 1e-3
+        network.params[name][at] = value + step
+        above = loss()
+        network.params[name][at] = value - step
+        below = loss()
+        network.params[name][at] = value
+        assert abs((above - below) / (2 * step) - grads[name][at]) < 2e-3
+
+
 # 9. quality
 def test_quality(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -492,6 +547,46 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.quality(docs, labels.where("quality = 1")).collect()} == {1.0}
 
 
+def test_quality_by_hand(spark, docs):
+    """Each text's vector, its cosine with every labelled vector, and the votes of the nearest."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    voter = quality.learn(docs, labels)
+    rows = [(1, "Some text of no great length."), (1, "Some text of no great length."), (2, "junk junk junk junk 123 123"), (2, LONG), (3, None), (4, ""), (5, "a"), (None, "ab cd ab cd")]
+    got = Counter((r.doc_id, round(r.score, 3)) for r in quality.score(clashing(spark.createDataFrame(rows, "doc_id long, text string")), voter).collect())
+    want = Counter()
+    for d, t in rows:
+        raw = (t or "").encode()
+        if not raw:
+            want[d, round(voter.share, 3)] += 1
+            continue
+        counts = np.zeros(quality.FEATURES)
+        for i in range(max(1, len(raw) - 2)):
+            a, b, c = (raw[i : i + 3] + b"\0\0")[:3]
+            counts[(((a << 16 | b << 8 | c) * 2654435761) % 2**32) >> 20] += 1
+        words = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        counts[-1] = sum(a == b for a, b in zip(words, words[1:]))
+        x = np.log1p(counts) * voter.rarity
+        x = x / np.linalg.norm(x) @ voter.axes
+        if not x.any():  # terms that no labelled text has
+            want[d, round(voter.share, 3)] += 1
+            continue
+        cosine = voter.vectors @ (x / np.linalg.norm(x))
+        near = np.argsort(-cosine, kind="stable")[: quality.NEIGHBOURS]
+        weight = np.maximum(cosine[near], 0) ** quality.SHARPNESS * voter.vote[near]
+        want[d, round(float((weight * voter.label[near]).sum() / weight.sum()), 3)] += 1
+    assert {d for d, _ in got} == {d for d, _ in want} and len(got) == len(want)
+    assert all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(sorted(got, key=str), sorted(want, key=str)))
+
+
+def test_quality_sample_is_bounded(spark, docs, monkeypatch):
+    """One id that repeats, in labels and in texts, brings no more rows to the driver than the bound."""
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    many = labels.unionByName(spark.createDataFrame([(2, 0)] * 300 + [(3, 1)] * 300, labels.schema))
+    voter = quality.learn(docs.unionByName(docs.where("doc_id IN (2, 3)")), many)
+    assert len(voter.label) == 20 and sorted(voter.label.tolist()) == [0.0] * 10 + [1.0] * 10
+
+
 # 10. secrets
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 SECRETS = [
