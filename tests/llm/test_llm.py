@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -142,14 +143,77 @@ def test_main_text_keeps_a_list_of_sources():
     assert got.split("\n") == [FULL.strip()] * 2 + ["First source of the article", "Second source"]
 
 
+def test_main_text_of_a_page_that_is_one_form():
+    fields = "<input name=q><select><option>an option</select><button>Send</button>"
+    got = html_text.main_text(f"<body><form action=x><nav>menu</nav><h1>Title</h1><p>{FULL}</p><p>{FULL}</p>{fields}</form></body>")
+    assert got.split("\n") == ["Title", FULL.strip(), FULL.strip()]
+    assert html_text.main_text(f"<body><p>{FULL}</p><form><p>Your name, please.</p>{fields}</form></body>") == FULL.strip()
+
+
+def test_main_text_judges_doubtful_parts_by_what_they_hold():
+    article = "<article><p>{0}</p><div class='response-time'><p>{0}</p></div><div class='related'><ul><li><a href=x>One more page</a></ul></div><p class='tags'>tag, tag</p></article>"
+    assert html_text.main_text(article.format(FULL)).split("\n") == [FULL.strip()] * 2
+
+
+def test_main_text_in_time_linear_in_depth():
+    began = time.perf_counter()
+    for around in ("<div>", "<ul><li>", "<b>"):
+        close = "".join(f"</{x}>" for x in reversed(re.findall(r"\w+", around)))
+        assert html_text.main_text(around * 20_000 + f"<p>{FULL}</p>" + close * 20_000) == FULL.strip()
+        assert html_text.main_text(around * 20_000 + FULL) == FULL.strip()
+    assert time.perf_counter() - began < 20
+
+
+def test_main_text_of_made_pages():
+    """Pages put together from article and other blocks, whose main text is known."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdeéß"), rng.integers(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    sentence = lambda: words(int(rng.integers(12, 40))).capitalize() + ", " + words(5) + "."
+    for _ in range(200):
+        body, want = [], []
+        for _ in range(rng.integers(3, 12)):
+            kind = rng.integers(0, 8)
+            text = sentence()
+            if kind < 4:
+                body.append(f"<p>{text}" + "</p>" * int(rng.integers(0, 2)))
+                want.append(text)
+            elif kind == 4:
+                body.append(f"<h2>{text[:30]}</h2><p>{text} &amp; <b>more</b>\n of&#32;it.</p>")
+                want += [text[:30].strip(), f"{text} & more of it."]
+            elif kind == 5:
+                body.append(f"<ul><li>{text}<li>{text}</ul>")
+                want += [text, text]
+            elif kind == 6:
+                body.append(f"<aside><p>{sentence()}</p></aside><script>var x = '<p>{text}</p>'</script><!-- <p>{text}</p> -->")
+            else:
+                body.append(f"<div class='comments'><p>{sentence()}</p></div><div style='display:none'><p>{text}</p></div>")
+        first = " ".join(sentence() for _ in range(4))
+        links = "".join(f"<li><a href=/{k}>{words(3)}</a></li>" for k in range(6))
+        page = f"<html><head><title>{words(4)}</title><style>p {{}}</style></head><body><header><p>{sentence()}</p></header><nav><ul>{links}</ul></nav><div class='ad'>{sentence()}</div>"
+        page += f"<{{0}}><p>{first}</p>{''.join(body)}</{{0}}><section class='sidebar'><p>{sentence()}</p></section><footer>&copy; {sentence()}</footer></body></html>"
+        for around in ("article", "main", "article class='post'"):
+            got = html_text.main_text(page.replace("{0}", around).replace("</article class='post'>", "</article>"))
+            assert got.split("\n") == [" ".join(x.split()) for x in (first, *want)]
+
+
+def article_of(html):
+    """The blocks of a page's one article element, by patterns."""
+    body = html[html.find("<article>") + 9 :].split("</article>")[0] if "<article>" in html else ""
+    body = re.sub(r"<br[^>]*>", " ", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S))
+    blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|section|footer|table|tr|td|blockquote|pre)\b[^>]*(?:>|$)", body)
+    return [x for x in (" ".join(unescape(re.sub(r"<[^>]*(?:>|$)", "", b)).split()) for b in blocks) if x]
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<p>text</p>"), (2, None, None), (2, None, None), (None, "u", "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "text", 4), (2, "", 0), (2, "", 0)]
-    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        body = re.sub(r"<[^>]*$", "", r.html[r.html.find("<article>") :].split("</article>")[0])
-        for words in re.findall(r"<p>([^<&]+)", body):
-            assert " ".join(words.split()) in html_text.Page(r.html).main_text()
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in queries.op2_html_text(spark, SF).collect()}
+    assert len(got) == pages.count() and html_text.extract(pages.limit(0)).count() == 0
+    for r in pages.collect():
+        assert got[r.page_id].split("\n") == article_of(r.html), r.page_id
 
 
 # 3. top-k
