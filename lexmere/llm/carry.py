@@ -15,7 +15,7 @@ def with_rest(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, s
     """(doc_id, text, rest) with every other column inside rest, and rest's type."""
     others = [F.col(named(c)) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
     out = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"), F.struct(*others).alias("rest"))
-    return out, out.schema["rest"].dataType.simpleString()
+    return out, f"struct<{out.schema['rest'].dataType.toDDL()}>"
 
 
 def restored(carried: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:

@@ -350,6 +350,10 @@ def test_packing(docs, texts, empty):
 
 # 6. n-gram Jaccard join
 def joined(texts, width=4, percent=85):
+    return Counter(joined_in_order(texts, width, percent))
+
+
+def joined_in_order(texts, width, percent):
     sets = []
     for d, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
@@ -370,7 +374,7 @@ def joined(texts, width=4, percent=85):
     for k, (d, _) in enumerate(sets):
         if d is not None:
             least[find(k)] = min(d, least.get(find(k), d))
-    return Counter((d, len(s), least.get(find(k))) for k, (d, s) in enumerate(sets))
+    return [(d, len(s), least.get(find(k))) for k, (d, s) in enumerate(sets)]
 
 
 @pytest.fixture(scope="module")
@@ -729,17 +733,81 @@ def test_secret_scan_is_native(docs):
 
 
 # the pipeline
+def spans_of(t):
+    own = base_spans(t) + [(r.kind, m.start(), m.end()) for r in secrets_scan.MORE for m in re.finditer(r.pattern, t or "")]
+    return [(s, e) for _, s, e in own]
+
+
+def without_hits(t, windows):
+    found = list(ALNUM.finditer(low(t)))
+    places, w, hit = [m.span() for m in found], [m[0] for m in found], [False] * len(found)
+    for n in {len(x) for x in windows}:
+        for j in range(len(w) - n + 1):
+            if tuple(w[j : j + n]) in windows:
+                hit[j : j + n] = [True] * n
+    out, at = [], 0
+    for j, (a, b) in enumerate(places):
+        if hit[j]:
+            if not j or not hit[j - 1]:
+                out.append(t[at:a])
+            at = b
+    return "".join(out) + (t or "")[at:], bool(w) and all(hit)
+
+
 def test_pipeline(spark, docs):
+    """Every stage against a plain version of it, on what the stage before it kept."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language id", "n-gram jaccard join", "benchmark decontamination", "secret scans", "packing"]
-    now = docs
+    now = clashing(docs.unionByName(spark.createDataFrame([(d, t, None, None, None) for d, t in SECRETS], docs.schema))).selectExpr("*", "doc_id AS `a.b`")
+    rows = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = ALNUM.findall(low(r.text))
+        windows |= {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9) if w else 0)}
+    network = language.learn(now)
+
+    def known(t):
+        if not t or not any(map(str.isalpha, t)):
+            return False
+        x = language.windows(t)
+        weight = (x != 0x20).sum(1)[:, None] + 1e-6
+        return ((network.probabilities(x) * weight).sum(0) / weight.sum()).max() >= corpus_pipeline.LEAST_LANGUAGE
+
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = rows(now)
         after = stage(spark, now, SF)
         assert after.columns == now.columns, name
         now = spark.createDataFrame(after.collect(), after.schema)
+        assert all(r["a.b"] == r.doc_id and r.likely_id == 10 for r in now.collect())
         if name == "language id":
-            assert now.where("doc_id IN (-1, -2, -3)").count() == 0
+            want = Counter({k: n for k, n in before.items() if known(k[1])})
+        elif name == "n-gram jaccard join":
+            first = {(d, t): c for (d, t), (_, _, c) in zip(before, joined_in_order(list(before), 5, 80))}
+            want = Counter({k: n if k[0] is None else 1 for k, n in before.items() if k[0] is None or first[k] == k[0]})
+        elif name == "benchmark decontamination":
+            want = Counter()
+            for (d, t), n in before.items():
+                clean, gone = without_hits(t, windows)
+                want[d, clean] += 0 if gone else n
+            want = +want
+        else:
+            want = Counter()
+            for (d, t), n in before.items():
+                want[d, cut_spans(t, spans_of(t))] += n
+        assert rows(now) == want, name
+        assert all(r.n_chars == len(r.text) for r in now.collect() if r.n_chars is not None)
     assert now.count() > 100
-    rows = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
-    check_pieces(rows, [(r.doc_id, r.text) for r in now.collect()], 2048)
+    check_pieces(corpus_pipeline.STAGES[-1][1](spark, now, SF).collect(), [(r.doc_id, r.text) for r in now.collect()], 2048)
+
+
+def test_pipeline_of_nothing(spark, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, clashing(empty), SF)
+        assert after.count() == 0 and (name == "packing" or after.columns == clashing(empty).columns)
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None), (2, "", "en", None, 0)], empty.schema)
+    kept = {"language id": 5, "n-gram jaccard join": 5, "benchmark decontamination": 5, "secret scans": 5, "packing": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nulls, SF).count() == kept[name], name
