@@ -19,7 +19,12 @@ ORACLE_SQL = None
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents in one of the learned languages.
+
+    A null or empty text, and one without a letter, goes. A row without an id or of a
+    repeated id is judged by its text like any other. A tie of languages decides for the
+    first by name and refuses nothing. Without a labelled row all rows stay.
+    """
     network = language.learn(docs)
     found = language.identify(docs, network, carry=True)
     if network is None:  # nothing was labelled: no language can be refused
@@ -28,27 +33,39 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked documents: five words a shingle, a similarity of 0.8."""
+    """The document of least id of each group of linked documents: five words a shingle, a similarity of 0.8.
+
+    A text without words has no links and stays. A row without an id stays. Of rows that
+    repeat an id and a text one stays; a text of its own stays though its id's other text goes.
+    """
     return jaccard_join.first_of_groups(docs, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages they share with the benchmark; a text of which nothing is left goes."""
+    """Texts without the passages they share with the benchmark; a text of which nothing is left goes.
+
+    A null or empty text is as it was. Overlapping passages are cut as one. Repeated rows,
+    and those without an id, are cut alike. An empty benchmark changes nothing.
+    """
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
     return restored(left, docs, "clean")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets replaced by a mark."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secrets_scan.scan(docs, keep=others)
-    kept = found.select("doc_id", secrets_scan.redacted(F.col("text"), F.col("found")).alias("text"), F.struct(*[F.col(f"kept_{c}").alias(c) for c in others]).alias("rest"))
-    return restored(kept, docs)
+    """Texts with secrets replaced by a mark, one for a run of overlapping ones.
+
+    A null text becomes an empty one. No row goes; repeated rows are changed alike.
+    """
+    found = secrets_scan.scan(docs, carry=True)
+    return restored(found.withColumn("shown", secrets_scan.redacted(F.col("text"), F.col("found"))), docs, "shown")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences: all tokens of all rows, once each.
+
+    A null or empty text is its end id alone; repeated rows are packed as often as they stand there.
+    """
     return packing.pack(docs)
 
 
