@@ -21,6 +21,7 @@ ZERO_WIDTH = r"​-‏⁠﻿­"
 INLINE_SPACE = r" \t   -   　"
 TERMINATORS = r"。！？；…．"
 HYPHENS = r"\-‐‑"
+SENTENCE_CUT = rf"(?<=[{TERMINATORS}])\s*|(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9{HAN}{HANGUL}])|\n+"
 CLOSING = r".,;:!?%)\]}」』》〉）］｝。，、；：！？"
 # fixed values: characters of one Chinese script only, traditional then simplified
 SCRIPT_PAIRS = (
@@ -74,8 +75,7 @@ def split_paragraphs(c: Column) -> Column:
 
 def split_sentences(c: Column) -> Column:
     """Cut after full-width terminators, after .!? before a capital or CJK start, and at line ends."""
-    cut = rf"(?U)(?<=[{TERMINATORS}])\s*|(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9{HAN}{HANGUL}])|\n+"
-    return _pieces(F.split(c, cut, -1))
+    return _pieces(F.split(c, "(?U)" + SENTENCE_CUT, -1))
 
 
 def join_sentences(parts: Column) -> Column:
@@ -341,8 +341,8 @@ def username_key(c: Column) -> Column:
 
 
 def ready_to_check(held: Column) -> Column:
-    """Whether held-back text ends a sentence or is long enough to judge."""
-    return held.rlike(rf"[.!?{TERMINATORS}\n]") | (F.length(held) >= 120)
+    """Whether held-back text is long enough to judge: 12 characters with a sentence's end in them, or 120."""
+    return (F.length(held) >= 120) | ((F.length(held) >= 12) & held.rlike(r"[.!?](?:\s|$)|[。！？\n]"))
 
 
 def think_filtered(c: Column) -> Column:
@@ -361,14 +361,16 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-PAGE_NUMBER = r"^[\s\-–—|]*(?:page\s*)?\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?[\s\-–—|]*$"
-LIST_MARKER = r"^\s*(?:[-•·◦▪●*]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[①-⑳])\s"
-PARAGRAPH_END = r"[.!?:;。！？：；…」』）)\"”]\s*$"
-MONOSPACE = r"(?i)mono|courier|consol|menlo"
+# fixed values: page numbers, list markers, sentence ends before a new paragraph, and fonts of one width
+PAGE_NUMBER = r"(?iU)^[\W\d_]*(?:page|p\.)?[\W\d_]*$"
+LIST_MARKER = r"^(?:[•·‣◦▪●○■□◆◇➢➤→\-–—*]|\(?\d{1,3}[.)]|[①-⑳])"
+PARAGRAPH_END = r"[。．.!?！？:：;；][\"'”’」』)）\]]*(?:\[\d+\])*$"
+MONOSPACE = r"(?i)mono|courier|consol|menlo|code"
+SENTENCE_TAIL = r"[。．.!?！？，,;；、:：]$"
 
 
 def is_heading(text: Column, size: Column, body: Column, bold: Column) -> Column:
     """Large short lines, and short bold ones that end no sentence."""
     large = (F.length(text) <= 120) & (size >= 1.15 * body)
-    strong = bold & (F.length(text) <= 80) & ~strip(text).rlike(PARAGRAPH_END)
+    strong = bold & (F.length(text) <= 80) & ~strip(text).rlike(SENTENCE_TAIL)
     return (strip(text) != "") & (large | strong)

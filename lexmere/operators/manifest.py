@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import LIBRARY, within
+from ..functions.ids import LIBRARY, document_id, within
 
 TERMINAL = ("indexed", "unsupported")
 
@@ -135,8 +135,14 @@ def unique_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 def merge_requests(requests: DataFrame) -> DataFrame:
     """Queued runs of one kind (scope, directory, force) as one; a run of everything absorbs lists of paths."""
     whole = F.bool_or(F.col("paths").isNull())
-    paths = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("paths", F.array().cast("array<string>"))))))
-    return requests.groupBy("scope", "directory", "force").agg(F.min("position").alias("position"), F.when(whole, F.lit(None).cast("array<string>")).otherwise(paths).alias("paths"))
+    # each path once, where it was first asked for: paths are made distinct before they are gathered
+    first = requests.select("scope", "directory", "force", "position", F.posexplode_outer("paths").alias("_n", "_path")).where("_path IS NOT NULL")
+    first = first.groupBy("scope", "directory", "force", "_path").agg(F.min(F.struct("position", "_n")).alias("_at"))
+    paths = first.groupBy("scope", "directory", "force").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_path"))), lambda x: x["_path"]).alias("_paths"))
+    kinds = requests.groupBy("scope", "directory", "force").agg(F.min("position").alias("position"), whole.alias("_whole"))
+    joined = kinds.join(paths, ["scope", "directory", "force"], "left")
+    listed = F.when(F.col("_whole"), F.lit(None).cast("array<string>")).otherwise(F.coalesce("_paths", F.array().cast("array<string>")))
+    return joined.select("scope", "directory", "force", "position", listed.alias("paths"))
 
 
 def forget_path(documents: DataFrame, path: str) -> DataFrame:
@@ -145,6 +151,59 @@ def forget_path(documents: DataFrame, path: str) -> DataFrame:
     return documents.withColumn("_left", left).where(F.size("_left") > 0).withColumns({"filepath": F.element_at("_left", 1), "alt_filepaths": F.slice("_left", 2, F.greatest(F.size("_left") - 1, F.lit(0)))}).drop("_left")
 
 
+def with_paths(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Records that files (document_id, path) bring new paths to, with these among their alternates."""
+    paths = found.groupBy("document_id").agg(F.array_sort(F.collect_set("path")).alias("_found"))
+    alternates = F.coalesce("alt_filepaths", F.array().cast("array<string>"))
+    added = F.array_except("_found", F.array_union(F.array("filepath"), alternates))
+    joined = documents.join(paths, "document_id").withColumn("_added", added).where(F.size("_added") > 0)
+    return joined.withColumn("alt_filepaths", F.concat(alternates, F.col("_added"))).drop("_found", "_added")
+
+
+def present(documents: DataFrame, listing: DataFrame) -> DataFrame:
+    """Records with only those of their paths that a listing (path) has; those without one go. The order of paths stays."""
+    every = F.array_union(F.array("filepath"), F.coalesce("alt_filepaths", F.array().cast("array<string>")))
+    placed = documents.select("document_id", F.posexplode(every).alias("_n", "path")).join(listing.select("path").distinct(), "path", "left_semi")
+    left = placed.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "path"))), lambda x: x["path"]).alias("_left"))
+    kept = documents.join(left, "document_id").withColumns({"filepath": F.element_at("_left", 1), "alt_filepaths": F.slice("_left", 2, F.greatest(F.size("_left") - 1, F.lit(0)))})
+    return kept.drop("_left").select(*documents.columns)
+
+
+def relocated(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(document_id, old, new): documents whose first path changed between two states of the manifest."""
+    old = before.select("document_id", F.col("filepath").alias("old"))
+    return old.join(after.select("document_id", F.col("filepath").alias("new")), "document_id").where("old <> new")
+
+
+def adopted(documents: DataFrame, passages: DataFrame, old_owner: str, new_owner: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of one owner as another's: under the new owner's ids, private, and merged where that owner has the content.
+
+    Returns documents and passages. A document that the new owner has keeps its passages
+    and takes the other's paths as alternates; the other's passages go. All others are
+    re-keyed and keep their vectors.
+    """
+    moving = F.col("owner_id") == old_owner
+    target = F.when(moving, document_id(F.lit(new_owner), F.col("file_hash"))).otherwise(F.col("document_id"))
+    named = documents.withColumn("_target", target)
+    every = F.array_union(F.array("filepath"), F.coalesce("alt_filepaths", F.array().cast("array<string>")))
+    paths = named.select("_target", moving.alias("_moving"), F.posexplode(every).alias("_n", "_path"))
+    merged = paths.groupBy("_target").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_moving", "_n", "_path"))), lambda x: x["_path"])).alias("_paths"))
+    order = Window.partitionBy("_target").orderBy(moving, "document_id")
+    first = named.withColumn("_k", F.row_number().over(order)).where("_k = 1").join(merged, "_target")
+    changed = {
+        "document_id": F.col("_target"),
+        "visibility": F.when(moving, "private").otherwise(F.col("visibility")),
+        "owner_id": F.when(moving, new_owner).otherwise(F.col("owner_id")),
+        "filepath": F.element_at("_paths", 1),
+        "alt_filepaths": F.slice("_paths", 2, F.greatest(F.size("_paths") - 1, F.lit(0))),
+    }
+    kept = first.select(*[changed.get(c, F.col(c)).alias(c) for c in documents.columns])
+    winners = first.select("document_id", F.col("_target"))
+    rows = passages.join(winners, "document_id").withColumn("document_id", F.col("_target")).drop("_target")
+    mine = F.col("owner_id") == old_owner
+    return kept, rows.withColumns({"visibility": F.when(mine, "private").otherwise(F.col("visibility")), "owner_id": F.when(mine, new_owner).otherwise(F.col("owner_id"))}).select(*passages.columns)
+
+
 def file_states(files: DataFrame, manifest_paths: DataFrame, running: DataFrame, queued: DataFrame) -> DataFrame:
     """A file's state: processing, queued, its record's status, or not_indexed, in this order."""
     joined = (

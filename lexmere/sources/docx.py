@@ -1,13 +1,16 @@
 """Word documents as pages of blocks, from the package's XML, one Arrow call a batch of files.
 
-Insertions count, deletions, moves away and field codes do not. A page break, or a
-break the writer recorded while rendering, opens a page; empty pages do not arise.
-A table of one row is paragraphs. Errors are values: a bad file never ends a run.
+Insertions count, deletions, moves away and field codes do not. A paragraph is one
+block on the page where its text starts: a break before its text, written or recorded
+while rendering, turns the page first, one after it turns the page for what follows,
+and so does the end of a section that asks for a page. Empty pages do not arise. A
+table of one row is paragraphs. Errors are values: a bad file never ends a run.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,12 +18,18 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.text import WIDE
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 OLE = bytes.fromhex("D0CF11E0A1B11AE1")
 BLOCK = pa.struct([("kind", pa.string()), ("text", pa.string()), ("order", pa.int32())])
 PAGE = pa.struct([("page_number", pa.int32()), ("blocks", pa.list_(BLOCK)), ("text", pa.string())])
 SCHEMA = "path string, status string, error_type string, error_message string, title string, pages array<struct<page_number:int,blocks:array<struct<kind:string,text:string,order:int>>,text:string>>"
 LEAST_CHARS = 20
+# fixed values: section types that begin a page, and what stands for other signs
+NEW_PAGE = ("nextPage", "oddPage", "evenPage")
+PLAIN = {W + "tab": " ", W + "cr": "\n", W + "noBreakHyphen": "-", W + "lastRenderedPageBreak": "\f"}
+_BETWEEN_WIDE = re.compile(rf"(?<=[{WIDE}])\v(?=[{WIDE}])")
 SKIPPED = {W + x for x in ("del", "moveFrom", "instrText", "delText", "pPr", "rPr")}
 
 
@@ -28,24 +37,21 @@ class Unsupported(Exception):
     """A file of a kind that is not read; it is not tried again."""
 
 
-class PageBuilder:
-    """Blocks in order, in pages that are never empty."""
-
-    def __init__(self) -> None:
-        self.pages: list[list[tuple[str, str]]] = [[]]
-
-    def new_page(self) -> None:
-        if self.pages[-1]:
-            self.pages.append([])
+def paged(marks: list[tuple[str, str]]) -> list[dict]:
+    """Pages from a stream of (kind, text) in which the kind "page" turns the page."""
+    pages: list[list[dict]] = [[]]
+    for kind, text in marks:
+        if kind == "page":
+            if pages[-1]:
+                pages.append([])
+        elif text:
+            pages[-1].append({"kind": kind, "text": text, "order": len(pages[-1])})
+    return [{"page_number": n, "blocks": p, "text": "\n\n".join(b["text"] for b in p)} for n, p in enumerate(filter(None, pages), 1)]
 
-    def add(self, kind: str, text: str) -> None:
-        text = "\n".join(" ".join(line.split()) for line in text.split("\n")).strip()
-        if text:
-            self.pages[-1].append((kind, text))
 
-    def rows(self) -> list[dict]:
-        kept = [p for p in self.pages if p]
-        return [{"page_number": n, "blocks": [{"kind": k, "text": t, "order": i} for i, (k, t) in enumerate(p)], "text": "\n\n".join(t for _, t in p)} for n, p in enumerate(kept, 1)]
+def level(value: str | None) -> int:
+    """An outline level; what is no number is none."""
+    return int(value) if value is not None and value.isdecimal() else 9
 
 
 def heading_styles(styles: ElementTree.Element | None) -> set[str]:
@@ -55,11 +61,11 @@ def heading_styles(styles: ElementTree.Element | None) -> set[str]:
     based: dict[str, str | None] = {}
     found: set[str] = set()
     for s in styles.iter(W + "style"):
-        name, base, level = s.find(W + "name"), s.find(W + "basedOn"), s.find(f"{W}pPr/{W}outlineLvl")
+        name, base, outline = s.find(W + "name"), s.find(W + "basedOn"), s.find(f"{W}pPr/{W}outlineLvl")
         key = s.get(W + "styleId", "")
         based[key] = base.get(W + "val") if base is not None else None
         title = (name.get(W + "val", "") if name is not None else "").lower()
-        if title.startswith(("heading", "title", "标题", "標題", "제목")) or (level is not None and int(level.get(W + "val", "9")) <= 8):
+        if title.startswith(("heading", "title", "标题", "標題", "제목")) or (outline is not None and level(outline.get(W + "val")) <= 8):
             found.add(key)
     for key in based:
         seen, at = set(), key
@@ -75,33 +81,39 @@ def heading_styles(styles: ElementTree.Element | None) -> set[str]:
 def _pieces(element: ElementTree.Element) -> Iterator[str]:
     """Text of runs; \\f stands for a page break."""
     for child in element:
-        if child.tag in SKIPPED:
+        tag = child.tag
+        if tag in SKIPPED or tag in (W + "tbl", W + "softHyphen"):
             continue
-        if child.tag == W + "t":
+        if tag == W + "t":
             yield child.text or ""
-        elif child.tag == W + "tab":
-            yield "\t"
-        elif child.tag == W + "noBreakHyphen":
-            yield "‑"
-        elif child.tag == W + "softHyphen":
-            yield "­"
-        elif child.tag == W + "br":
-            yield "\f" if child.get(W + "type") == "page" else "\n"
-        elif child.tag == W + "lastRenderedPageBreak":
-            yield "\f"
-        elif child.tag != W + "tbl":
+        elif tag in PLAIN:
+            yield PLAIN[tag]
+        elif tag == W + "br":
+            yield {"page": "\f", "column": ""}.get(child.get(W + "type", ""), "\n")
+        else:
             yield from _pieces(child)
 
 
-def _paragraph(p: ElementTree.Element, headings: set[str], out: PageBuilder) -> None:
+def one_line(text: str) -> str:
+    """Lines of a paragraph as running text: with a space between them, or none between wide characters."""
+    lines = [x for x in (" ".join(line.split()) for line in text.split("\n")) if x]
+    return _BETWEEN_WIDE.sub("", "\v".join(lines)).replace("\v", " ")
+
+
+def _paragraph(p: ElementTree.Element, headings: set[str]) -> Iterator[tuple[str, str]]:
     style, own = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}outlineLvl")
-    heading = (style is not None and style.get(W + "val") in headings) or (own is not None and int(own.get(W + "val", "9")) <= 8)
-    if p.find(f"{W}pPr/{W}pageBreakBefore") is not None:
-        out.new_page()
-    for k, part in enumerate("".join(_pieces(p)).split("\f")):
-        if k:
-            out.new_page()
-        out.add("heading" if heading else "paragraph", part)
+    heading = (style is not None and style.get(W + "val") in headings) or (own is not None and level(own.get(W + "val")) <= 8)
+    raw = "".join(_pieces(p))
+    text = one_line(raw.replace("\f", ""))
+    lead = raw[: len(raw) - len(raw.lstrip())]
+    if p.find(f"{W}pPr/{W}pageBreakBefore") is not None or (text and "\f" in lead):
+        yield "page", ""
+    yield "heading" if heading else "paragraph", text
+    section = p.find(f"{W}pPr/{W}sectPr")
+    kind = section.find(W + "type") if section is not None else None
+    new_page = section is not None and (kind is None or kind.get(W + "val", "nextPage") in NEW_PAGE)
+    if new_page or "\f" in (raw[len(lead) :] if text else raw):
+        yield "page", ""
 
 
 def table_text(rows: list[list[str]]) -> str:
@@ -110,10 +122,11 @@ def table_text(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
-def _body(body: ElementTree.Element, headings: set[str], out: PageBuilder) -> None:
+def _marks(body: ElementTree.Element, headings: set[str]) -> Iterator[tuple[str, str]]:
+    """The body as a stream of blocks and turned pages."""
     for child in body:
         if child.tag == W + "p":
-            _paragraph(child, headings, out)
+            yield from _paragraph(child, headings)
         elif child.tag == W + "tbl":
             rows = []
             for tr in child.iter(W + "tr"):
@@ -124,12 +137,11 @@ def _body(body: ElementTree.Element, headings: set[str], out: PageBuilder) -> No
                     cells.append("" if merge is not None and merge.get(W + "val") != "restart" else text)
                 rows.append(cells)
             if len(rows) >= 2:
-                out.add("table", table_text(rows))
+                yield "table", table_text(rows)
             else:
-                for text in (c for r in rows for c in r):
-                    out.add("paragraph", text)
+                yield from (("paragraph", text) for r in rows for text in r)
         elif child.tag in (W + "sdt", W + "sdtContent", W + "ins", W + "customXml"):
-            _body(child, headings, out)
+            yield from _marks(child, headings)
 
 
 def read(content: bytes) -> tuple[str | None, list[dict]]:
@@ -145,14 +157,11 @@ def read(content: bytes) -> tuple[str | None, list[dict]]:
         raise ValueError("no document in the package")
     styles = ElementTree.fromstring(package.read("word/styles.xml")) if "word/styles.xml" in names else None
     body = ElementTree.fromstring(package.read("word/document.xml")).find(W + "body")
-    out = PageBuilder()
-    if body is not None:
-        _body(body, heading_styles(styles), out)
+    pages = paged(list(_marks(body, heading_styles(styles)))) if body is not None else []
     title = None
     if "docProps/core.xml" in names:
         own = ElementTree.fromstring(package.read("docProps/core.xml")).find("{http://purl.org/dc/elements/1.1/}title")
         title = own.text.strip() or None if own is not None and own.text else None
-    pages = out.rows()
     if sum(len("".join(p["text"].split())) for p in pages) < LEAST_CHARS:
         raise Unsupported("no text to index")
     return title, pages

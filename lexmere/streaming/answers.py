@@ -1,8 +1,10 @@
 """A token stream, gated: think blocks dropped, the first sentence held back until its language is judged.
 
-Input rows (ask_id, seq, attempt, text, final) come from any stream. State is kept by
-ask_id: what is held, whether the gate is open, which attempt runs. A first sentence
-in the wrong language asks once for a restart; the second attempt passes as it is.
+Input rows (ask_id, seq, attempt, language, text, final) come from any stream. State is
+kept by ask_id: what is held, whether the gate is open, which attempt runs. A first
+sentence in the wrong language asks once for a restart; the second attempt passes as it
+is. An answer's state is a mark once it has ended; with an event time it goes an hour
+after the last token.
 """
 
 import re
@@ -13,9 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "ask_id string, seq long, name string, text string"
 STATE = "held string, open boolean, attempt int, thinking string, done boolean"
-READY = re.compile(r"[.!?。！？；…．\n]")
+#: fixed values: where a first sentence ends, and between how many characters it is judged
+READY = re.compile(r"[.!?](?:\s|$)|[。！？\n]")
+LEAST_HELD, MOST_HELD = 12, 120
 IDLE_MS = 3_600_000
-MOST_HELD = 120
 
 
 def language_of(text: str) -> str | None:
@@ -33,6 +36,20 @@ def language_of(text: str) -> str | None:
     return "zh" if han and han >= len(words) else "en" if words else "other" if other else None
 
 
+def passes(text: str, language: str) -> bool:
+    """Whether a first sentence counts as written in a language, as functions.text.is_in_language has it but for Chinese scripts."""
+    found, want = language_of(text), language.split("-")[0]
+    if found is None or found == want:
+        return True
+    if want == "en" and found == "zh":
+        return len(re.findall("[一-鿿㐀-䶿豈-﫿]", text)) <= len(re.findall("[A-Za-zÀ-ɏ]", text))
+    return False
+
+
+def ready(held: str) -> bool:
+    return len(held) >= MOST_HELD or (len(held) >= LEAST_HELD and READY.search(held) is not None)
+
+
 def without_think(pending: str, text: str) -> tuple[str, str]:
     """(what must still wait, what may go on) of a stream whose start may be a think block. None waiting is "-"."""
     if pending == "-":
@@ -44,39 +61,50 @@ def without_think(pending: str, text: str) -> tuple[str, str]:
     return (own, "") if "<think>".startswith(own) else ("-", own)
 
 
-def gate(key: tuple, rows, state: GroupState):
-    """One ask's events from its tokens."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held, is_open, attempt, thinking, done = state.get if state.exists else ("", False, 1, "", False)
-    out = []
-    for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-        if done or r.attempt != attempt:
-            continue
-        thinking, text = without_think(thinking, r.text or "")
-        if is_open:
-            if text:
-                out.append((r.seq, "delta", text))
-        else:
-            held += text
-            if r.final or READY.search(held) or len(held) >= MOST_HELD:
-                found = language_of(held)
-                if attempt == 1 and found is not None and found != r.language.split("-")[0]:
-                    out.append((r.seq, "restart", ""))
-                    held, thinking, attempt = "", "", 2
-                    continue
-                if held:
-                    out.append((r.seq, "delta", held))
-                held, is_open = "", True
-        if r.final:
-            out.append((r.seq, "done", ""))
-            done = True
-    state.update((held, is_open, attempt, thinking, done))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame([(key[0], *x) for x in out], columns=["ask_id", "seq", "name", "text"])
-
-
-def gated(stream: DataFrame) -> DataFrame:
-    """OUT for a stream of (ask_id, seq, attempt, language, text, final)."""
-    return stream.groupBy("ask_id").applyInPandasWithState(gate, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _gate(at: str | None):
+    def gate(key: tuple, rows, state: GroupState):
+        """One ask's events from its tokens."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, is_open, attempt, thinking, done = state.get if state.exists else ("", False, 1, "", False)
+        out = []
+        tokens = pd.concat(list(rows)).sort_values("seq")
+        for r in tokens.itertuples():
+            if done or r.attempt != attempt:
+                continue
+            thinking, text = without_think(thinking, r.text or "")
+            if is_open:
+                if text:
+                    out.append((r.seq, "delta", text))
+            else:
+                held += text
+                if r.final or ready(held):
+                    if attempt == 1 and not passes(held, r.language):
+                        out.append((r.seq, "restart", ""))
+                        held, thinking, attempt = "", "", 2
+                        continue
+                    if held:
+                        out.append((r.seq, "delta", held))
+                    held, is_open = "", True
+            if r.final:
+                out.append((r.seq, "done", ""))
+                done, thinking = True, ""
+        state.update((held, is_open, attempt, thinking, done))
+        if at:
+            last = int(tokens[at].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MS)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["ask_id", "seq", "name", "text"])
+
+    return gate
+
+
+def gated(stream: DataFrame, at: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """OUT for a stream of (ask_id, seq, attempt, language, text, final).
+
+    at names an event time, by which old state goes; without it state stays, as a
+    processing time would keep a stream that is to end waiting for ever.
+    """
+    kind = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
+    timed = stream.withWatermark(at, late) if at else stream
+    return timed.groupBy("ask_id").applyInPandasWithState(_gate(at), OUT, STATE, "append", kind)

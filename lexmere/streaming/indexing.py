@@ -1,12 +1,16 @@
 """Incremental indexing: a file stream whose batches merge into versioned snapshots.
 
-A snapshot is a folder of its own and a one-line pointer names the current one, so
-readers see a batch wholly or not at all, and a batch that is run again finds its
-documents indexed. Documents are hashed and looked up before the costly steps.
+A table is kept in buckets of its key. A batch writes the buckets it changes as files
+of their own, and then publishes a small list of every bucket's current files under
+the next number. Lists are created once and never replaced: readers take the highest
+number, a crash between leaves files that no list names, and of two writers that
+merged into the same version the second finds its number taken and merges again.
+Documents are hashed and looked up before the costly steps.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,40 +21,89 @@ from ..operators import manifest as M
 from ..sources import docx
 from ..sources.files import hashed, is_candidate
 
+BUCKETS = 64
+
+
+class Conflict(Exception):
+    """Another writer has published the version that this one was to be."""
+
 
 class Snapshots:
-    """A table as numbered snapshots under a path, with the current number in a text file."""
+    """A table as numbered versions under a path, in buckets of a key."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "document_id", buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def current(self) -> int:
-        fs, p = self._fs(f"{self.path}/current")
-        return int(self.spark.read.text(f"{self.path}/current").first()[0]) if fs.exists(p) else 0
-
-    def read(self) -> DataFrame:
-        n = self.current()
-        if not n:
+        """The number of the newest published version, 0 before the first."""
+        fs, p = self._fs(f"{self.path}/versions")
+        if not fs.exists(p):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return max((int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdecimal()), default=0)
+
+    def _files(self, version: int) -> dict[str, str]:
+        """The folder of each bucket in a version."""
+        if not version:
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/versions/{version}.json").collect()))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        folders = sorted(self._files(self.current() if version is None else version).values())
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}")
-
-    def commit(self, table: DataFrame) -> int:
-        """Writes the whole table as the next snapshot and moves the pointer to it."""
-        n = self.current() + 1
-        table.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        fs, new = self._fs(f"{self.path}/next")
-        out = fs.create(new, True)
-        out.writeBytes(f"{n}\n")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets))
+
+    def commit(self, table: DataFrame, base: int | None = None, changed: list[int] | None = None) -> int:
+        """Publishes table as the next version after `base`; only the buckets in `changed` are written, where they are named."""
+        base = self.current() if base is None else base
+        files = self._files(base)
+        which = list(range(self.buckets)) if changed is None else changed
+        made = f"data/{base + 1}-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        bucketed = table.withColumn("bucket", self._bucket()).where(F.col("bucket").isin(which))
+        bucketed.repartition(max(1, len(which)), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{made}")
+        fs, p = self._fs(f"{self.path}/{made}")
+        written = {f.getPath().getName() for f in fs.listStatus(p)}
+        for b in which:
+            files.pop(str(b), None)
+            if f"bucket={b}" in written:
+                files[str(b)] = f"{made}/bucket={b}"
+        self._publish(base + 1, files)
+        return base + 1
+
+    def _publish(self, version: int, files: dict[str, str]) -> None:
+        fs, p = self._fs(f"{self.path}/versions/{version}.json")
+        whole, draft = self._fs(f"{self.path}/drafts/{self.spark._jvm.java.util.UUID.randomUUID()}.json")
+        fs.mkdirs(p.getParent())
+        out = whole.create(draft, False)
+        out.writeBytes(json.dumps(files))
         out.close()
-        _, pointer = self._fs(f"{self.path}/current")
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
-        return n
+        # a rename to a name that exists fails, so a version is published whole and once
+        if fs.exists(p) or not fs.rename(draft, p):
+            raise Conflict(f"version {version} is there")
+
+    def merge(self, fresh: DataFrame, tries: int = 5) -> int:
+        """Publishes the newest version with the fresh rows in place of those of equal keys; after a conflict, once more."""
+        fresh = fresh.persist()
+        try:
+            changed = sorted(r[0] for r in fresh.select(self._bucket()).distinct().collect())
+            for _ in range(tries):
+                base = self.current()
+                held = self.read(base).where(self._bucket().isin(changed))
+                try:
+                    return self.commit(M.upsert(held, fresh.select(*held.columns), [self.key]), base, changed)
+                except Conflict:
+                    continue
+            raise Conflict(f"no version after {tries} tries")
+        finally:
+            fresh.unpersist()
 
 
 RECORD = "document_id string, filename string, filepath string, alt_filepaths array<string>, file_hash string, owner_id string, visibility string, status string, error_message string, title string, pages int"
@@ -70,10 +123,25 @@ def index_files(files: DataFrame, known: DataFrame, root: str, force: bool = Fal
 
 
 def run_batch(snapshots: Snapshots, files: DataFrame, root: str) -> int:
-    """Merges one batch of files into the manifest; returns the snapshot's number."""
+    """Merges one batch of files into the manifest; returns the version's number."""
     known = snapshots.read()
-    fresh = index_files(files, known, root).select(*[c.split()[0] for c in RECORD.split(", ")])
-    return snapshots.commit(M.upsert(known, fresh, ["document_id"]))
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    fresh = index_files(files, known, root).select(*names)
+    owned = hashed(files.where(is_candidate(F.col("path")))).withColumn("owner_id", owner_for(F.col("path"), root)).where("owner_id IS NOT NULL")
+    found = owned.select(document_id(F.col("owner_id"), F.col("file_hash")).alias("document_id"), F.col("path"))
+    # a known document at a new path is not read again: the path joins its record
+    moved = M.with_paths(known.where(F.col("status").isin(*M.TERMINAL)), found).select(*names)
+    return snapshots.merge(fresh.unionByName(moved))
+
+
+def sweep(snapshots: Snapshots, listing: DataFrame) -> int:
+    """Drops from the records the paths that a whole listing (path) of the tree does not have.
+
+    A record keeps its first path while it is there; else the next one takes its place,
+    which is how a moved file keeps its document. A record without a path goes.
+    """
+    base = snapshots.current()
+    return snapshots.commit(M.present(snapshots.read(base), listing), base)
 
 
 def start(spark: SparkSession, root: str, snapshots: Snapshots, checkpoint: str, batch_files: int = 1000):

@@ -28,7 +28,7 @@ def throttled(events: DataFrame, limit: int, window_seconds: int, late: str = "1
             now = r.ts.timestamp()
             times = [t for t in times if t > now - window_seconds] + [now]
             out.append((key[0], r.event_id, len(times), len(times) <= limit))
-        state.update((times[-limit - 1 :] if len(times) > limit else times,))
+        state.update((times,))
         state.setTimeoutTimestamp(int((times[-1] + window_seconds) * 1000) + 1)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "in_window", "allowed"])
 
