@@ -57,7 +57,7 @@ def searchable(kind: str = "kind") -> Column:
 def masked_hits(hits: DataFrame, user_id: str | None, is_admin: bool, users: DataFrame) -> DataFrame:
     """Hits with is_mine computed first, then owner and path hidden from those who may not see them."""
     mine = F.coalesce(F.col("owner_id") == F.lit(user_id), F.lit(False))
-    named = hits.join(F.broadcast(users.select(F.col("user_id").alias("owner_id"), F.col("username").alias("owner_name"))), "owner_id", "left")
+    named = hits.join(users.select(F.col("user_id").alias("owner_id"), F.col("username").alias("owner_name")), "owner_id", "left")
     shown = named.withColumn("is_mine", mine)
     if is_admin:
         return shown
@@ -79,6 +79,17 @@ def masked_documents(documents: DataFrame, user_id: str, is_admin: bool) -> Data
     )
 
 
+def masked_jobs(jobs: DataFrame, user_id: str | None, is_admin: bool) -> DataFrame:
+    """Runs as a reader sees them: another's run shows that it runs and how far it is, not whose files or failures."""
+    mine = F.lit(is_admin) | F.coalesce(F.col("started_by") == F.lit(user_id), F.lit(False))
+    hidden = {c: F.when(mine, F.col(c)) for c in ("directory", "current_file", "started_by", "failures") if c in jobs.columns}
+    return jobs.withColumn("_mine", mine).withColumns(hidden).withColumnRenamed("_mine", "is_mine")
+
+
+def valid_password(password: Column, least: int = 8, most: int = 128) -> Column:
+    return F.length(password).between(least, most)
+
+
 def split_request(requested: DataFrame, allowed: DataFrame, key: str = "document_id") -> DataFrame:
     """Requested ids, each once in order of first mention, as updated or unknown."""
     first = requested.groupBy(key).agg(F.min("position").alias("position"))

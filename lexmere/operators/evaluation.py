@@ -19,14 +19,16 @@ def expected_page(filename: str = "filename", page: str = "page", start: str = "
     return (F.col(filename) == F.col(name)) & F.col(page).between(F.col(start), F.col(end))
 
 
-def summary(ranks: DataFrame, group: str | None = None) -> DataFrame:
-    """recall at 1 and k, mean reciprocal rank and median time; overall and, with a group, for each."""
+def summary(ranks: DataFrame, group: str | None = None, took: str | None = None) -> DataFrame:
+    """recall at 1 and k, mean reciprocal rank and, where cases tell it, median time; overall and, with a group, for each."""
     measures = [
         F.count("*").alias("cases"),
         F.round(F.coalesce(F.avg(F.when(F.col("first_rank") == 1, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias("recall_at_1"),
         F.round(F.coalesce(F.avg(F.when(F.col("first_rank").isNotNull(), 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias("recall_at_k"),
         F.round(F.coalesce(F.avg(F.when(F.col("first_rank").isNotNull(), 1 / F.col("first_rank")).otherwise(0.0)), F.lit(0.0)), 6).alias("mrr"),
     ]
+    if took is not None:
+        measures.append(F.median(took).alias("median_ms"))
     if group is None:
         return ranks.agg(*measures)
     return ranks.groupingSets([[], [F.col(group)]], F.col(group)).agg(*measures)

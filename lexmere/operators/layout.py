@@ -36,7 +36,7 @@ def running_keys(regions: DataFrame) -> DataFrame:
 def without_margins(regions: DataFrame) -> DataFrame:
     """Regions that are no running text and no page number in a margin."""
     keyed = regions.withColumn("key", T.digit_mask(F.col("text")))
-    marked = keyed.join(F.broadcast(running_keys(regions).withColumn("running", F.lit(True))), ["doc", "key"], "left")
+    marked = keyed.join(running_keys(regions).withColumn("running", F.lit(True)), ["doc", "key"], "left")
     margin = in_margin() & (F.coalesce("running", F.lit(False)) | F.lower("text").rlike(T.PAGE_NUMBER))
     return marked.where(~margin).drop("key", "running")
 

@@ -213,3 +213,25 @@ def file_states(files: DataFrame, manifest_paths: DataFrame, running: DataFrame,
     )
     state = F.when(F.col("is_running"), "processing").when(F.col("is_queued"), "queued").otherwise(F.coalesce("status", F.lit("not_indexed")))
     return joined.select("path", state.alias("state"))
+
+
+def kept_failures(failures: DataFrame, run: str = "run", place: str = "place", most: int = 50) -> DataFrame:
+    """The first failures of each run, as its record keeps them."""
+    order = Window.partitionBy(run).orderBy(place)
+    return failures.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def panel(files: DataFrame) -> DataFrame:
+    """How many files of an upload panel wait, are worked on, are done and failed, by their state."""
+    state = F.col("state")
+    return files.agg(
+        F.count_if(state.isin("queued", "waiting", "not_indexed")).alias("waiting"), F.count_if(state == "processing").alias("processing"),
+        F.count_if(state.isin("indexed", "skipped")).alias("done"), F.count_if(state.isin("failed", "unsupported")).alias("failed"),
+    )
+
+
+def suggestions(searches: DataFrame, typed: str, most: int = 8) -> DataFrame:
+    """Earlier searches that hold the typed text and are not it, newest first."""
+    own = F.lower(F.lit(typed.strip()))
+    found = searches.where(F.lower("query").contains(own) & (F.lower("query") != own))
+    return found.groupBy(F.lower("query").alias("_key")).agg(F.max_by("query", F.struct("ts", "event_id")).alias("query"), F.max(F.struct("ts", "event_id")).alias("_at")).orderBy(F.desc("_at")).limit(most).select("query")

@@ -1,38 +1,87 @@
-"""Filtered exact vector search over passages, and an inverted-file strategy with exact pruning."""
+"""Filtered exact vector search over passages: packed blocks of both sides, matrix products, k rows a block."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import dot
 from .access import Scope, matching, readable, searchable
 
-#: query vectors are broadcast up to so many rows
+#: a pass broadcasts about so many query vectors
 QUERY_ROWS = 10_000
+BLOCK, QUERY_BLOCK = 2048, 256
+
+
+def _usable(vectors: DataFrame, column: str) -> DataFrame:
+    return vectors.where(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull()))
+
+
+def _packed(vectors: DataFrame, names: list[str], column: str, block: int) -> DataFrame:
+    """Rows (dim, arrays of the named columns, matrix): blocks of vectors of one length, in the order of the names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.sort_by([(c, "ascending") for c in names])
+            lists = batch.column(batch.num_columns - 1)
+            flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(size) - size
+            for dim in np.unique(size):
+                own = np.flatnonzero(size == dim)
+                for a in range(0, len(own), block):
+                    at = own[a : a + block]
+                    values = flat[first[at][:, None] + np.arange(dim)].astype("<f8")
+                    kept = [batch.column(k).take(pa.array(at)) for k in range(len(names))]
+                    lists_ = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *lists_, pa.array([values.tobytes()], pa.binary())], names=["dim", *names, "matrix"])
+
+    kinds = ", ".join(f"{c} array<{vectors.schema[c].dataType.simpleString()}>" for c in names)
+    return _usable(vectors, column).select(*names, column).mapInArrow(run, f"dim int, {kinds}, matrix binary")
 
 
 def vector_topk(passages: DataFrame, queries: DataFrame, k: int, filters: dict[str, str | None] | None = None, scope: Scope | None = None, digits: int = 6) -> DataFrame:
     """The k best passages of each query (query_id, q), by rounded inner product, ties by document and index.
 
-    The filter and the access predicate stand below the join and reach the scan; only
-    the queries are broadcast, and each task keeps k rows a query before the exchange.
+    The filter and the access predicate stand below the scan. Any number of queries: they
+    are broadcast in passes of about QUERY_ROWS. A block of passages gives k rows a query,
+    and only these are exchanged; the passages' other columns join the ones that are left.
+    A passage is named by document_id and chunk_index.
     """
     allowed = passages.where(searchable() & matching(filters or {}) & readable(scope))
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: search them in parts")
-    scored = allowed.join(F.broadcast(queries), F.lit(True)).withColumn("score", F.round(dot(F.col("embedding"), F.col("q")), digits))
+    blocks = _packed(allowed, ["document_id", "chunk_index"], "embedding", BLOCK)
+    passes = max(1, -(-queries.count() // QUERY_ROWS))
+    asked = _packed(queries, ["query_id"], "q", QUERY_BLOCK).withColumnRenamed("matrix", "q_matrix").withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                document, index, raw, ids, q_raw = (batch.column(j)[row] for j in range(5))
+                c = np.frombuffer(raw.as_buffer(), "<f8").reshape(len(document), -1)
+                q = np.frombuffer(q_raw.as_buffer(), "<f8").reshape(len(ids), -1)
+                scores = np.round(q @ c.T, digits)
+                at, of = [], []
+                for n, own in enumerate(scores):
+                    near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    near = near[np.argsort(-own[near], kind="stable")][:k]
+                    at.append(near)
+                    of.append(np.full(len(near), n))
+                at, of = np.concatenate(at), np.concatenate(of)
+                taken = [ids.values.take(pa.array(of)), document.values.take(pa.array(at)), index.values.take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(scores[of, at])], names=["query_id", "document_id", "chunk_index", "score"])
+
+    kinds = [(c, t) for df, names in ((queries, ["query_id"]), (passages, ["document_id", "chunk_index"])) for c in names for t in [df.schema[c].dataType.simpleString()]]
+    schema = ", ".join(f"{c} {t}" for c, t in kinds) + ", score double"
+    met = [blocks.join(F.broadcast(asked.where(F.col("pass") == n)), "dim").select("document_id", "chunk_index", "matrix", "query_id", "q_matrix").mapInArrow(best, schema) for n in range(passes)]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
-    return scored.drop("embedding", "q").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def vector_topk_in_parts(passages: DataFrame, queries: DataFrame, k: int, filters: dict[str, str | None] | None = None, scope: Scope | None = None, digits: int = 6) -> DataFrame:
-    """vector_topk for any number of queries: a search for each part of about half of what may be broadcast."""
-    parts = 1 + 2 * queries.count() // QUERY_ROWS
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return reduce(DataFrame.unionByName, [vector_topk(passages, queries.where(part == n) if parts > 1 else queries, k, filters, scope, digits) for n in range(parts)])
+    found = reduce(DataFrame.unionByName, met).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    others = allowed.drop(*[c for c in ("embedding", "query_id", "score", "rank") if c in allowed.columns])
+    return found.join(others, ["document_id", "chunk_index"])
 
 
 def single_topk(passages: DataFrame, vector: list[float], k: int, filters: dict[str, str | None] | None = None, scope: Scope | None = None, digits: int = 6) -> DataFrame:

@@ -38,12 +38,18 @@ def live_sessions(found: DataFrame, as_of: str, idle_seconds: int, most_seconds:
     return found.where((_seconds("started") <= now) & (now - _seconds("last_seen") < idle_seconds) & (now - _seconds("started") < most_seconds))
 
 
-def request_states(requests: DataFrame, as_of: str, ttl_seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """One open request a user: older ones are superseded, the last is pending until its time is over."""
+def request_states(requests: DataFrame, as_of: str, ttl_seconds: int, key: str = "user_id", ts: str = "ts", decision: str | None = None) -> DataFrame:
+    """One open request a user: older ones are superseded, the last is pending until its time is over.
+
+    decision names a column of what was done with a request: approved, denied or completed
+    stand as they are, but an approval that was not used in time is expired.
+    """
     order = Window.partitionBy(key).orderBy(F.desc(ts), F.desc("event_id"))
     now = F.unix_micros(F.to_timestamp(F.lit(as_of))) / 1_000_000
     ranked = requests.withColumn("_n", F.row_number().over(order))
-    state = F.when(F.col("_n") > 1, "superseded").when(now - _seconds(ts) >= ttl_seconds, "expired").otherwise("pending")
+    decided = F.lit(None).cast("string") if decision is None else F.col(decision)
+    late = now - _seconds(ts) >= ttl_seconds
+    state = F.when(decided.isin("denied", "completed"), decided).when((decided == "approved") & (F.col("_n") == 1) & ~late, "approved").when(F.col("_n") > 1, "superseded").when(now - _seconds(ts) >= ttl_seconds, "expired").otherwise("pending")
     return ranked.withColumn("state", state).drop("_n")
 
 
@@ -68,3 +74,10 @@ def merged_ranges(ranges: DataFrame, key: str, start: str = "start", end: str =
     marked = ranges.select(key, start, end).distinct().withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
     numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def touches(requests: DataFrame, every_seconds: int = 60, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """A session's requests at which its last-seen time is written: at most one in each stretch of every_seconds."""
+    stretch = F.floor(_seconds(ts) / every_seconds)
+    order = Window.partitionBy(key, stretch).orderBy(ts, "event_id")
+    return requests.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

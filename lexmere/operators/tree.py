@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folder_name
+
 MOST_LEVELS = 20
 MOST_FOLDERS = 5000
 
 
-def _recursive(folders: DataFrame, text: str) -> DataFrame:
+def _recursive(folders: DataFrame, text: str, **values: str) -> DataFrame:
     """A recursive query over a view of the folders (folder_id, parent_id, name)."""
     spark, view = folders.sparkSession, f"folders_{uuid.uuid4().hex}"
     folders.select("folder_id", "parent_id", "name").createOrReplaceTempView(view)
-    return spark.sql(text.format(folders=view, levels=MOST_LEVELS))
+    return spark.sql(text.format(folders=view, levels=MOST_LEVELS), args=values or None)
 
 
 def paths(folders: DataFrame) -> DataFrame:
@@ -34,10 +36,11 @@ def subtree(folders: DataFrame, root: str) -> DataFrame:
     """(folder_id, level) of a folder and all below it."""
     return _recursive(
         folders,
-        f"""WITH RECURSIVE t(folder_id, level) AS (
-            SELECT folder_id, 0 FROM {{folders}} WHERE folder_id = '{root}'
-            UNION ALL SELECT f.folder_id, t.level + 1 FROM {{folders}} f JOIN t ON f.parent_id = t.folder_id WHERE t.level < {{levels}}
+        """WITH RECURSIVE t(folder_id, level) AS (
+            SELECT folder_id, 0 FROM {folders} WHERE folder_id = :root
+            UNION ALL SELECT f.folder_id, t.level + 1 FROM {folders} f JOIN t ON f.parent_id = t.folder_id WHERE t.level < {levels}
         ) SELECT * FROM t""",
+        root=root,
     )
 
 
@@ -45,10 +48,11 @@ def ancestors(folders: DataFrame, leaf: str) -> DataFrame:
     """(folder_id, name, level) from a folder up to its root."""
     return _recursive(
         folders,
-        f"""WITH RECURSIVE t(folder_id, parent_id, name, level) AS (
-            SELECT folder_id, parent_id, name, 0 FROM {{folders}} WHERE folder_id = '{leaf}'
-            UNION ALL SELECT f.folder_id, f.parent_id, f.name, t.level + 1 FROM {{folders}} f JOIN t ON f.folder_id = t.parent_id WHERE t.level < {{levels}}
+        """WITH RECURSIVE t(folder_id, parent_id, name, level) AS (
+            SELECT folder_id, parent_id, name, 0 FROM {folders} WHERE folder_id = :leaf
+            UNION ALL SELECT f.folder_id, f.parent_id, f.name, t.level + 1 FROM {folders} f JOIN t ON f.folder_id = t.parent_id WHERE t.level < {levels}
         ) SELECT folder_id, name, level FROM t""",
+        leaf=leaf,
     )
 
 
@@ -88,10 +92,21 @@ def _clash_key(name):
 
 
 def sibling_clashes(folders: DataFrame) -> DataFrame:
-    """Pairs of one parent, the root too, with equal names."""
-    a, b = folders.alias("a"), folders.alias("b")
-    same = F.col("a.parent_id").eqNullSafe(F.col("b.parent_id")) & (_clash_key(F.col("a.name")) == _clash_key(F.col("b.name"))) & (F.col("a.folder_id") < F.col("b.folder_id"))
-    return a.join(b, same).select(F.col("a.folder_id").alias("folder_id"), F.col("b.folder_id").alias("other_id"))
+    """(folder_id, other_id): folders whose name another one of their parent, the root too, has: the first by id."""
+    same = Window.partitionBy("parent_id", _clash_key(F.col("name")))
+    return folders.select("folder_id", F.min("folder_id").over(same).alias("other_id")).where("folder_id <> other_id")
+
+
+def in_order(folders: DataFrame) -> DataFrame:
+    """Folders with their place among their siblings, without regard to ASCII case."""
+    order = Window.partitionBy("parent_id").orderBy(_clash_key(F.col("name")), "name", "folder_id")
+    return folders.withColumn("place", F.row_number().over(order))
+
+
+def file_order(name: Column | str) -> list[Column]:
+    """The order of files by name: without regard to case in any script, equal names by their signs."""
+    c = F.col(name) if isinstance(name, str) else name
+    return [F.lower(F.upper(c)), c]
 
 
 def create(folders: DataFrame, folder_id: str, parent: str | None, name: str) -> DataFrame:
@@ -130,3 +145,70 @@ def delete(folders: DataFrame, files: DataFrame, root: str) -> tuple[DataFrame,
     left = folders.join(gone, "folder_id", "left_anti")
     fallen = files.join(gone, "folder_id", "left").withColumn("folder_id", F.when(F.col("gone"), F.lit(None).cast("string")).otherwise(F.col("folder_id"))).drop("gone")
     return left, fallen
+
+
+def rename(folders: DataFrame, folder_id: str, name: str) -> DataFrame:
+    """The folders with one under another name, or a ValueError: the name is cleaned and must be free among its siblings."""
+    own = folders.where(F.col("folder_id") == folder_id).select("parent_id", folder_name(F.lit(name)).alias("clean")).first()
+    if own is None:
+        raise ValueError("no such folder")
+    if own["clean"] is None:
+        raise ValueError("no name for a folder")
+    same = F.col("parent_id").eqNullSafe(F.lit(own["parent_id"])) & (_clash_key(F.col("name")) == _clash_key(F.lit(own["clean"]))) & (F.col("folder_id") != folder_id)
+    if folders.where(same).limit(1).count():
+        raise ValueError("the name is taken")
+    return folders.withColumn("name", F.when(F.col("folder_id") == folder_id, own["clean"]).otherwise(F.col("name")))
+
+
+def move_files(folders: DataFrame, files: DataFrame, moved: DataFrame, to: str | None) -> DataFrame:
+    """Files with those in moved (file_id) in another folder; a ValueError where the folder or a file is not there."""
+    asked = moved.select("file_id").distinct()
+    if to is not None and not folders.where(F.col("folder_id") == to).limit(1).count():
+        raise ValueError("no such folder")
+    if asked.join(files, "file_id", "left_anti").limit(1).count():
+        raise ValueError("no such file")
+    marked = files.join(asked.withColumn("_moved", F.lit(True)), "file_id", "left")
+    return marked.withColumn("folder_id", F.when(F.col("_moved"), F.lit(to)).otherwise(F.col("folder_id"))).drop("_moved").select(*files.columns)
+
+
+def placed(placements: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Placements (path, folder_id, ...) with fresh ones added; a path that is there takes the new folder and keeps its other columns."""
+    new = fresh.select("path", F.col("folder_id").alias("_folder"), F.lit(True).alias("_new"))
+    kept = placements.join(new, "path", "left").withColumn("folder_id", F.when(F.col("_new"), F.col("_folder")).otherwise(F.col("folder_id"))).select(*placements.columns)
+    return kept.unionByName(fresh.join(placements, "path", "left_anti"), allowMissingColumns=True)
+
+
+def forgotten(placements: DataFrame, paths: DataFrame | None = None, tree: str | None = None) -> DataFrame:
+    """Placements without some paths, or without all of a tree."""
+    out = placements if paths is None else placements.join(paths.select("path"), "path", "left_anti")
+    return out if tree is None else out.where(~F.col("tree").eqNullSafe(F.lit(tree)))
+
+
+def relocated(placements: DataFrame, moves: DataFrame) -> DataFrame:
+    """Files moved on disk, (old, new), keep their folder: the old path's row takes the new path, or gives it its folder where the new one is listed."""
+    from_ = placements.join(moves, F.col("path") == F.col("old")).select("new", F.col("folder_id").alias("_folder"))
+    given = placements.join(from_, F.col("path") == F.col("new"), "left").withColumn("folder_id", F.when(F.col("new").isNotNull(), F.col("_folder")).otherwise(F.col("folder_id"))).select(*placements.columns)
+    listed = placements.select(F.col("path").alias("_listed"))
+    gone = moves.join(listed, F.col("new") == F.col("_listed"), "left")
+    moved = given.join(gone, F.col("path") == F.col("old"), "left")
+    left = moved.where(F.col("old").isNull() | F.col("_listed").isNull())
+    return left.withColumn("path", F.coalesce("new", "path")).select(*placements.columns)
+
+
+def adopt(folders: DataFrame, placements: DataFrame, moved: DataFrame, old_tree: str, new_tree: str, home_id: str, home_name: str) -> tuple[DataFrame, DataFrame]:
+    """A tree's folders and files in another tree, all in a new folder there with a free name.
+
+    folders and placements have a column tree; moved is (old, new) paths. A file of the
+    old tree that is not in moved is dropped; one without a folder goes to the new one.
+    """
+    mine = F.col("tree") == old_tree
+    tops = {r[0] for r in folders.where((F.col("tree") == new_tree) & F.col("parent_id").isNull()).select(_clash_key(F.col("name"))).collect()}
+    name, k = home_name, 2
+    while "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in name) in tops:
+        name, k = f"{home_name} ({k})", k + 1
+    parent = F.when(mine & F.col("parent_id").isNull(), home_id).otherwise(F.col("parent_id"))
+    kept = folders.withColumns({"parent_id": parent, "tree": F.when(mine, new_tree).otherwise(F.col("tree"))})
+    home = folders.sparkSession.createDataFrame([(home_id, None, name, new_tree)], "folder_id string, parent_id string, name string, tree string")
+    old = placements.where(mine).select(F.col("path").alias("old"), F.col("folder_id").alias("_folder"))
+    fresh = moved.join(old, "old", "left").select(F.col("new").alias("path"), F.coalesce("_folder", F.lit(home_id)).alias("folder_id"), F.lit(new_tree).alias("tree"))
+    return kept.unionByName(home, allowMissingColumns=True), placed(placements.where(~mine), fresh)

@@ -87,14 +87,14 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("folder_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"))
         .unionByName(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("name")))
-        .unionByName(c.where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("folder_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.col("c_name").alias("name")))
+        .unionByName(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("folder_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.col("c_name").alias("name")))
     )
 
 
 FOLDERS = """folders AS (
     SELECT 'r' || r_regionkey AS folder_id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name FROM region
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
-    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer WHERE c_custkey % 10 = 0)"""
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,20 +107,20 @@ FILES = "files AS (SELECT 's' || s_suppkey AS file_id, CASE WHEN s_suppkey % 7 <
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each tenth conversation: its first user turn."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 10 = 0 AND text IS NOT NULL")
+    """A question for each conversation: its first user turn."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
     return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).select(F.col("conv_id").alias("ask_id"), "question")
 
 
-QUESTIONS = "questions AS (SELECT conv_id AS ask_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' AND conv_id % 10 = 0 AND text IS NOT NULL GROUP BY conv_id)"
+QUESTIONS = "questions AS (SELECT conv_id AS ask_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)"
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question's hits: the benchmark texts, in an order that depends on both ids."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40")
+    """Each question's hits: the benchmark texts whose id leaves the same remainder, in an order that depends on both ids."""
+    b = table(spark, sf_dir, "benchmark").withColumn("part", F.expr("item_id % 4"))
     rank = F.row_number().over(Window.partitionBy("ask_id").orderBy(F.expr("(item_id * 7 + ask_id) % 41"), "item_id"))
     return (
-        questions(spark, sf_dir).join(F.broadcast(b), F.expr("(item_id + ask_id) % 4 = 0"))
+        questions(spark, sf_dir).withColumn("part", F.expr("ask_id % 4")).join(b, "part")
         .select("ask_id", "question", rank.alias("rank"), F.col("item_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "text",
                 F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit(".docx")).alias("filename"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit(None).cast("string").alias("heading"))
     )
@@ -129,7 +129,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 HITS = """hits AS (
     SELECT ask_id, question, row_number() OVER (PARTITION BY ask_id ORDER BY (item_id * 7 + ask_id) % 41, item_id) AS rank,
         CAST(item_id AS VARCHAR) AS document_id, 0 AS chunk_index, text, 'b' || item_id || '.docx' AS filename
-    FROM questions JOIN benchmark ON (item_id + ask_id) % 4 = 0 WHERE item_id < 40)"""
+    FROM questions JOIN benchmark ON item_id % 4 = ask_id % 4)"""
+
+
+def spoken(text: str, n: str) -> str:
+    """SQL, for both engines, of a text in one of several scripts by a number: the text itself, or the start of it among others."""
+    kinds = [text, f"concat('이 문서는 필터 교체를 다룹니다 ', substr({text}, 1, 12))", f"concat('更换滤芯之前请关闭电源 ', substr({text}, 1, 2))", f"concat('這個濾芯請更換 ', substr({text}, 1, 1))", f"concat('フィルターを交換する ', substr({text}, 1, 9))", f"concat('фильтр меняют раз в год ', substr({text}, 1, 4))", f"concat('필터 교체 更换滤芯 ', substr({text}, 1, 14))", "'12 + 3'"]
+    return f"CASE {n} % {len(kinds)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds)) + " END"
 
 
 def with_(*parts: str) -> str:

@@ -242,43 +242,22 @@ def split_request(spark, sf):
     return access.split_request(m.where("doc_id % 7 = 0").select("document_id", F.col("doc_id").alias("position")), m.where("owner_id = 'u1'"))
 
 
-@query(
-    M
-    + """, w AS (SELECT doc_id AS position, (doc_id % 5) || '.txt' AS name FROM manifest WHERE doc_id < 200)
-    SELECT position, name, CASE WHEN turn = 1 THEN name ELSE regexp_replace(name, '\\.txt$', '') || ' (' || turn || ').txt' END AS given
-    FROM (SELECT position, name, row_number() OVER (PARTITION BY name ORDER BY position) + CASE WHEN name IN ('1.txt', '3.txt') THEN 1 ELSE 0 END AS turn FROM w)"""
-)
-def unique_names(spark, sf):
-    wanted = d.manifest(spark, sf).where("doc_id < 200").select(F.col("doc_id").alias("position"), F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".txt")).alias("name"))
-    return manifest.unique_names(wanted, spark.createDataFrame([("1.txt",), ("3.txt",)], "name string"))
-
-
 @query(
     M
     + """, w AS (SELECT doc_id AS position, (doc_id % 5) || '.txt' AS name FROM manifest)
     SELECT position, name, CASE WHEN turn = 1 THEN name ELSE regexp_replace(name, '\\.txt$', '') || ' (' || turn || ').txt' END AS given
     FROM (SELECT position, name, row_number() OVER (PARTITION BY name ORDER BY position) + CASE WHEN name IN ('1.txt', '3.txt') THEN 1 ELSE 0 END AS turn FROM w)"""
 )
-def unique_names_whole(spark, sf):
+def unique_names(spark, sf):
     wanted = d.manifest(spark, sf).select(F.col("doc_id").alias("position"), F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".txt")).alias("name"))
     return manifest.unique_names(wanted, spark.createDataFrame([("1.txt",), ("3.txt",)], "name string"))
 
 
-@query(
-    """WITH r AS (SELECT event_id AS position, event_type AS scope, 'd' || (user_id % 3) AS directory, user_id % 2 = 0 AS force, CASE WHEN event_id % 40 <> 0 THEN 'p' || (event_id % 6) END AS path FROM events WHERE event_id < 400)
-    SELECT scope, directory, force, min(position) AS position, CASE WHEN count(*) = count(path) THEN array_to_string(list_sort(list(DISTINCT path)), ',') END AS paths FROM r GROUP BY scope, directory, force"""
-)
-def merge_run_requests(spark, sf):
-    path = F.concat(F.lit("p"), (F.col("event_id") % 6).cast("string"))
-    r = table(spark, sf, "events").where("event_id < 400").select(F.col("event_id").alias("position"), F.col("event_type").alias("scope"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("directory"), (F.col("user_id") % 2 == 0).alias("force"), F.when(F.col("event_id") % 40 != 0, F.array(path)).alias("paths"))
-    return manifest.merge_requests(r).withColumn("paths", F.when(F.col("paths").isNotNull(), F.array_join("paths", ",")))
-
-
 @query(
     """WITH r AS (SELECT event_id AS position, event_type AS scope, 'd' || (user_id % 3) AS directory, user_id % 2 = 0 AS force, CASE WHEN event_id % 40 <> 0 THEN 'p' || (event_id % 6) END AS path FROM events)
-    SELECT scope, directory, force, min(position) AS position, CASE WHEN count(*) = count(path) THEN array_to_string(list_sort(list(DISTINCT path)), ',') END AS paths FROM r GROUP BY scope, directory, force"""
+    SELECT r.scope, r.directory, r.force, min(position) AS position, CASE WHEN count(*) = count(path) THEN any_value(paths) END AS paths FROM r LEFT JOIN (SELECT scope, directory, force, string_agg(path, ',' ORDER BY first) AS paths FROM (SELECT scope, directory, force, path, min(position) AS first FROM r WHERE path IS NOT NULL GROUP BY scope, directory, force, path) GROUP BY scope, directory, force) o ON o.scope = r.scope AND o.directory = r.directory AND o.force = r.force GROUP BY r.scope, r.directory, r.force"""
 )
-def merge_run_requests_whole(spark, sf):
+def merge_run_requests(spark, sf):
     path = F.concat(F.lit("p"), (F.col("event_id") % 6).cast("string"))
     r = table(spark, sf, "events").select(F.col("event_id").alias("position"), F.col("event_type").alias("scope"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("directory"), (F.col("user_id") % 2 == 0).alias("force"), F.when(F.col("event_id") % 40 != 0, F.array(path)).alias("paths"))
     return manifest.merge_requests(r).withColumn("paths", F.when(F.col("paths").isNotNull(), F.array_join("paths", ",")))
@@ -320,13 +299,8 @@ def deleted_user_totals(spark, sf):
     return d.manifest(spark, sf).where("owner_id = 'u2'").groupBy("owner_id").agg(F.count("*").alias("documents"), F.sum("chunks").alias("passages"))
 
 
-@query(M + "SELECT doc_id, sha1('x') AS probe, substr(lower(sha1(concat(document_id, ':0'))), 1, 8) AS key FROM manifest WHERE doc_id < 100")
-def name_hashes(spark, sf):
-    return d.manifest(spark, sf).where("doc_id < 100").select("doc_id", F.sha1(F.lit("x").cast("binary")).alias("probe"), F.substring(F.sha1(F.concat_ws(":", "document_id", F.lit("0")).cast("binary")), 1, 8).alias("key"))
-
-
 @query(M + "SELECT doc_id, sha1('x') AS probe, substr(lower(sha1(concat(document_id, ':0'))), 1, 8) AS key FROM manifest")
-def name_hashes_whole(spark, sf):
+def name_hashes(spark, sf):
     return d.manifest(spark, sf).select("doc_id", F.sha1(F.lit("x").cast("binary")).alias("probe"), F.substring(F.sha1(F.concat_ws(":", "document_id", F.lit("0")).cast("binary")), 1, 8).alias("key"))
 
 

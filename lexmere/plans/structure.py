@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, temporal, tree
+from ..operators import chunking, layout, temporal, tree
 from . import derived as d
 from .catalog import query, table
 
@@ -49,9 +49,85 @@ def tree_move_targets(spark, sf):
     return tree.move_targets(d.folders(spark, sf), ["r1"]).select("folder_id")
 
 
-@query(_TREE + "SELECT a.folder_id, b.folder_id AS other_id FROM folders a JOIN folders b ON a.parent_id IS NOT DISTINCT FROM b.parent_id AND lower(a.name) = lower(b.name) AND a.folder_id < b.folder_id")
+_SHORT = "CASE WHEN folder_id LIKE 'c%' THEN CASE WHEN length(folder_id) % 2 = 0 THEN upper(substr(name, 1, 17)) ELSE lower(substr(name, 1, 17)) END ELSE name END"
+
+
+@query(_TREE + f"SELECT folder_id, other_id FROM (SELECT folder_id, min(folder_id) OVER (PARTITION BY parent_id, lower({_SHORT})) AS other_id FROM folders) WHERE folder_id <> other_id")
 def sibling_clashes(spark, sf):
-    return tree.sibling_clashes(d.folders(spark, sf))
+    return tree.sibling_clashes(d.folders(spark, sf).withColumn("name", F.expr(_SHORT)))
+
+
+@query(_TREE + "SELECT folder_id, row_number() OVER (PARTITION BY parent_id ORDER BY lower(name), name, folder_id) AS place FROM folders")
+def folders_in_order(spark, sf):
+    return tree.in_order(d.folders(spark, sf)).select("folder_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY lower(upper(n)), n, s_suppkey) AS place FROM (SELECT *, CASE s_suppkey % 3 WHEN 0 THEN 'é' WHEN 1 THEN 'É' ELSE 'ß' END || s_name AS n FROM supplier)")
+def files_in_order(spark, sf):
+    named = table(spark, sf, "supplier").withColumn("n", F.expr("concat(CASE s_suppkey % 3 WHEN 0 THEN 'é' WHEN 1 THEN 'É' ELSE 'ß' END, s_name)"))
+    return named.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*tree.file_order("n"), "s_suppkey")).cast("long").alias("place"))
+
+
+@query(_TREE + "SELECT folder_id, CASE WHEN folder_id = 'n3' THEN 'New name' ELSE name END AS name FROM folders")
+def tree_rename(spark, sf):
+    return tree.rename(d.folders(spark, sf), "n3", "  New \t name ").select("folder_id", "name")
+
+
+@query(_TREE + "SELECT file_id, CASE WHEN file_id LIKE '%5' THEN 'r1' ELSE folder_id END AS folder_id FROM files")
+def tree_move_files(spark, sf):
+    files = d.files(spark, sf)
+    return tree.move_files(d.folders(spark, sf), files, files.where("file_id LIKE '%5'"), "r1").select("file_id", "folder_id")
+
+
+_PLACED = ", p AS (SELECT '/d/' || file_id AS path, folder_id, CASE WHEN file_id LIKE '%1' THEN 'u1' ELSE 'u0' END AS tree FROM files)\n"
+
+
+def _placements(spark, sf):
+    return d.files(spark, sf).selectExpr("concat('/d/', file_id) AS path", "folder_id", "CASE WHEN file_id LIKE '%1' THEN 'u1' ELSE 'u0' END AS tree")
+
+
+@query(_TREE + _PLACED + "SELECT path, CASE WHEN path LIKE '%7' THEN 'r2' ELSE folder_id END AS folder_id FROM p UNION ALL SELECT path || '-new', 'r2' FROM p WHERE path LIKE '%7'")
+def tree_place(spark, sf):
+    p = _placements(spark, sf)
+    own = p.where("path LIKE '%7'")
+    fresh = own.unionByName(own.withColumn("path", F.concat("path", F.lit("-new")))).withColumn("folder_id", F.lit("r2"))
+    return tree.placed(p, fresh).select("path", "folder_id")
+
+
+@query(_TREE + _PLACED + "SELECT path, folder_id FROM p WHERE tree <> 'u1' AND path NOT LIKE '%9'")
+def tree_forget(spark, sf):
+    p = _placements(spark, sf)
+    return tree.forgotten(p, p.where("path LIKE '%9'"), "u1").select("path", "folder_id")
+
+
+@query(
+    _TREE + _PLACED
+    + """, m AS (SELECT '/d/s' || s_suppkey AS old, CASE WHEN s_suppkey % 2 = 0 THEN '/d/s' || (s_suppkey + 1) ELSE '/new/' || s_suppkey END AS new FROM supplier WHERE s_suppkey % 10 IN (3, 4))
+    SELECT coalesce(CASE WHEN t.path IS NULL THEN a.new END, p.path) AS path, CASE WHEN b.old IS NOT NULL THEN o.folder_id ELSE p.folder_id END AS folder_id FROM p LEFT JOIN m a ON a.old = p.path LEFT JOIN p t ON t.path = a.new
+    LEFT JOIN m b ON b.new = p.path LEFT JOIN p o ON o.path = b.old WHERE a.old IS NULL OR t.path IS NULL"""
+)
+def tree_relocate(spark, sf):
+    s = table(spark, sf, "supplier").where("s_suppkey % 10 IN (3, 4)")
+    moves = s.selectExpr("concat('/d/s', s_suppkey) AS old", "CASE WHEN s_suppkey % 2 = 0 THEN concat('/d/s', s_suppkey + 1) ELSE concat('/new/', s_suppkey) END AS new")
+    return tree.relocated(_placements(spark, sf), moves).select("path", "folder_id")
+
+
+_ADOPTED = "f AS (SELECT folder_id, parent_id, name, CASE WHEN folder_id = 'r4' THEN 'u1' ELSE 'u0' END AS tree FROM folders)"
+
+
+@query(_TREE + _PLACED + f", {_ADOPTED} SELECT path, folder_id FROM p WHERE tree <> 'u1' UNION ALL SELECT '/n' || path, coalesce(folder_id, 'home') FROM p WHERE tree = 'u1' AND path LIKE '%11'")
+def tree_adopt_files(spark, sf):
+    folders = d.folders(spark, sf).withColumn("tree", F.expr("CASE WHEN folder_id = 'r4' THEN 'u1' ELSE 'u0' END"))
+    p = _placements(spark, sf)
+    moved = p.where("tree = 'u1' AND path LIKE '%11'").selectExpr("path AS old", "concat('/n', path) AS new")
+    return tree.adopt(folders, p, moved, "u1", "u0", "home", "asia")[1].select("path", "folder_id")
+
+
+@query(_TREE + f", {_ADOPTED} SELECT folder_id, CASE WHEN folder_id = 'r4' THEN 'home' ELSE parent_id END AS parent_id, name, 'u0' AS tree FROM f UNION ALL SELECT 'home', NULL, 'asia (2)', 'u0'")
+def tree_adopt(spark, sf):
+    folders = d.folders(spark, sf).withColumn("tree", F.expr("CASE WHEN folder_id = 'r4' THEN 'u1' ELSE 'u0' END"))
+    p = _placements(spark, sf)
+    return tree.adopt(folders, p, p.limit(0).selectExpr("path AS old", "path AS new"), "u1", "u0", "home", "asia")[0]
 
 
 @query(_TREE + "SELECT folder_id, CASE WHEN folder_id = 'n3' THEN 'r0' ELSE parent_id END AS parent_id FROM folders")
@@ -103,6 +179,21 @@ def reset_state(spark, sf):
     return temporal.request_states(table(spark, sf, "events").where("event_type = 'signup'"), "2024-01-31", _DAY).select("event_id", "user_id", "state")
 
 
+@query(
+    """SELECT event_id, user_id, CASE WHEN decision IN ('denied', 'completed') THEN decision WHEN decision = 'approved' AND n = 1 AND TIMESTAMP '2024-01-31' - ts < INTERVAL 20 DAY THEN 'approved' WHEN n > 1 THEN 'superseded'
+        WHEN TIMESTAMP '2024-01-31' - ts >= INTERVAL 20 DAY THEN 'expired' ELSE 'pending' END AS state FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'denied' WHEN 2 THEN 'completed' END AS decision,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)"""
+)
+def reset_decisions(spark, sf):
+    e = table(spark, sf, "events").withColumn("decision", F.expr("CASE event_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'denied' WHEN 2 THEN 'completed' END"))
+    return temporal.request_states(e, "2024-01-31", 20 * _DAY, decision="decision").select("event_id", "user_id", "state")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 3600000000) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def session_touches(spark, sf):
+    return temporal.touches(table(spark, sf, "events"), 3600).select("user_id", "event_id")
+
+
 _JOBS = """jobs AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS processed, count(*) FILTER (WHERE event_type = 'error') AS failed,
     round(max(value), 4) AS largest FROM events GROUP BY user_id, day)"""
 
@@ -132,25 +223,13 @@ def mru_searches(spark, sf):
     return temporal.recent_terms(s).select("user_id", "event_id", "query", F.col("place").cast("long").alias("place"))
 
 
-@query(
-    d.with_(d.PASSAGES)
-    + """, g AS (SELECT document_id, a, b, max(b) OVER (PARTITION BY document_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT document_id, CAST(vec_id % 60 * 3 AS INTEGER) AS a, CAST(vec_id % 60 * 3 + token_count % 5 AS INTEGER) AS b FROM passages WHERE vec_id % 3 = 0)),
-    n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g)
-    SELECT document_id, min(a) AS start, max(b) AS "end" FROM n GROUP BY document_id, island"""
-)
-def merged_ranges(spark, sf):
-    p = d.passages(spark, sf).where("vec_id % 3 = 0")
-    r = p.select("document_id", (F.col("vec_id") % 60 * 3).cast("int").alias("start"), (F.col("vec_id") % 60 * 3 + F.col("token_count") % 5).cast("int").alias("end"))
-    return temporal.merged_ranges(r, "document_id")
-
-
 @query(
     d.with_(d.PASSAGES)
     + """, g AS (SELECT document_id, a, b, max(b) OVER (PARTITION BY document_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT document_id, CAST(vec_id % 60 * 3 AS INTEGER) AS a, CAST(vec_id % 60 * 3 + token_count % 5 AS INTEGER) AS b FROM passages)),
     n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g)
     SELECT document_id, min(a) AS start, max(b) AS "end" FROM n GROUP BY document_id, island"""
 )
-def merged_ranges_whole(spark, sf):
+def merged_ranges(spark, sf):
     p = d.passages(spark, sf)
     r = p.select("document_id", (F.col("vec_id") % 60 * 3).cast("int").alias("start"), (F.col("vec_id") % 60 * 3 + F.col("token_count") % 5).cast("int").alias("end"))
     return temporal.merged_ranges(r, "document_id")
@@ -169,29 +248,28 @@ def html_blocks(spark, sf):
     return _blocks(spark, sf).select("page_id", "order", F.when(F.col("block").startswith("<h1"), "heading").otherwise("paragraph").alias("kind"), F.regexp_replace("block", "^<[^>]*>", "").alias("text"))
 
 
-@query(d.with_(_BLOCKS) + "SELECT regexp_replace(regexp_replace(block, '\\s+', '', 'g'), '[0-9]+', '#', 'g') AS key, count(DISTINCT page_id) AS pages FROM blocks GROUP BY key HAVING count(DISTINCT page_id) >= 3")
-def running_headers(spark, sf):
-    from ..functions.text import digit_mask
-
-    return _blocks(spark, sf).groupBy(digit_mask(F.col("block")).alias("key")).agg(F.countDistinct("page_id").alias("pages")).where("pages >= 3")
+def _lines(spark, sf):
+    """A line of a page for each order line: what it says, how large, and whether it stands in a margin."""
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS doc", "l_linenumber AS page", "concat(l_linestatus, ' ', l_linenumber) AS text", "l_discount * 100 AS size", "CAST(l_quantity AS INT) AS n", "l_suppkey",
+        "0.0D AS top", "CASE WHEN l_returnflag = 'N' THEN 500.0D ELSE 20.0D END AS bottom", "1000.0D AS page_height", "l_linestatus", "l_linenumber = 1 AS is_last", "l_returnflag = 'R' AS trailing_space",
+    )
 
 
-@query("SELECT l_orderkey, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_discount * 100, 1) AS size, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey, size) GROUP BY l_orderkey")
-def body_font_mode(spark, sf):
-    spans = table(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey", F.round(F.col("l_discount") * 100, 1).alias("size")).agg(F.sum("l_quantity").cast("long").alias("n"))
-    return spans.groupBy("l_orderkey").agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body_size"))
+@query("SELECT l_orderkey AS doc, l_linestatus || '#' AS key FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey, key HAVING count(DISTINCT l_linenumber) >= 3")
+def running_headers(spark, sf):
+    return layout.running_keys(_lines(spark, sf))
 
 
-@query("SELECT l_orderkey, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_discount * 100, 1) AS size, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey, size) GROUP BY l_orderkey")
-def body_font_mode_whole(spark, sf):
-    spans = table(spark, sf, "lineitem").groupBy("l_orderkey", F.round(F.col("l_discount") * 100, 1).alias("size")).agg(F.sum("l_quantity").cast("long").alias("n"))
-    return spans.groupBy("l_orderkey").agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body_size"))
+@query("SELECT l_orderkey AS doc, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_discount * 100, 1) AS size, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey, size) GROUP BY l_orderkey")
+def body_font_mode(spark, sf):
+    return layout.body_sizes(_lines(spark, sf).withColumn("text", F.repeat(F.lit("x"), F.col("n"))))
 
 
-@query("SELECT l_orderkey, count(*) AS line_ends, count(*) FILTER (WHERE l_returnflag = 'R') AS with_space, count(*) >= 4 AND CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) >= 0.2 AS midword FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_suppkey AS doc, count(*) AS line_ends, count(*) FILTER (WHERE l_returnflag = 'R') AS with_space, count(*) >= 20 AND CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) >= 0.2 AS midword FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber <> 1 GROUP BY l_suppkey")
 def midword_evidence(spark, sf):
-    own = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("line_ends"), F.count_if(F.col("l_returnflag") == "R").alias("with_space"))
-    return own.withColumn("midword", (F.col("line_ends") >= 4) & (F.col("with_space") / F.col("line_ends") >= 0.2))
+    lines = _lines(spark, sf).withColumns({"doc": F.col("l_suppkey"), "text": F.expr("CASE WHEN l_linestatus = 'O' THEN '필터 교체 ' ELSE 'end' END")})
+    return layout.midword_evidence(lines)
 
 
 def _paged(spark, sf):
@@ -207,13 +285,21 @@ def chunk_documents(spark, sf):
     return chunking.chunk(_paged(spark, sf))
 
 
-@query("SELECT 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS backwards")
+_SIGNS = "length(regexp_replace({0}, '\\s+', '', 'g'))"
+
+
+@query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST({_SIGNS.format("text")} + greatest(ceil(length(text) / 2000.0), 1) * {_SIGNS.format("array_to_string(string_split(text, ' ')[1:2], ' ')")} AS BIGINT) AS signs,
+    0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS backwards FROM documents WHERE {_SIGNS.format("text")} > 0"""
+)
 def chunk_invariants(spark, sf):
-    """No passage beyond the budget and its overlap (a repeated heading aside), indices without gaps, pages in order."""
-    p = chunking.chunk(_paged(spark, sf), chunking.Budget(repeat_heading=False))
+    """Without overlap and repeated headings every sign of a document is in one passage; none beyond the budget, indices without gaps, pages in order."""
+    p = chunking.chunk(_paged(spark, sf), chunking.Budget(overlap=0, repeat_heading=False))
     order = Window.partitionBy("document_id").orderBy("chunk_index")
     seen = p.select("*", F.lag("page_start").over(order).alias("before"), F.row_number().over(order).alias("n"))
-    return seen.agg(F.count_if(F.col("token_count") > 450 + 50).alias("too_long"), F.count_if(F.col("chunk_index") != F.col("n") - 1).alias("gaps"), F.count_if(F.col("page_start") < F.col("before")).alias("backwards"))
+    return seen.groupBy("document_id").agg(
+        F.sum("token_count").alias("signs"), F.count_if(F.col("token_count") > 450).alias("too_long"), F.count_if(F.col("chunk_index") != F.col("n") - 1).alias("gaps"), F.count_if(F.col("page_start") < F.col("before")).alias("backwards")
+    )
 
 
 @query("SELECT 'A' AS preset, count(*) AS documents FROM documents WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0 UNION ALL SELECT 'B', count(*) FROM documents WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0 UNION ALL SELECT 'C', count(*) FROM documents WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0")

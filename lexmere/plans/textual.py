@@ -24,9 +24,9 @@ def normalize_text(spark, sf):
 _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9"''(\[])', '\1' || chr(10) || '\2', 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"""
 
 
-@query(f"SELECT doc_id, len(s) AS sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS BIGINT) AS longest, s[1] AS first FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL AND lang = 'en')")
+@query(f"SELECT doc_id, len(s) AS sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS BIGINT) AS longest, s[1] AS first FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL)")
 def split_sentences(spark, sf):
-    s = table(spark, sf, "documents").where("text IS NOT NULL AND lang = 'en'").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
+    s = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.get("s", F.lit(0)).alias("first"))
 
 
@@ -35,14 +35,37 @@ def split_paragraphs(spark, sf):
     return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.size(text.split_paragraphs(F.col("text"))).cast("long").alias("paragraphs"))
 
 
-@query("SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 10 THEN NULL ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
+_SPOKEN = d.spoken("text", "{0}")
+
+
+def _count(x: str, signs: str) -> str:
+    return f"len(regexp_extract_all({x}, '[{signs}]'))"
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_count("t", text.HANGUL)} AS ko, {_count("t", text.HAN)} AS zh, {_count("t", "A-Za-z")} AS en FROM (SELECT doc_id, {_SPOKEN.format("doc_id")} AS t FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT *, ko + zh + en AS total, greatest(ko, zh, en) AS top FROM c)
+    SELECT doc_id, CASE WHEN total < 10 THEN NULL WHEN top / total < 0.6 AND (total - top - least(ko, zh, en)) / total > 0.25 THEN 'mixed' WHEN ko = top THEN 'ko' WHEN zh = top THEN 'zh' ELSE 'en' END AS language FROM s"""
+)
 def language_label(spark, sf):
-    return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", text.document_language(F.col("text")).alias("language"))
+    spoken = _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.expr(_SPOKEN.format("doc_id")).alias("t"))
+    return spoken.select("doc_id", text.document_language(F.col("t")).alias("language"))
+
 
+def question_sql(x: str) -> str:
+    """question_language of an expression, in DuckDB SQL."""
+    hangul, kana, han, letters = (_count(x, c) for c in (text.HANGUL_ALL, text.KANA, text.HAN, "A-Za-zÀ-ɏ"))
+    words, every = f"len(regexp_extract_all({x}, '[A-Za-zÀ-ɏ]+'))", f"len(regexp_extract_all({x}, '\\p{{L}}'))"
+    only = lambda signs: f"(length({x}) - length(translate({x}, '{signs}', '')))"
+    return f"""CASE WHEN {hangul} > 0 AND {hangul} >= {kana} THEN 'ko' WHEN {kana} > 0 THEN 'other' WHEN {every} - {han} - {letters} > {han} + {letters} THEN 'other'
+        WHEN {han} > 0 AND {han} >= {words} THEN CASE WHEN {only(text.TRADITIONAL)} > {only(text.SIMPLIFIED)} THEN 'zh-Hant' ELSE 'zh-Hans' END
+        WHEN {words} > 0 THEN 'en' WHEN {every} - {han} - {letters} <> 0 THEN 'other' END"""
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'en' END AS language FROM conversations WHERE text IS NOT NULL")
+
+@query(f"SELECT conv_id, turn, {question_sql('t')} AS language FROM (SELECT conv_id, turn, {_SPOKEN.format('conv_id + turn')} AS t FROM conversations WHERE text IS NOT NULL)".replace("conv_id + turn %", "(conv_id + turn) %"))
 def question_language(spark, sf):
-    return table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", text.question_language(F.col("text")).alias("language"))
+    spoken = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.expr(_SPOKEN.format("(conv_id + turn)")).alias("t"))
+    return spoken.select("conv_id", "turn", text.question_language(F.col("t")).alias("language"))
 
 
 @query("SELECT doc_id, CAST(length(text) // 3 + 1 AS INTEGER) AS tokens, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS chars FROM documents WHERE text IS NOT NULL")
@@ -162,15 +185,8 @@ def source_blocks(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.source_block(F.col("item_id"), F.lit("f.pdf"), text.page_label(F.lit("f.pdf"), F.lit(1), F.lit(2)), F.lit('A "b"'), F.col("text")).alias("block"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS message FROM events WHERE event_id < 500")
-def event_messages(spark, sf):
-    from ..operators.rag import event_text
-
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.page").alias("page"), event_text(F.col("event_type"), F.col("props")).alias("message"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS message FROM events")
-def event_messages_whole(spark, sf):
+def event_messages(spark, sf):
     from ..operators.rag import event_text
 
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), event_text(F.col("event_type"), F.col("props")).alias("message"))
