@@ -18,8 +18,8 @@
    the first pass, so its sets are sent once.
 4. Each component of a block is joined by T-occurrence search: sets come by size, a
    number of a set's longest inverted lists, chosen by DivideSkip's rule, is put
-   aside, the rest is heap-merged with skips, and what occurs there often enough is
-   probed in the long lists by binary search. Sets of one part are not compared
+   aside, the rest is heap-merged with skips (very many entries in an array of counts),
+   and what occurs there often enough is probed in the long lists by binary search. Sets of one part are not compared
    again: the link would add nothing.
 
 Defined results: null, empty and white-space texts have an empty set, link with
@@ -48,11 +48,13 @@ from .textscan import NON_SPACE, mix, scan, slices
 
 SLICE_BYTES = 2 << 20
 #: shingles in a block of small components, and the size of one piece of an oversized component
-BLOCK_SHINGLES = 250_000
-PIECE_SHINGLES = 500_000
-PIECE_MEMBERS = 2_048
+BLOCK_SHINGLES = 120_000
+PIECE_SHINGLES = 250_000
+PIECE_MEMBERS = 1_024
 #: how much less a longer list counts when DivideSkip chooses how many to put aside
 SKIP_WEIGHT = 0.01
+#: the same where lists are merged in an array: above so many entries, so many candidates probed at a time
+HEAP_ENTRIES, COUNT_WEIGHT, PROBED = 2_000, 1.0, 256
 #: keys that a task holds before it sends them
 HELD_KEYS = 1_000_000
 #: lists of documents to read again are broadcast up to so many rows
@@ -374,6 +376,7 @@ class Block:
         self.pairs = self.code[by] * n + self.post_owner  # sorted: every list can be probed at once
         self.label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1].reshape(-1)[self.order]
         self.side = None if side is None else side[self.order]
+        self.recent = -1
         self.members: dict[int, list[int]] = {}
         for i, x in enumerate(self.label.tolist()):
             self.members.setdefault(x, []).append(i)
@@ -404,17 +407,28 @@ class Block:
     def _search(self, x: int, codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: int) -> None:
         """Unites x with what links with it.
 
-        The `aside` longest lists are only probed; the others are merged by a heap that
-        skips: where fewer than `least` lists stand at the smallest set, so many are
-        moved on, by binary search, to the first set that can still occur so often.
+        The `aside` longest lists are only probed, the others merged. Few entries are
+        merged by a heap that skips: where fewer than `least` lists stand at the smallest
+        set, so many are moved on, by binary search, to the first set that can still occur
+        so often. Many are merged in an array of counts; an entry is cheap there, so fewer
+        lists are put aside.
         """
-        n = len(self.order)
+        n, low = len(self.order), int(self.post_owner[lo].min())
+        # among copies the set that linked last mostly links again, which leaves nothing of its component to merge
+        if low <= self.recent < x and self.label[self.recent] != self.label[x] and (self.side is None or self.side[self.recent] != self.side[x]):
+            if self._linked(x, self.recent, 0, codes * n):
+                self._unite(x, self.recent)
         by = np.argsort(hi - lo, kind="stable")
         codes, lo, hi = codes[by], lo[by], hi[by]
-        aside = min(need - 1, int(need / (SKIP_WEIGHT * math.log2(int(hi[-1] - lo[-1]) + 1) + 1)))
+        by_heap = int((hi - lo).sum()) <= HEAP_ENTRIES
+        weight = SKIP_WEIGHT if by_heap else COUNT_WEIGHT
+        aside = min(need - 1, int(need / (weight * math.log2(int(hi[-1] - lo[-1]) + 1) + 1)))
         short, least = len(codes) - aside, need - aside
         long = codes[short:] * n
         flat = np.concatenate([self.post_owner[a:b] for a, b in zip(lo[:short], hi[:short])])
+        if not by_heap:
+            self._count(x, flat, long, aside)
+            return
         bound = np.concatenate([[0], np.cumsum((hi - lo)[:short])])
         beyond = -1
         while True:
@@ -429,7 +443,7 @@ class Block:
                 if len(popped) >= least:
                     if self._linked(x, y, len(popped), long):
                         self._unite(x, y)
-                        beyond, united = y, True
+                        beyond, united, self.recent = y, True, y
                         break
                     goal = y + 1
                 else:
@@ -446,6 +460,23 @@ class Block:
             if not united:
                 return
 
+    def _count(self, x: int, flat: np.ndarray, long: np.ndarray, aside: int) -> None:
+        """The merge of many entries: sets that occur often enough are probed in the long lists, some at a time."""
+        counts = np.bincount(flat, minlength=len(self.order))
+        needed = -(-self.percent * (self.size[x] + self.size) // (100 + self.percent))
+        near = np.flatnonzero((counts > 0) & (counts + aside >= needed))
+        if self.side is not None:
+            near = near[self.side[near] != self.side[x]]
+        while len(near := near[self.label[near] != self.label[x]]):
+            own, near = near[:PROBED], near[PROBED:]
+            wanted = long[:, None] + own
+            at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+            overlap = counts[own] + (self.pairs[at] == wanted).sum(0)
+            for y in own[overlap >= needed[own]].tolist():
+                if self.label[y] != self.label[x]:
+                    self._unite(x, y)
+                    self.recent = y
+
     def join(self) -> np.ndarray:
         """The component of each set, in the order given."""
         n = len(self.order)

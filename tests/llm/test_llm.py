@@ -398,8 +398,9 @@ def test_jaccard_join(spark, near, width, percent):
 
 def test_jaccard_join_in_pieces(spark, near, monkeypatch):
     df = spark.createDataFrame(near, "doc_id long, text string")
-    for members in (2, 4):
+    for members, entries in ((2, 0), (4, 10**9)):
         monkeypatch.setattr(jaccard_join, "PIECE_MEMBERS", members)
+        monkeypatch.setattr(jaccard_join, "HEAP_ENTRIES", entries)
         assert Counter(tuple(r) for r in jaccard_join.jaccard_join(df).collect()) == joined(near)
     kept = [r.doc_id for r in jaccard_join.first_of_groups(df).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for _, _, c in joined(near) if c is not None})
@@ -429,7 +430,9 @@ def test_components_of_a_hub(spark, monkeypatch):
     assert {v for k, v in got.items() if k < 5000} == {1} and got[5001] == 5000 and len(got) == 403
 
 
-def test_block_join_of_a_large_group():
+@pytest.mark.parametrize("entries", [0, 500, 10**9])
+def test_block_join_of_a_large_group(entries, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAP_ENTRIES", entries)
     rng = np.random.default_rng(1)
     base = rng.integers(1, 2**63, 120, dtype=np.uint64)
     sets = []
