@@ -51,6 +51,9 @@ SLICE_BYTES = 2 << 20
 BLOCK_SHINGLES = 120_000
 PIECE_SHINGLES = 250_000
 PIECE_MEMBERS = 1_024
+#: sets of each of the two pieces that meet afterwards: larger, as a set is sent to all pieces but its own
+HALF_SHINGLES = 1_500_000
+HALF_MEMBERS = 8_192
 #: how much less a longer list counts when DivideSkip chooses how many to put aside
 SKIP_WEIGHT = 0.01
 #: the same where lists are merged in an array: above so many entries, so many candidates probed at a time
@@ -564,8 +567,7 @@ def _roots(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, pe
     labelled = scratch.table(labelled, "labelled")
     parts = labelled.groupBy("root", "label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
     most = parts.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"), F.sum("shingles").alias("s"), F.max_by("shingles", F.struct("k", "label")).alias("most_s"))
-    half_members, half_shingles = max(1, PIECE_MEMBERS // 2), max(1, PIECE_SHINGLES // 2)
-    cut = lambda members, shingles: F.greatest(F.ceil(members / half_members), F.ceil(shingles / half_shingles)).cast("long")
+    cut = lambda members, shingles: F.greatest(F.ceil(members / HALF_MEMBERS), F.ceil(shingles / HALF_SHINGLES)).cast("long")
     plan = most.where(F.col("all") > F.col("k")).select("root", "most", cut(F.col("all") - F.col("k"), F.col("s") - F.col("most_s")).alias("others"), cut(F.col("k"), F.col("most_s")).alias("mains"))
     both = labelled.drop("pieces").join(plan, "root")
     other = F.col("label") != F.col("most")

@@ -400,6 +400,7 @@ def test_jaccard_join_in_pieces(spark, near, monkeypatch):
     df = spark.createDataFrame(near, "doc_id long, text string")
     for members, entries in ((2, 0), (4, 10**9)):
         monkeypatch.setattr(jaccard_join, "PIECE_MEMBERS", members)
+        monkeypatch.setattr(jaccard_join, "HALF_MEMBERS", members // 2)
         monkeypatch.setattr(jaccard_join, "HEAP_ENTRIES", entries)
         assert Counter(tuple(r) for r in jaccard_join.jaccard_join(df).collect()) == joined(near)
     kept = [r.doc_id for r in jaccard_join.first_of_groups(df).collect()]
