@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align_tokens, decontaminate, fill_middle, html_text, jaccard_join, language, lm_score, packing, quality, secrets_scan, topk, training_order
+from . import align_tokens, decontaminate, fill_middle, html_text, jaccard_join, language, lm_score, packing, quality, secrets_scan, topk, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens.align(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_vote": op9_quality_vote,
     "op10_secret_scan": op10_secret_scan,
+    "op11_toxicity": op11_toxicity,
     "op12_token_alignment": op12_token_alignment,
     "op13_fill_middle": op13_fill_middle,
 }
