@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, tokens
+from .carry import named
 
 LENGTH = 2048
 END = 1
@@ -108,7 +109,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         if made:
             yield batch_of()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
     return scratch.table(own.mapInArrow(run, "part int, at long, doc_id long, start long, n int, ids binary"), "sequences")
 
 
@@ -142,12 +143,15 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 own = batch.slice(a, 1024)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([zlib.decompress(x.as_buffer()) for x in own.column(1)], pa.binary())], names=["shard", "record"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([zlib.decompress(x.as_buffer()) for x in own.column(2)], pa.binary())], names=["shard", "slot", "record"])
 
-    ranged = rows.mapInArrow(placed, "task int, shard long, slot long, record binary").repartitionById(tasks, "task").sortWithinPartitions("slot")
-    raw = ranged.select("shard", "record").mapInArrow(opened, "shard long, record binary")
+    ranged = rows.mapInArrow(placed, "task int, shard long, slot long, record binary").repartitionById(tasks, "task")
+    raw = ranged.select("shard", "slot", "record").mapInArrow(opened, "shard long, slot long, record binary")
+    # the last step before the writer sorts by shard and slot: the writer finds its order and adds no sort of
+    # its own, which would keep slots in order only while nothing spills
+    in_order = raw.sortWithinPartitions("shard", "slot")
     # a binary cast to a string keeps its bytes, and the text writer adds the line feed
-    raw.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
+    in_order.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
     return total
 
 
