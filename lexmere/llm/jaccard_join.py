@@ -60,7 +60,9 @@ SKIP_WEIGHT = 0.01
 HEAP_ENTRIES, COUNT_WEIGHT, PROBED = 2_000, 1.0, 256
 #: keys that a task holds before it sends them
 HELD_KEYS = 1_000_000
-#: lists of documents to read again are broadcast up to so many rows
+#: prints that a task holds before it sends them, so that a range gets few and large messages
+HELD_PRINTS = 3_000_000
+#: lists of documents to read again are broadcast up to so many rows, and places in blocks up to so many
 BROADCAST_ROWS = 1_000_000
 
 U = np.uint64
@@ -174,11 +176,38 @@ def _documents(own: DataFrame, width: int, percent: int, ranges: int) -> DataFra
 
     A chunk sends a range its prints and, of the documents that have some there, the
     numbers; a range sends back the numbers met elsewhere, where there are any. So
-    what travels grows with the prints, however many ranges there are.
+    what travels grows with the prints, however many ranges there are. What a chunk knows of
+    its documents (heads) goes by way of one range, another for each chunk.
     """
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        heads: list[np.ndarray] = []
+
+        def sent_on() -> pa.RecordBatch:
+            nonlocal at
+            chunk, head = (part << 32) + at, np.concatenate(heads)
+            flat = np.concatenate([*held, np.empty(0, U)])
+            of = np.repeat(np.arange(len(head)), head[:, 2])
+            to = ((flat >> U(32)) * U(ranges)) >> U(32)
+            with np.errstate(over="ignore"):
+                print_ = (mix(flat) >> U(32)).astype("<u4")
+                home = int(mix(np.array([chunk], U))[0] % U(ranges))
+            by = np.argsort(to, kind="stable")
+            used, cut = np.unique(to[by], return_index=True)
+            rows = {int(r): by[x:y] for r, x, y in zip(used, cut, [*cut[1:], len(by)])}
+            rows.setdefault(home, by[:0])
+            blobs = []
+            for own_rows in rows.values():
+                docs, count = np.unique(of[own_rows], return_counts=True)
+                blobs.append(_sparse(docs, count) + print_[own_rows].tobytes())
+            held.clear()
+            heads.clear()
+            at += 1
+            known = head.astype("<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk, np.int64)), pa.array(list(rows), pa.int32()), pa.array(blobs, pa.binary()), pa.array([known if r == home else None for r in rows], pa.binary())], names=["chunk", "range", "prints", "heads"])
+
         for batch in batches:
             for slice_ in slices(batch, "text", SLICE_BYTES):
                 with np.errstate(over="ignore"):
@@ -187,22 +216,12 @@ def _documents(own: DataFrame, width: int, percent: int, ranges: int) -> DataFra
                 n = np.array([len(x) for x in sets], np.int64)
                 present = np.asarray(slice_.column(0).is_valid())
                 name = np.asarray(slice_.column(0).fill_null(0))
-                heads = np.concatenate([np.stack([name, present, n, np.asarray(slice_.column(2))], 1), np.array(hashes, np.int64).reshape(-1, 2)], 1).astype("<i8").tobytes()
-                flat = np.concatenate([*sets, np.empty(0, U)])
-                of = np.repeat(np.arange(len(n)), n)
-                to = ((flat >> U(32)) * U(ranges)) >> U(32)
-                print_ = (mix(flat) >> U(32)).astype("<u4")
-                by = np.argsort(to, kind="stable")
-                used, cut = np.unique(to[by], return_index=True)
-                rows = [(0, None)] if not len(used) or used[0] else []
-                rows += [(int(r), by[x:y]) for r, x, y in zip(used, cut, [*cut[1:], len(by)])]
-                blobs = []
-                for _, own_rows in rows:
-                    docs, count = np.unique(of[own_rows], return_counts=True) if own_rows is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-                    blobs.append(_sparse(docs, count) + (print_[own_rows].tobytes() if own_rows is not None else b""))
-                chunk = pa.array(np.full(len(rows), (part << 32) + at, np.int64))
-                at += 1
-                yield pa.RecordBatch.from_arrays([chunk, pa.array([r for r, _ in rows], pa.int32()), pa.array(blobs, pa.binary()), pa.array([None if r else heads for r, _ in rows], pa.binary())], names=["chunk", "range", "prints", "heads"])
+                heads.append(np.concatenate([np.stack([name, present, n, np.asarray(slice_.column(2))], 1), np.array(hashes, np.int64).reshape(-1, 2)], 1))
+                held += sets
+                if sum(int(x[:, 2].sum()) for x in heads) > HELD_PRINTS:
+                    yield sent_on()
+        if heads:
+            yield sent_on()
 
     def counted(table: pa.Table) -> pa.Table:
         parts = []
@@ -583,7 +602,8 @@ def _roots(own: DataFrame, classes: DataFrame, coarse: DataFrame, width: int, pe
 def _joined(own: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): labels that links connect. dealt: sets (rep, one, two) with their label and their blocks (block, side)."""
     dealt = scratch.table(dealt.withColumnRenamed("rep", "doc_id"), "dealt")
-    few = dealt.count() <= BROADCAST_ROWS
+    # a set of a large component stands in many blocks, so places count and not rows
+    few = dealt.agg(F.coalesce(F.sum(1 + F.size("blocks")), F.lit(0))).first()[0] <= BROADCAST_ROWS
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
@@ -627,7 +647,14 @@ def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     name, text = (F.col(f"of_docs.{named(c)}") for c in (id_col, text_col))
     same = (name.cast("long") == F.col("of_gone.doc_id")) & (F.xxhash64(text.cast("string")) == F.col("of_gone.text_hash"))
     left = docs.alias("of_docs").join(gone.alias("of_gone"), same, "left_anti").select(*[F.col(f"of_docs.{named(c)}") for c in docs.columns])
-    repeated = docs.where(F.col(named(id_col)).isNotNull()).groupBy(F.col(named(id_col)).alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not repeated:
+    # only rows whose id and text's hash repeat are exchanged
+    pair = (F.col(named(id_col)).alias("of_id"), F.xxhash64(F.col(named(text_col)).cast("string")).alias("of_text"))
+    again = scratch.table(left.where(F.col(named(id_col)).isNotNull()).select(*pair).groupBy("of_id", "of_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    k = again.count()
+    if not k:
         return left
-    return left.where(F.col(named(id_col)).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(named(id_col)).isNull()))
+    if k <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    match = (F.col(f"of_left.{named(id_col)}") == F.col("of_again.of_id")) & (F.xxhash64(F.col(f"of_left.{named(text_col)}").cast("string")) == F.col("of_again.of_text"))
+    parts = [left.alias("of_left").join(again.alias("of_again"), match, how).select(*[F.col(f"of_left.{named(c)}") for c in docs.columns]) for how in ("left_anti", "left_semi")]
+    return parts[0].unionByName(parts[1].dropDuplicates([id_col, text_col]))
