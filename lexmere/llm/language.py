@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .carry import named, with_rest
 
 LENGTH = 192
@@ -146,7 +147,7 @@ def train(labelled: DataFrame) -> Network | None:
         return None
     labels = sorted(counts)
     wanted = max(1, WINDOWS // (PER_DOCUMENT * len(labels)))
-    # twice as many by hash as wanted, then exactly the first by hash
+    # about twice as many by hash as wanted, however often an id repeats; then exactly the first by hash and windows
     share = F.create_map(*[F.lit(v) for k in labels for v in (k, float(min(1, 2 * wanted / counts[k])))])
     key = F.xxhash64("doc_id")
     chosen = usable.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).select("lang", key.alias("key"), "text")
@@ -161,12 +162,15 @@ def train(labelled: DataFrame) -> Network | None:
                 found.append(own[::step][:PER_DOCUMENT].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["lang", "key", "windows"])
 
+    first = Window.partitionBy("lang").orderBy("key", "windows")
+    found = scratch.table(chosen.mapInArrow(cut, "lang string, key long, windows binary"), "windows")
+    ranked = found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= wanted)
     rows: dict[str, list[tuple[int, bytes]]] = {k: [] for k in labels}
-    for r in chosen.mapInArrow(cut, "lang string, key long, windows binary").collect():
+    for r in ranked.collect():
         rows[r["lang"]].append((r["key"], bytes(r["windows"])))
     x, y = [np.empty((0, LENGTH), np.uint8)], [np.empty(0, np.int64)]
     for i, k in enumerate(labels):
-        own = np.frombuffer(b"".join(w for _, w in sorted(rows[k])[:wanted]), np.uint8).reshape(-1, LENGTH)
+        own = np.frombuffer(b"".join(w for _, w in sorted(rows[k])), np.uint8).reshape(-1, LENGTH)
         x.append(own)
         y.append(np.full(len(own), i))
     x, y = np.concatenate(x), np.concatenate(y)
