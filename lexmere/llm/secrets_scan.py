@@ -56,7 +56,8 @@ MORE = (
     Rule("repository_token", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # it begins where no sign of its own comes before and gives nothing back, so a run of beginnings is read once
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"),
     Rule("payment_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@"),
 )
@@ -98,7 +99,9 @@ def _analyse(tree) -> tuple[set[str] | None, set[frozenset[str]]]:
             parts = [_analyse(x) for x in value[1]]
             own = set().union(*(p[0] for p in parts)) if all(p[0] is not None for p in parts) else None
             own_query = _simple(set().union(*(p[1] for p in parts)))
-        elif name == "MAX_REPEAT":
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue  # no characters of its own
+        elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, inner = value
             strings, inner_query = _analyse(inner)
             if strings is not None and high == 1:
