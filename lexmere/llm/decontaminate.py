@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .carry import with_rest
 from .fmindex import FMIndex
 from .textscan import ALNUM, Words, scan, slices
@@ -29,6 +30,8 @@ from .textscan import ALNUM, Words, scan, slices
 SHARD_BYTES = 4 << 20
 #: a pass over the documents searches so many bytes of benchmark; a larger benchmark takes more passes
 BLOCK_BYTES = 16 << 20
+#: what the passes have found is broadcast up to so many bytes, joined by shuffle beyond
+BROADCAST_BYTES = 32 << 20
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, clean string"
 
@@ -184,28 +187,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def _in_blocks(own: DataFrame, items: DataFrame, window: int, blocks: int, texts: bool, schema: str) -> DataFrame:
-    """One pass over the unchanged texts for each block of items, carrying each document's hit words (as bits, null for none) and finds along; what is hit in any pass is cut at the end."""
-    held = own.withColumns({"bits": F.lit(None).cast("binary"), "found": F.array().cast("array<string>")})
+    """A pass over the texts for each block of items; what is hit in any pass is cut at the end.
+
+    Rows get a number in a table of their own. A pass writes the number, the hit words (as bits) and the
+    finds of the documents in which it found something, so it holds one block and its table is small.
+    """
+    spark = own.sparkSession
+    numbered = scratch.table(own.withColumn("at", F.monotonically_increasing_id()), "numbered")
 
     def hits(part: pa.RecordBatch, words: Words) -> np.ndarray:
         hit, first = np.zeros(len(words.start), bool), words.first()
-        for d, bits in enumerate(part.column("bits").to_pylist()):
-            if bits is not None:
-                hit[first[d] : first[d + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=first[d + 1] - first[d])
+        for d, passes in enumerate(part.column("bits").to_pylist()):
+            for bits in passes or ():
+                hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=first[d + 1] - first[d]).astype(bool)
         return hit
 
-    def carry(rows):
+    def searched(rows):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows.of(rows, window)
             for batch in batches:
                 for part in slices(batch, "text", SHARD_BYTES):
-                    words, hit, fresh = _search(part.column(1), windows)
-                    hit |= hits(part, words)
+                    words, hit, found = _search(part.column(1), windows)
                     first = words.first()
-                    bits = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(first[:-1], first[1:])]
-                    found = [sorted({*a, *b}) for a, b in zip(part.column("found").to_pylist(), fresh)]
-                    columns = {"bits": pa.array(bits, pa.binary()), "found": pa.array(found, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([columns[c] if c in columns else part.column(c) for c in part.schema.names], names=part.schema.names)
+                    met = [(at, np.packbits(hit[a:b]).tobytes(), own) for at, a, b, own in zip(part.column(0).to_pylist(), first[:-1], first[1:], found) if hit[a:b].any()]
+                    at, bits, own = zip(*met) if met else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits, pa.binary()), pa.array([list(x) for x in own], pa.list_(pa.string()))], names=["at", "bits", "found"])
 
         return go
 
@@ -213,12 +219,20 @@ def _in_blocks(own: DataFrame, items: DataFrame, window: int, blocks: int, texts
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
                 words = scan(part.column(1), ALNUM, hashes=False)
-                yield _result(part, words, hits(part, words), part.column("found").to_pylist(), texts)
+                yield _result(part, words, hits(part, words), [sorted(set(x or ())) for x in part.column("found").to_pylist()], texts)
 
     block = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    tables = []
     for k in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(block == k).collect()]
-        held = held.mapInArrow(carry(rows), held.schema)
+        if rows:
+            tables.append(scratch.table(numbered.select("at", "text").mapInArrow(searched(rows), "at long, bits binary, found array<string>"), f"pass-{k}"))
+    found = spark.createDataFrame([], "at long, bits binary, found array<string>")
+    for t in tables:
+        found = found.unionByName(t)
+    met = scratch.table(found.groupBy("at").agg(F.collect_list("bits").alias("bits"), F.flatten(F.collect_list("found")).alias("found")), "passes")
+    small = met.agg(F.coalesce(F.sum(F.size("bits") + F.aggregate("bits", F.lit(0), lambda n, b: n + F.octet_length(b)) + F.size("found")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    held = numbered.join(F.broadcast(met) if small else met, "at", "left").drop("at")
     return held.mapInArrow(cut, schema)
 
 
