@@ -39,7 +39,7 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp".split())
-NEVER = frozenset("script style textarea title noscript iframe noembed noframes template nav footer aside button select option input dialog menu svg math object embed canvas audio video map datalist label".split())
+NEVER = frozenset("script style textarea title noscript iframe noembed noframes template nav footer aside button select option input dialog menu svg annotation annotation-xml object embed canvas audio video map datalist label".split())
 BLOCK = frozenset("html body main article section div header hgroup p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure figcaption address details summary center hr nav footer aside form fieldset".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption caption summary address".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,9 +52,11 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit adbanner adcontainer adwrapper sponsor sponsored sponsors "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer masthead topbar toolbar "
-    "sidebar aside rail cookie cookies consent gdpr notice notices popup modal overlay lightbox "
-    "newsletter subscribe signup login register paywall comment comments disqus respond reply replies outbrain taboola skip skiplink".split()
+    "sidebar aside cookie cookies consent gdpr popup modal lightbox "
+    "newsletter subscribe signup paywall comment comments disqus respond outbrain taboola skiplink".split()
 )
+#: names that say so outside an article, and nothing alone within one
+OUTSIDE = frozenset("rail register login reply replies overlay notice notices skip".split())
 #: names that such a part may have, and a part of the article too
 DOUBTFUL = frozenset("alert banner promo promotion promoted widget widgets share sharing social related recommended recommendations tags subscription discussion response responses".split())
 FORMS = frozenset("form fieldset".split())
@@ -69,6 +71,8 @@ LEAST_BLOCK = 25
 SHARES = (1.0, 0.5, 0.25, 1 / 6)
 #: a doubtful part stays with so many characters and no more than such a share of them in links
 LEAST_PART, MOST_LINKED = 120, 0.3
+#: what an unnamed footer says, in no more characters
+LEGAL, MOST_LEGAL = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I), 200
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -95,8 +99,8 @@ def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
         return True
     names = _names(own)
     if tag in HEADING or tag == "a":
-        return bool(names & (NOISE | DOUBTFUL if tag == "a" else NOISE)) and not names & GOOD
-    return bool(names & NOISE) or (bool(names & HEADER) and not in_article and not names & OWN_HEADER)
+        return bool(names & (NOISE | OUTSIDE | DOUBTFUL if tag == "a" else NOISE)) and not names & GOOD
+    return bool(names & (NOISE if in_article else NOISE | OUTSIDE)) or (bool(names & HEADER) and not in_article and not names & OWN_HEADER)
 
 
 class Page:
@@ -106,6 +110,7 @@ class Page:
         self.by_name = by_name
         self.tag, self.parent, self.weight = ["#"], [-1], [0.0]
         self.doubtful: list[int] = []
+        self.in_article: dict[int, bool] = {}
         self.forms: list[int] = []
         #: (block element around it, text, characters of it in links)
         self.blocks: list[tuple[int, str, int]] = []
@@ -212,8 +217,9 @@ class Page:
                         self.weight[node] = 25.0
                     elif names & GOOD:
                         self.weight[node] = 15.0
-                    if self.by_name and names & DOUBTFUL and tag not in KEPT_WHOLE:
+                    if self.by_name and names & (DOUBTFUL | OUTSIDE) and tag not in KEPT_WHOLE and tag not in HEADING:
                         self.doubtful.append(node)
+                        self.in_article[node] = in_article
             open_at.setdefault(tag, []).append(len(stack))
             if block:
                 block_at.append(len(stack))
@@ -256,13 +262,13 @@ class Page:
         return tuple(self._summed(x) for x in (chars, linked, count, plain))
 
     def _drop_parts(self) -> None:
-        """Leaves out the blocks of forms and doubtful parts that are no article."""
+        """Leaves out the blocks of forms and doubtful parts that are no article: of much in links, or short and with links or outside an article."""
         if not self.blocks or not (self.forms or self.doubtful):
             return
         chars, linked, _, _ = self._measures()
         every = sum(len(t) for _, t, _ in self.blocks)
         gone = {k for k in self.forms if 2 * chars[k] < every}
-        gone |= {k for k in self.doubtful if 2 * chars[k] < every and (chars[k] < LEAST_PART or linked[k] > MOST_LINKED * chars[k])}
+        gone |= {k for k in self.doubtful if 2 * chars[k] < every and (linked[k] > MOST_LINKED * chars[k] or chars[k] < LEAST_PART and (linked[k] > 0 or not self.in_article[k]))}
         if gone:
             inside = self._within(gone)
             self.blocks = [b for b in self.blocks if not inside[b[0]]]
@@ -313,6 +319,13 @@ class Page:
 
     def _siblings(self, best: int, score: list[float], chars: list[int], density: list[float]) -> set[int]:
         found, doubtful = set(), set(self.doubtful)
+        legal = {0}
+        for own, text, _ in self.blocks:
+            if len(text) <= MOST_LEGAL and LEGAL.search(text):
+                for k in self._up(own):
+                    if chars[k] > MOST_LEGAL:
+                        break
+                    legal.add(k)
         for k in range(1, len(self.tag)):
             if self.parent[k] != self.parent[best] or k == best or self.tag[k] not in BLOCK or k in doubtful:
                 continue
@@ -322,7 +335,7 @@ class Page:
                 found.add(k)
             elif self.tag[k] in ("p", "pre", "blockquote") and chars[k] > 80 and density[k] < 0.25:
                 found.add(k)
-            elif self.tag[best] not in ("article", "main") and chars[k] and density[k] < 0.25:
+            elif self.tag[best] not in ("article", "main") and chars[k] and density[k] < 0.25 and not (k > best and k in legal):
                 found.add(k)
         return found
 
