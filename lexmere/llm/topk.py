@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .carry import named
 
 BLOCK = 4096
 QUERY_BYTES = 32 << 20
@@ -132,7 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     """query_id, rank, vec_id, score: the k best rows of vectors for each row of queries, both with id and vector columns."""
 
     def own(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return df.select(F.col(named(id_col)).cast("long").alias("id"), F.col(named(vector_col)).cast("array<double>").alias("v"))
 
     asked = scratch.table(packed(own(queries).distinct(), scale, QUERY_BLOCK), "queries")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("vectors") + F.octet_length("ids")), F.lit(0))).first()[0]
