@@ -81,3 +81,9 @@ def touches(requests: DataFrame, every_seconds: int = 60, key: str = "user_id",
     stretch = F.floor(_seconds(ts) / every_seconds)
     order = Window.partitionBy(key, stretch).orderBy(ts, "event_id")
     return requests.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def not_overtaken(answers: DataFrame, key: str, ticket: str, arrived: str) -> DataFrame:
+    """Answers that arrived before any answer to a later request of their key."""
+    so_far = Window.partitionBy(key).orderBy(arrived, ticket).rowsBetween(Window.unboundedPreceding, 0)
+    return answers.withColumn("_newest", F.max(ticket).over(so_far)).where(F.col(ticket) == F.col("_newest")).drop("_newest")

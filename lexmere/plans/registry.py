@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval, structure, textual  # noqa: F401
+from . import relational, retrieval, structure, textual  # noqa: F401, I001
+from . import streams  # noqa: F401, I001
 from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
