@@ -110,3 +110,11 @@ def check_search(query: str, top_k: int | None, default: int = 10, most: int = 1
     if top_k is not None and top_k < 1:
         raise ValueError("top_k must be at least 1")
     return text, min(top_k or default, most)
+
+
+def published(documents: DataFrame, publishers: DataFrame, users: DataFrame) -> DataFrame:
+    """Documents with who made them public and both names; null where there is no such user any more."""
+    names = users.select("user_id", "username")
+    made = documents.join(publishers.select("document_id", "publisher"), "document_id", "left")
+    made = made.join(names.select(F.col("user_id").alias("publisher"), F.col("username").alias("publisher_name")), "publisher", "left")
+    return made.join(names.select(F.col("user_id").alias("owner_id"), F.col("username").alias("owner_name")), "owner_id", "left")

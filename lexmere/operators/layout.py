@@ -14,6 +14,8 @@ from ..functions import text as T
 MARGIN = 0.05
 RUNNING_PAGES = 3
 GAP = 0.6
+#: of the body size: how far a first line may stand from its block's left edge
+SAME_COLUMN = 0.5
 
 
 def in_margin(page_height: str = "page_height") -> Column:
@@ -45,26 +47,52 @@ def reading_order() -> list[Column]:
     return [F.round("top", 1), F.col("first_left"), F.col("order")]
 
 
-def overlaps(a: str, b: str) -> Column:
+def overlaps_of(a: Column, b: Column) -> Column:
     """Whether rectangle a (struct left, top, right, bottom) lies by more than half in b."""
-    x = F.least(F.col(f"{a}.right"), F.col(f"{b}.right")) - F.greatest(F.col(f"{a}.left"), F.col(f"{b}.left"))
-    y = F.least(F.col(f"{a}.bottom"), F.col(f"{b}.bottom")) - F.greatest(F.col(f"{a}.top"), F.col(f"{b}.top"))
-    area = (F.col(f"{a}.right") - F.col(f"{a}.left")) * (F.col(f"{a}.bottom") - F.col(f"{a}.top"))
+    x = F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"])
+    y = F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"])
+    area = (a["right"] - a["left"]) * (a["bottom"] - a["top"])
     return (x > 0) & (y > 0) & (area > 0) & (x * y / area > 0.5)
 
 
-def continuations(regions: DataFrame) -> DataFrame:
+def overlaps(a: str, b: str) -> Column:
+    """The same of two columns by name."""
+    return overlaps_of(F.col(a), F.col(b))
+
+
+def continuations(regions: DataFrame, body_size: float | str | None = None) -> DataFrame:
     """Regions with `paragraph`, one number for the regions of a page that continue each other.
 
-    A region continues the one before it in the same column, close below it, when that
-    one ends no sentence, neither is monospace and it opens with no list marker.
+    A region is held against the block as it has grown: it continues it in the same column
+    (its first line begins within half the body size of the block's left edge, which is the least
+    of its regions'), close below the block's last region, when that ends no sentence, neither
+    is monospace and it opens with no list marker. An ordered fold over a page's regions, which
+    are as many as a page holds. body_size is a number or a column; without one a region's line height counts.
+    A column `kind`, where there is one, keeps all but paragraphs apart.
     """
-    order = Window.partitionBy("doc", "page").orderBy(*reading_order())
-    before = lambda c: F.lag(c).over(order)
-    near = (F.col("top") - before("bottom") <= GAP * F.col("line_height")) & (F.abs(F.col("left") - before("left")) <= F.col("line_height"))
-    goes_on = near & ~before("text").rlike(T.PARAGRAPH_END) & ~F.col("text").rlike(T.LIST_MARKER) & ~F.col("monospace") & ~before("monospace")
-    marked = regions.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    return marked.withColumn("paragraph", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    body = F.col("line_height") if body_size is None else F.col(body_size) if isinstance(body_size, str) else F.lit(float(body_size))
+    plain = (F.col("kind") == "paragraph") if "kind" in regions.columns else F.lit(True)
+    facts = F.struct(
+        F.round("top", 1).alias("_t"), F.col("first_left").alias("_f"), F.col("order").alias("_o"), F.col("top").cast("double").alias("_top"), F.col("bottom").cast("double").alias("_bottom"), F.col("left").cast("double").alias("_left"),
+        F.col("line_height").cast("double").alias("_height"), body.cast("double").alias("_body"), F.coalesce(plain & ~F.col("monospace"), F.lit(False)).alias("_open"),
+        F.coalesce(F.col("text").rlike(T.PARAGRAPH_END), F.lit(False)).alias("_ends"), F.coalesce(F.col("text").rlike(T.LIST_MARKER), F.lit(False)).alias("_listed"), F.struct("*").alias("_row"),
+    )
+    pages = regions.groupBy("doc", "page").agg(F.array_sort(F.collect_list(facts)).alias("_regions"))
+
+    def block(x: Column, n: Column, left: Column, numbers: Column) -> Column:
+        return F.struct(n.alias("n"), left.alias("left"), x["_bottom"].alias("bottom"), x["_height"].alias("height"), x["_ends"].alias("ends"), x["_open"].alias("open"), numbers.alias("numbers"))
+
+    def step(held: Column, x: Column) -> Column:
+        gap = x["_top"] - held["bottom"]
+        near = (F.abs(x["_f"] - held["left"]) <= x["_body"] * SAME_COLUMN) & (gap >= 0) & (gap <= held["height"] * GAP)
+        goes_on = F.coalesce(held["open"] & x["_open"] & near & ~held["ends"] & ~x["_listed"], F.lit(False))
+        n = F.when(goes_on, held["n"]).otherwise(held["n"] + 1)
+        return block(x, n, F.when(goes_on, F.least(held["left"], x["_left"])).otherwise(x["_left"]), F.concat(held["numbers"], F.array(n)))
+
+    none = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(c) for c in ("left", "bottom", "height")], F.lit(True).alias("ends"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("numbers"))
+    numbered = pages.withColumn("_numbers", F.aggregate("_regions", none, step)["numbers"])
+    rows = numbered.select(F.explode(F.arrays_zip(F.col("_regions"), F.col("_numbers"))).alias("x"))
+    return rows.select(*[F.col("x._regions._row").getField(c).alias(c) for c in regions.columns], F.col("x._numbers").alias("paragraph"))
 
 
 def paragraphs(regions: DataFrame, midword: bool = False) -> DataFrame:

@@ -235,3 +235,60 @@ def suggestions(searches: DataFrame, typed: str, most: int = 8) -> DataFrame:
     own = F.lower(F.lit(typed.strip()))
     found = searches.where(F.lower("query").contains(own) & (F.lower("query") != own))
     return found.groupBy(F.lower("query").alias("_key")).agg(F.max_by("query", F.struct("ts", "event_id")).alias("query"), F.max(F.struct("ts", "event_id")).alias("_at")).orderBy(F.desc("_at")).limit(most).select("query")
+
+
+def settled_uploads(rows: DataFrame, rejected: DataFrame, saved: DataFrame, key: str = "batch") -> DataFrame:
+    """What became of each chosen file (place, name) of an upload: rejected with a reason, saved, or not saved.
+
+    A rejection (name, reason, place) is used once, by the first row of its name; of several rejections of a
+    name the last says why. The other rows take the saved files (place, name, file_id) in order, whatever their
+    names; those left over were not saved.
+    """
+    last = rejected.groupBy(key, "name").agg(F.max_by("reason", "place").alias("reason"))
+    nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("place"))
+    told = rows.withColumn("_nth", nth).join(last.withColumn("_nth", F.lit(1)), [key, "name", "_nth"], "left").drop("_nth")
+    passed = F.when(F.col("reason").isNull(), F.row_number().over(Window.partitionBy(key, F.col("reason").isNull()).orderBy("place")))
+    files = saved.select(key, F.row_number().over(Window.partitionBy(key).orderBy("place")).alias("_file"), F.col("name").alias("_name"), "file_id")
+    joined = told.withColumn("_file", passed).join(files, [key, "_file"], "left")
+    there = F.col("file_id").isNotNull()
+    state = F.when(there, "waiting").otherwise("rejected")
+    return joined.select(key, "place", F.when(there, F.col("_name")).otherwise(F.col("name")).alias("name"), state.alias("state"), F.when(~there, F.coalesce("reason", F.lit("not saved"))).alias("error"), "file_id")
+
+
+def without_user(user_id: str, users: DataFrame, documents: DataFrame, passages: DataFrame, files: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables after a user is deleted with all that is theirs, and (table, removed, left) of each.
+
+    Documents and files go by owner, passages with their documents. The counts are of the same
+    predicates, so they agree with the tables whatever else is written meanwhile.
+    """
+    own = {"users": F.col("user_id") == user_id, "documents": F.col("owner_id") == user_id, "passages": F.col("owner_id") == user_id, "files": F.col("owner_id") == user_id}
+    tables = {"users": users, "documents": documents, "passages": passages, "files": files}
+    kept = {name: df.where(~F.coalesce(own[name], F.lit(False))) for name, df in tables.items()}
+    counts = [df.agg(F.count_if(F.coalesce(own[name], F.lit(False))).alias("removed"), F.count_if(~F.coalesce(own[name], F.lit(False))).alias("left")).select(F.lit(name).alias("table"), "removed", "left") for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return kept, out
+
+
+def preview(files: DataFrame, known: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A window of the pages of files extracted again (document_id, file_hash, pages), and whether the content is still the indexed one.
+
+    hash_matches is null for a file that no record knows; total_pages counts all pages.
+    """
+    joined = files.alias("f").join(known.select("document_id", F.col("file_hash").alias("_known")), "document_id", "left")
+    shown = F.slice("pages", offset + 1, limit)
+    return joined.select("document_id", F.size("pages").alias("total_pages"), (F.col("file_hash") == F.col("_known")).alias("hash_matches"), shown.alias("shown"))
+
+
+def settings(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Settings (key, value as JSON text) with each known key's default where it is missing or no JSON: key, kind, value."""
+    spark = rows.sparkSession
+    known = spark.createDataFrame(sorted(defaults.items()), "key string, _default string")
+    parsed = F.coalesce(F.try_parse_json("value"), F.parse_json("_default"))
+    return known.join(rows, "key", "left").select("key", F.schema_of_variant(parsed).alias("kind"), F.to_json(parsed).alias("value"))
+
+
+def by_locale(column: str, collation: str = "UNICODE_CI") -> list[Column]:
+    """Order as a reader's language has it, case aside; equal names by code point."""
+    return [F.collate(F.col(column), collation), F.col(column)]

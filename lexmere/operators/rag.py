@@ -106,3 +106,11 @@ def event_blocks(stream: Column) -> Column:
 
     parsed = F.transform(blocks, lambda b: F.struct(F.coalesce(F.try_element_at(values(b, "event"), F.lit(-1)), F.lit("message")).alias("event"), F.array_join(values(b, "data"), "\n").alias("data")))
     return F.filter(parsed, lambda e: e["data"] != "")
+
+
+def rerank_or_search(hits: DataFrame, candidates: int, score: Column | None = None, key: str = "ask_id") -> DataFrame:
+    """rerank(), but a question of which any hit has no score (the reranker failed) keeps the search's order, without scores."""
+    found = rerank(hits, candidates, score, key).drop("place")
+    broken = F.max(F.col("rerank").isNull()).over(Window.partitionBy(key))
+    safe = found.withColumn("_broken", broken).withColumn("rerank", F.when(~F.col("_broken"), F.col("rerank"))).drop("_broken")
+    return safe.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("rerank"), "rank")))

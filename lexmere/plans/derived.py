@@ -74,11 +74,15 @@ PASSAGES = """passages AS (
 DOT = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6)"
 
 
-def users(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"u{k}", f"name{k}", k == 0, f"2024-01-0{4 - k}") for k in range(4)], "user_id string, username string, is_admin boolean, created_on string")
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user for each nation, every fifth an administrator, the later ones older."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    created = F.concat(F.lit("2024-01-"), F.lpad((28 - key).cast("string"), 2, "0"))
+    return n.select(F.concat(F.lit("u"), key.cast("string")).alias("user_id"), F.lower("n_name").alias("username"), (key % 5 == 0).alias("is_admin"), created.alias("created_on"))
 
 
-USERS = "users AS (SELECT 'u' || k AS user_id, 'name' || k AS username, k = 0 AS is_admin, '2024-01-0' || (4 - k) AS created_on FROM range(4) t(k))"
+USERS = "users AS (SELECT 'u' || n_nationkey AS user_id, lower(n_name) AS username, n_nationkey % 5 = 0 AS is_admin, '2024-01-' || lpad(CAST(28 - n_nationkey AS VARCHAR), 2, '0') AS created_on FROM nation)"
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +137,8 @@ HITS = """hits AS (
 
 
 def spoken(text: str, n: str) -> str:
-    """SQL, for both engines, of a text in one of several scripts by a number: the text itself, or the start of it among others."""
-    kinds = [text, f"concat('이 문서는 필터 교체를 다룹니다 ', substr({text}, 1, 12))", f"concat('更换滤芯之前请关闭电源 ', substr({text}, 1, 2))", f"concat('這個濾芯請更換 ', substr({text}, 1, 1))", f"concat('フィルターを交換する ', substr({text}, 1, 9))", f"concat('фильтр меняют раз в год ', substr({text}, 1, 4))", f"concat('필터 교체 更换滤芯 ', substr({text}, 1, 14))", "'12 + 3'"]
+    """SQL, for both engines, of a text in one of several scripts by a number: the text itself, or all of it behind a made sentence."""
+    kinds = [text, f"concat('이 문서는 필터 교체를 다룹니다 ', {text})", f"concat('更换滤芯之前请关闭电源 ', {text})", f"concat('這個濾芯請更換 ', {text})", f"concat('フィルターを交換する ', {text})", f"concat('фильтр меняют раз в год ', {text})", f"concat('필터 교체 更换滤芯 ', {text})", f"concat('12 + 3 ', {text})"]
     return f"CASE {n} % {len(kinds)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds)) + " END"
 
 

@@ -48,8 +48,8 @@ def owner_from_path(spark, sf):
 
 @query(d.with_(d.MANIFEST, U) + "SELECT doc_id, filepath FROM manifest WHERE owner_id IN (SELECT user_id FROM users WHERE NOT is_admin)")
 def owned_files(spark, sf):
-    known = d.users(spark).where("NOT is_admin").select(F.col("user_id").alias("owner_id"))
-    return d.manifest(spark, sf).join(F.broadcast(known), "owner_id", "left_semi").select("doc_id", "filepath")
+    known = d.users(spark, sf).where("NOT is_admin").select(F.col("user_id").alias("owner_id"))
+    return d.manifest(spark, sf).join(known, "owner_id", "left_semi").select("doc_id", "filepath")
 
 
 @query(M + "SELECT doc_id, filepath FROM manifest WHERE filepath = '/d/users/u1' OR filepath LIKE '/d/users/u1/%'")
@@ -64,12 +64,12 @@ def files_within(spark, sf):
 )
 def masked_hits(spark, sf):
     hits = d.manifest(spark, sf).where(access.readable(Scope("u1")))
-    return access.masked_hits(hits, "u1", False, d.users(spark)).select("doc_id", "is_mine", "filepath", "owner_id", "owner_name")
+    return access.masked_hits(hits, "u1", False, d.users(spark, sf)).select("doc_id", "is_mine", "filepath", "owner_id", "owner_name")
 
 
 @query(d.with_(d.MANIFEST, U) + "SELECT doc_id, owner_id = 'u0' AS is_mine, filepath, owner_id, username AS owner_name FROM manifest LEFT JOIN users ON owner_id = user_id")
 def masked_hits_admin(spark, sf):
-    return access.masked_hits(d.manifest(spark, sf), "u0", True, d.users(spark)).select("doc_id", "is_mine", "filepath", "owner_id", "owner_name")
+    return access.masked_hits(d.manifest(spark, sf), "u0", True, d.users(spark, sf)).select("doc_id", "is_mine", "filepath", "owner_id", "owner_name")
 
 
 @query(
@@ -113,7 +113,7 @@ def rebuild_manifest(spark, sf):
 )
 def users_with_counts(spark, sf):
     counts = manifest.owner_counts(d.manifest(spark, sf).where("language = 'es' AND owner_id <> 'u2'")).withColumnRenamed("owner_id", "user_id")
-    return d.users(spark).join(F.broadcast(counts), "user_id", "left").select("user_id", "username", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("passages", F.lit(0)).alias("passages"))
+    return d.users(spark, sf).join(counts, "user_id", "left").select("user_id", "username", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
 @query(P + "SELECT count(*) AS passages FROM passages WHERE owner_id = 'src1' OR visibility = 'public'")
@@ -274,7 +274,7 @@ def file_states(spark, sf):
 
 @query(d.with_(U) + "SELECT user_id, username FROM users WHERE is_admin ORDER BY created_on LIMIT 1")
 def first_admin(spark, sf):
-    return d.users(spark).where("is_admin").agg(F.min_by("user_id", "created_on").alias("user_id"), F.min_by("username", "created_on").alias("username"))
+    return d.users(spark, sf).where("is_admin").agg(F.min_by("user_id", "created_on").alias("user_id"), F.min_by("username", "created_on").alias("username"))
 
 
 @query(M + "SELECT count(*) FILTER (WHERE status = 'indexed') AS indexed, CAST(sum(chunks) FILTER (WHERE status = 'indexed') AS BIGINT) AS passages, count(*) FILTER (WHERE status IN ('failed', 'unsupported')) AS troubled FROM manifest")
