@@ -52,8 +52,8 @@ BLOCK_SHINGLES = 120_000
 PIECE_SHINGLES = 250_000
 PIECE_MEMBERS = 1_024
 #: sets of each of the two pieces that meet afterwards: larger, as a set is sent to all pieces but its own
-HALF_SHINGLES = 1_500_000
-HALF_MEMBERS = 8_192
+HALF_SHINGLES = 2_000_000
+HALF_MEMBERS = 10_240
 #: how much less a longer list counts when DivideSkip chooses how many to put aside
 SKIP_WEIGHT = 0.01
 #: the same where lists are merged in an array: above so many entries, so many candidates probed at a time
@@ -373,6 +373,20 @@ def _tied(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
+def _packed(own: np.ndarray) -> bytes:
+    """A sorted set as its gaps: their highest bytes, which are nearly all alike, stand apart from the others and compress well."""
+    gaps = np.diff(own, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return gaps[:, 7].tobytes() + gaps[:, :7].tobytes()
+
+
+def _unpacked(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    n = len(raw) // 8
+    gaps = np.empty((n, 8), np.uint8)
+    gaps[:, 7], gaps[:, :7] = raw[:n], raw[n:].reshape(n, 7)
+    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=U)
+
+
 class Block:
     """T-occurrence join of sets; join() gives the component of each.
 
@@ -521,7 +535,7 @@ def _join_block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         node, root, label = (table[c].to_numpy() for c in ("node", "root", "label"))
         side = np.array(table["side"].to_pylist(), object)
-        sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"].combine_chunks()]
+        sets = [_unpacked(x.as_buffer()) for x in table["shingles"].combine_chunks()]
         pairs: set[tuple[int, int]] = set()
         by = np.lexsort((node, root))
         for own in np.split(by, np.flatnonzero(np.diff(root[by])) + 1):
@@ -617,7 +631,7 @@ def _joined(own: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataF
                             sent.add(tuple(name))
                             same.append(k)
                 kept = [part.column(k).take(pa.array(same, pa.int64())) for k in (1, 3, 4, 5)]
-                yield pa.RecordBatch.from_arrays([kept[0], pa.array([sets[k].tobytes() for k in same], pa.binary()), *kept[1:]], names=["node", "shingles", "root", "label", "blocks"])
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array([_packed(sets[k]) for k in same], pa.binary()), *kept[1:]], names=["node", "shingles", "root", "label", "blocks"])
 
     again = own.join(F.broadcast(dealt) if few else dealt, "doc_id").select("text", "one", "two", "root", "label", "blocks")
     sets = again.mapInArrow(shingled, "node long, shingles binary, root long, label long, blocks array<struct<block:string,side:int>>")
