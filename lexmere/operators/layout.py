@@ -96,10 +96,10 @@ def continuations(regions: DataFrame, body_size: float | str | None = None) -> D
 
 
 def paragraphs(regions: DataFrame, midword: bool = False) -> DataFrame:
-    """(doc, page, paragraph, text): the lines of each paragraph rejoined."""
+    """(doc, page, paragraph, text, trailing_space): the lines of each paragraph rejoined, and whether the last one ends in a space."""
     line = F.struct(F.round("top", 1).alias("t"), "first_left", "order", "text", "trailing_space")
     grouped = continuations(regions).groupBy("doc", "page", "paragraph").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return grouped.select("doc", "page", "paragraph", T.join_wrapped_lines(F.col("lines"), midword).alias("text"))
+    return grouped.select("doc", "page", "paragraph", T.join_wrapped_lines(F.col("lines"), midword).alias("text"), F.coalesce(F.element_at("lines", -1)["trailing_space"], F.lit(False)).alias("trailing_space"))
 
 
 def midword_evidence(lines: DataFrame) -> DataFrame:
@@ -113,10 +113,12 @@ def across_pages(found: DataFrame, midword: bool = False) -> DataFrame:
     """Paragraphs where a word split between two pages is whole again, on the first of them."""
     pages = Window.partitionBy("doc").orderBy("page", "paragraph")
     ends, opens = F.lead("page").over(pages) == F.col("page") + 1, F.lag("page").over(pages) == F.col("page") - 1
-    no_space, mid = F.lit(False), F.lit(midword)
+    mid = F.lit(midword)
+    space = F.col("trailing_space") if "trailing_space" in found.columns else F.lit(False)
+    space_before = F.lag("trailing_space").over(pages) if "trailing_space" in found.columns else F.lit(False)
     head = F.regexp_extract(F.lead("text").over(pages), r"^(\S+)", 1)
     own_head = F.regexp_extract(F.col("text"), r"^(\S+)", 1)
-    gained = F.when(ends, T.join_across_break(F.col("text"), head, no_space, mid))
-    lost = opens & T.join_across_break(F.lag("text").over(pages), own_head, no_space, mid).isNotNull()
+    gained = F.when(ends, T.join_across_break(F.col("text"), head, space, mid))
+    lost = opens & T.join_across_break(F.lag("text").over(pages), own_head, space_before, mid).isNotNull()
     rest = F.regexp_replace(F.col("text"), r"^\S+\s*", "")
     return found.withColumn("text", F.when(F.coalesce(lost, F.lit(False)), rest).otherwise(F.coalesce(gained, F.col("text"))))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import dot
+from ..sources import shared
 from .access import Scope, matching, readable, searchable
 
 #: a pass broadcasts about so many query vectors
@@ -54,8 +55,10 @@ def vector_topk(passages: DataFrame, queries: DataFrame, k: int, filters: dict[s
     A passage is named by document_id and chunk_index.
     """
     allowed = passages.where(searchable() & matching(filters or {}) & readable(scope))
-    blocks = _packed(allowed, ["document_id", "chunk_index"], "embedding", BLOCK)
     passes = max(1, -(-queries.count() // QUERY_ROWS))
+    blocks = _packed(allowed, ["document_id", "chunk_index"], "embedding", BLOCK)
+    if passes > 1:  # packed once, and a table after each pass, so that one broadcast lives at a time
+        blocks = shared.written(blocks, "blocks")
     asked = _packed(queries, ["query_id"], "q", QUERY_BLOCK).withColumnRenamed("matrix", "q_matrix").withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +81,8 @@ def vector_topk(passages: DataFrame, queries: DataFrame, k: int, filters: dict[s
     kinds = [(c, t) for df, names in ((queries, ["query_id"]), (passages, ["document_id", "chunk_index"])) for c in names for t in [df.schema[c].dataType.simpleString()]]
     schema = ", ".join(f"{c} {t}" for c, t in kinds) + ", score double"
     met = [blocks.join(F.broadcast(asked.where(F.col("pass") == n)), "dim").select("document_id", "chunk_index", "matrix", "query_id", "q_matrix").mapInArrow(best, schema) for n in range(passes)]
+    if passes > 1:
+        met = [shared.written(m, "pass") for m in met]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     found = reduce(DataFrame.unionByName, met).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     others = allowed.drop(*[c for c in ("embedding", "query_id", "score", "rank") if c in allowed.columns])

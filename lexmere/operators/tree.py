@@ -109,6 +109,11 @@ def file_order(name: Column | str) -> list[Column]:
     return [F.lower(F.upper(c)), c]
 
 
+def _folded(name: str) -> str:
+    """A name as _clash_key has it."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in name)
+
+
 def create(folders: DataFrame, folder_id: str, parent: str | None, name: str) -> DataFrame:
     """The folders with one more, or a ValueError: depth, number and sibling names are checked."""
     if folders.count() >= MOST_FOLDERS:
@@ -133,7 +138,7 @@ def move(folders: DataFrame, moved: str, to: str | None) -> DataFrame:
     name = folders.where(F.col("folder_id") == moved).first()["name"]
     taken = {r[0] for r in folders.where(F.col("parent_id").eqNullSafe(F.lit(to)) & (F.col("folder_id") != moved)).select(_clash_key(F.col("name"))).collect()}
     free, k = name, 2
-    while free.lower() in taken:
+    while _folded(free) in taken:
         free, k = f"{name} ({k})", k + 1
     own = F.col("folder_id") == moved
     return folders.withColumns({"parent_id": F.when(own, F.lit(to)).otherwise(F.col("parent_id")), "name": F.when(own, F.lit(free)).otherwise(F.col("name"))})
@@ -204,7 +209,7 @@ def adopt(folders: DataFrame, placements: DataFrame, moved: DataFrame, old_tree:
     mine = F.col("tree") == old_tree
     tops = {r[0] for r in folders.where((F.col("tree") == new_tree) & F.col("parent_id").isNull()).select(_clash_key(F.col("name"))).collect()}
     name, k = home_name, 2
-    while "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in name) in tops:
+    while _folded(name) in tops:
         name, k = f"{home_name} ({k})", k + 1
     parent = F.when(mine & F.col("parent_id").isNull(), home_id).otherwise(F.col("parent_id"))
     kept = folders.withColumns({"parent_id": parent, "tree": F.when(mine, new_tree).otherwise(F.col("tree"))})

@@ -13,12 +13,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, owner_for
 from ..operators import manifest as M
-from ..sources import docx
+from ..sources import docx, shared
 from ..sources.files import hashed, is_candidate
 
 BUCKETS = 64
@@ -80,14 +81,16 @@ class Snapshots:
 
     def _publish(self, version: int, files: dict[str, str]) -> None:
         fs, p = self._fs(f"{self.path}/versions/{version}.json")
-        whole, draft = self._fs(f"{self.path}/drafts/{self.spark._jvm.java.util.UUID.randomUUID()}.json")
         fs.mkdirs(p.getParent())
-        out = whole.create(draft, False)
+        try:
+            # created without overwriting: of two writers one gets the name, on any file system
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {version} is there") from None
+            raise
         out.writeBytes(json.dumps(files))
         out.close()
-        # a rename to a name that exists fails, so a version is published whole and once
-        if fs.exists(p) or not fs.rename(draft, p):
-            raise Conflict(f"version {version} is there")
 
     def merge(self, fresh: DataFrame, tries: int = 5) -> int:
         """Publishes the newest version with the fresh rows in place of those of equal keys; after a conflict, once more."""
@@ -109,16 +112,24 @@ class Snapshots:
 RECORD = "document_id string, filename string, filepath string, alt_filepaths array<string>, file_hash string, owner_id string, visibility string, status string, error_message string, title string, pages int"
 
 
-def index_files(files: DataFrame, known: DataFrame, root: str, force: bool = False, extract: Callable[[DataFrame], DataFrame] = docx.extract) -> DataFrame:
-    """RECORD for the files (path, length, content) that a run has to process, one row a document."""
+def named_files(files: DataFrame, root: str) -> DataFrame:
+    """What a run knows of its candidate files (path, length, content) without their content: hash, name, owner, document."""
     owned = hashed(files.where(is_candidate(F.col("path")))).withColumn("owner_id", owner_for(F.col("path"), root)).where("owner_id IS NOT NULL")
-    named = owned.withColumn("document_id", document_id(F.col("owner_id"), F.col("file_hash"))).withColumnRenamed("path", "filepath")
-    fresh = M.pending(named, known, force)
+    return owned.withColumn("document_id", document_id(F.col("owner_id"), F.col("file_hash"))).drop("content")
+
+
+def index_files(files: DataFrame, known: DataFrame, root: str, force: bool = False, extract: Callable[[DataFrame], DataFrame] = docx.extract, named: DataFrame | None = None) -> DataFrame:
+    """RECORD for the files (path, length, content) that a run has to process, one row a document.
+
+    named: named_files() of these, where it is at hand. Content is read again for fresh files alone.
+    """
+    named = named_files(files, root) if named is None else named
+    fresh = M.pending(named.withColumnRenamed("path", "filepath"), known, force)
     paths = M.exact_duplicates(fresh.select("document_id", "filepath"))
     first = fresh.join(paths, ["document_id", "filepath"]).withColumnRenamed("filepath", "path")
-    found = extract(first.select("path", "content")).withColumnRenamed("pages", "page_list")
+    found = extract(files.select("path", "content").join(first.select("path"), "path", "left_semi")).withColumnRenamed("pages", "page_list")
     status = F.when(F.col("status") == "extracted", "indexed").otherwise(F.col("status"))
-    joined = first.drop("content").join(found, "path")
+    joined = first.join(found, "path")
     return joined.select("document_id", "filename", F.col("path").alias("filepath"), "alt_filepaths", "file_hash", "owner_id", F.lit("private").alias("visibility"), status.alias("status"), "error_message", "title", F.size("page_list").alias("pages"))
 
 
@@ -126,22 +137,35 @@ def run_batch(snapshots: Snapshots, files: DataFrame, root: str) -> int:
     """Merges one batch of files into the manifest; returns the version's number."""
     known = snapshots.read()
     names = [c.split()[0] for c in RECORD.split(", ")]
-    fresh = index_files(files, known, root).select(*names)
-    owned = hashed(files.where(is_candidate(F.col("path")))).withColumn("owner_id", owner_for(F.col("path"), root)).where("owner_id IS NOT NULL")
-    found = owned.select(document_id(F.col("owner_id"), F.col("file_hash")).alias("document_id"), F.col("path"))
+    named = shared.written(named_files(files, root), "named")
+    fresh = index_files(files, known, root, named=named).select(*names)
+    found = named.select("document_id", "path")
     # a known document at a new path is not read again: the path joins its record
     moved = M.with_paths(known.where(F.col("status").isin(*M.TERMINAL)), found).select(*names)
     return snapshots.merge(fresh.unionByName(moved))
 
 
-def sweep(snapshots: Snapshots, listing: DataFrame) -> int:
+def sweep(snapshots: Snapshots, listing: DataFrame, tries: int = 5) -> int:
     """Drops from the records the paths that a whole listing (path) of the tree does not have.
 
     A record keeps its first path while it is there; else the next one takes its place,
-    which is how a moved file keeps its document. A record without a path goes.
+    which is how a moved file keeps its document. A record without a path goes. Only the
+    buckets of records that lose a path are written; after a conflict the newest version is swept.
     """
-    base = snapshots.current()
-    return snapshots.commit(M.present(snapshots.read(base), listing), base)
+    there = listing.select("path").distinct()
+    for _ in range(tries):
+        base = snapshots.current()
+        held = snapshots.read(base)
+        paths = F.array_union(F.array("filepath"), F.coalesce("alt_filepaths", F.array().cast("array<string>")))
+        lost = held.select(snapshots._bucket().alias("bucket"), F.explode(paths).alias("path")).join(there, "path", "left_anti")
+        changed = sorted(r[0] for r in lost.select("bucket").distinct().collect())
+        if not changed:
+            return base
+        try:
+            return snapshots.commit(M.present(held.where(snapshots._bucket().isin(changed)), listing), base, changed)
+        except Conflict:
+            continue
+    raise Conflict(f"no version after {tries} tries")
 
 
 def start(spark: SparkSession, root: str, snapshots: Snapshots, checkpoint: str, batch_files: int = 1000):

@@ -234,3 +234,80 @@ def test_evaluation_sets_are_read(spark, tmp_path):
     path.write_text('{"cases": [{"id": "a", "query": "q", "expect": [{"filename": "f.pdf", "page": 3}]}, {"id": "b", "query": "r", "expect": []}]}')
     got = sources.eval_cases(spark, str(path)).orderBy("id").collect()
     assert [r.id for r in got] == ["a", "b"] and got[0].expect[0].page == 3
+
+
+def test_tree_walk_of_several_roots(spark, tmp_path):
+    from lexmere.sources import walk
+
+    for name in ("a/x.pdf", "a/sub/y.docx", "a/sub/deep/z.pdf", "a/users/u1/mine.pdf", "b/x.pdf", "b/.hidden.pdf", "b/note.txt", "a/__MACOSX/m.pdf"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    every = [r.path for r in walk.walk(spark, [b, a, f"{a}/sub", str(tmp_path / "none")]).collect()]
+    assert every == sorted(every) and len(every) == 8 and len(set(every)) == 8
+    got = walk.library(spark, [a, b], f"{a}/users").collect()
+    assert [r.path.removeprefix(f"{tmp_path}/") for r in got] == ["a/sub/deep/z.pdf", "a/sub/y.docx", "a/x.pdf", "b/x.pdf"]
+    assert got[0].length == len("a/sub/deep/z.pdf") and got[0].modified_at is not None
+    assert walk.walk(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_tree_walk_prunes_by_a_filter(spark, tmp_path):
+    from pyspark.sql.datasource import Not, StringStartsWith
+
+    from lexmere.sources import walk
+
+    for name in ("a/x.pdf", "a/users/u1/mine.pdf", "a/users2/y.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    reader = walk.Walk({"roots": str(tmp_path)})
+    assert list(reader.pushFilters([Not(StringStartsWith(("path",), f"{tmp_path}/a/users/"))])) == []
+    found = [p for part in reader.partitions() for p, *_ in reader.read(part)]
+    assert sorted(x.removeprefix(f"{tmp_path}/") for x in found) == ["a/users2/y.pdf", "a/x.pdf"]
+    assert not any("/users/" in part.path for part in reader.partitions())
+    got = walk.walk(spark, [str(tmp_path)]).where(~F.startswith(F.col("path"), F.lit(f"{tmp_path}/a/users/")))
+    assert got.count() == 2
+
+
+def test_moved_folders_keep_names_apart(spark):
+    from lexmere.operators import tree
+
+    rows = [("1", None, "top"), ("2", "1", "É"), ("3", None, "É"), ("4", None, "é"), ("5", "1", "abc"), ("6", None, "ABC")]
+    folders = spark.createDataFrame(rows, "folder_id string, parent_id string, name string")
+    name = lambda moved: tree.move(folders, moved, "1").where(F.col("folder_id") == moved).first()["name"]
+    assert [name("3"), name("4"), name("6")] == ["É (2)", "é", "ABC (2)"]
+
+
+def test_of_two_writers_one_gets_the_version(spark, tmp_path):
+    from lexmere.streaming.indexing import Conflict, Snapshots, sweep
+
+    kind = "document_id string, filepath string, alt_filepaths array<string>"
+    table = Snapshots(spark, str(tmp_path / "t"), kind, buckets=4)
+    rows = spark.createDataFrame([(f"d{k}", f"/p{k}", ["/q"] if k == 1 else None) for k in range(12)], kind)
+    table.commit(rows, 0)
+    with pytest.raises(Conflict):
+        table.commit(rows.limit(1), 0)
+    listing = rows.where("document_id <> 'd1' AND document_id <> 'd2'").selectExpr("filepath AS path").unionByName(spark.createDataFrame([("/q",)], "path string"))
+    assert sweep(table, listing) == 2 and table.read().count() == 11
+    assert table.read().where("document_id = 'd1'").first()["filepath"] == "/q"
+    before, after = table._files(1), table._files(2)
+    assert 0 < sum(before[b] != after.get(b) for b in before) <= 2
+    assert sweep(table, listing) == 2  # nothing to do, no new version
+
+
+def test_a_space_before_a_page_break_keeps_words_apart(spark):
+    kind = "doc string, page int, paragraph int, text string, trailing_space boolean"
+    rows = [("a", 1, 1, "필터를 교", True), ("a", 2, 1, "체합니다 다음", False), ("b", 1, 1, "필터를 교", False), ("b", 2, 1, "체합니다 다음", False)]
+    got = {(r.doc, r.page): r.text for r in layout.across_pages(spark.createDataFrame(rows, kind), midword=True).collect()}
+    assert got["b", 1] == "필터를 교체합니다" and got["a", 1] == "필터를 교"
+
+
+def test_many_queries_come_in_passes(spark, monkeypatch):
+    passages = _passages(spark)
+    queries = passages.where("chunk_index % 5 = 0 AND embedding IS NOT NULL").select(F.xxhash64("document_id", "chunk_index").alias("query_id"), F.col("embedding").alias("q"))
+    columns = ["query_id", "rank", "document_id", "chunk_index", "score"]
+    one = sorted(map(tuple, search.vector_topk(passages, queries, 4).select(columns).collect()))
+    monkeypatch.setattr(search, "QUERY_ROWS", 9)
+    found = search.vector_topk(passages, queries, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # the passes stand in tables
+    assert sorted(map(tuple, found.select(columns).collect())) == one
