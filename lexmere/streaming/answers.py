@@ -8,11 +8,14 @@ after the last token.
 """
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
+
 OUT = "ask_id string, seq long, name string, text string"
 STATE = "held string, open boolean, attempt int, thinking string, done boolean"
 #: fixed values: where a first sentence ends, and between how many characters it is judged
@@ -21,29 +24,42 @@ LEAST_HELD, MOST_HELD = 12, 120
 IDLE_MS = 3_600_000
 
 
+_HANGUL, _KANA, _HAN, _LATIN, _WORD = (re.compile(x) for x in (f"[{T.HANGUL_ALL}]", f"[{T.KANA}]", f"[{T.HAN}]", "[A-Za-zÀ-ɏ]", T.LATIN_WORD))
+
+
+def _scripts(text: str) -> tuple[int, int]:
+    """How many characters only traditional, and only simplified, Chinese has."""
+    return sum(c in T.TRADITIONAL for c in text), sum(c in T.SIMPLIFIED for c in text)
+
+
 def language_of(text: str) -> str | None:
-    """The answer's language by script, as functions.text.question_language has it."""
-    hangul, kana = len(re.findall("[가-힯ᄀ-ᇿ㄰-㆏]", text)), len(re.findall("[぀-ヿㇰ-ㇿ]", text))
+    """A text's language by script, as functions.text.question_language has it, with the same tables."""
+    hangul, kana, han = (len(x.findall(text)) for x in (_HANGUL, _KANA, _HAN))
     if hangul and hangul >= kana:
         return "ko"
     if kana:
         return "other"
-    han, words = len(re.findall("[一-鿿㐀-䶿豈-﫿]", text)), re.findall("[A-Za-zÀ-ɏ]+", text)
-    letters = sum(map(len, words))
-    other = sum(map(str.isalpha, text)) - han - letters
+    words, letters = len(_WORD.findall(text)), len(_LATIN.findall(text))
+    other = sum(unicodedata.category(c)[0] == "L" for c in text) - han - letters
     if other > han + letters:
         return "other"
-    return "zh" if han and han >= len(words) else "en" if words else "other" if other else None
+    if han and han >= words:
+        traditional, simplified = _scripts(text)
+        return "zh-Hant" if traditional > simplified else "zh-Hans"
+    return "en" if words else "other" if other else None
 
 
 def passes(text: str, language: str) -> bool:
-    """Whether a first sentence counts as written in a language, as functions.text.is_in_language has it but for Chinese scripts."""
-    found, want = language_of(text), language.split("-")[0]
-    if found is None or found == want:
+    """Whether a first sentence counts as written in a language, as functions.text.is_in_language has it."""
+    found = language_of(text)
+    if found is None or found == language:
         return True
-    if want == "en" and found == "zh":
-        return len(re.findall("[一-鿿㐀-䶿豈-﫿]", text)) <= len(re.findall("[A-Za-zÀ-ɏ]", text))
-    return False
+    if language == "en":
+        return found not in ("ko", "other") and len(_HAN.findall(text)) <= len(_LATIN.findall(text))
+    if language == "ko" or not found.startswith("zh"):
+        return False
+    traditional, simplified = _scripts(text)
+    return not (traditional >= 3 and simplified == 0) if language == "zh-Hans" else not (simplified >= 3 and traditional == 0)
 
 
 def ready(held: str) -> bool:

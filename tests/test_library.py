@@ -311,3 +311,14 @@ def test_many_queries_come_in_passes(spark, monkeypatch):
     found = search.vector_topk(passages, queries, 4)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # the passes stand in tables
     assert sorted(map(tuple, found.select(columns).collect())) == one
+
+
+def test_streamed_languages_are_those_of_the_functions(spark):
+    from lexmere.functions import text as T
+    from lexmere.streaming import answers
+
+    texts = ["필터 교체", "필터 濾芯 カ", "カタカナ", "更换滤芯这个们来时", "更換濾芯這個們來時", "這個們 plain words here and more", "plain English", "привет мир", "12 + 3", "", "é ü", "更换 a b c", "濾芯", "中文 ab", "ʻokina ɐ"]
+    rows = spark.createDataFrame([(t, w) for t in texts for w in ("en", "ko", "zh-Hans", "zh-Hant")], "t string, want string")
+    got = rows.select("t", "want", T.question_language(F.col("t")).alias("found"), T.is_in_language(F.col("t"), F.col("want")).alias("passes")).collect()
+    for r in got:
+        assert (answers.language_of(r.t), answers.passes(r.t, r.want)) == (r.found, r.passes), (r.t, r.want)
