@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
@@ -87,7 +87,6 @@ def build(passages: DataFrame, lists: int = LISTS, path: str | None = None) -> I
         parts = sums.select("list", "n", F.posexplode("total").alias("at", "x")).groupBy("list", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         for list_, at, x, n in parts.collect():  # at most lists x dimension rows
             centroids[list_, at] = x / n
-    width = len(own.columns)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +101,10 @@ def build(passages: DataFrame, lists: int = LISTS, path: str | None = None) -> I
     radius, size = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
     for list_, far, n in rows.groupBy("list").agg(F.max("distance"), F.count("*")).collect():
         radius[list_], size[list_] = far, n
-    assert width + 2 == len(rows.columns)
     return Index(rows.drop("distance"), centroids, radius, size)
 
 
-def _scored(index: Index, wanted: dict[int, np.ndarray], ids: list, q: np.ndarray, allowed: DataFrame, k: int, digits: int, id_type: str) -> DataFrame:
+def _scored(index: Index, wanted: dict[int, np.ndarray], ids: list, q: np.ndarray, allowed: DataFrame, k: int, digits: int) -> DataFrame:
     """(query_id, document_id, chunk_index, score): each query's k best of a batch, in the lists that it wants."""
     dimension = q.shape[1]
     names = ["query_id", "document_id", "chunk_index", "score"]
@@ -129,7 +127,7 @@ def _scored(index: Index, wanted: dict[int, np.ndarray], ids: list, q: np.ndarra
 
     kinds = dict(allowed.dtypes)
     scan = allowed.where(F.col("list").isin(sorted(wanted))).select("document_id", "chunk_index", "embedding", "list")
-    found = scan.mapInArrow(run, f"query_id {id_type}, document_id {kinds['document_id']}, chunk_index {kinds['chunk_index']}, score double")
+    found = scan.mapInArrow(run, f"query_id long, document_id {kinds['document_id']}, chunk_index {kinds['chunk_index']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
@@ -145,7 +143,7 @@ def search(index: Index, queries: DataFrame, k: int, filters: dict[str, str | No
     Equal to a scan: scores are rounded, ties go by document and index. Queries come in
     passes of QUERY_ROWS, with a table after each.
     """
-    spark: SparkSession = queries.sparkSession
+    spark = queries.sparkSession
     allowed = index.rows.where(searchable() & matching(filters or {}) & readable(scope))
     own = queries.where("query_id IS NOT NULL AND q IS NOT NULL").where(F.size("q") == index.centroids.shape[1])
     passes = max(1, -(-own.count() // QUERY_ROWS))
@@ -162,12 +160,12 @@ def search(index: Index, queries: DataFrame, k: int, filters: dict[str, str | No
         first = np.argsort(-bound, axis=1, kind="stable")[:, :PROBES]
         np.put_along_axis(probed, first, True, 1)
         probed &= np.isfinite(bound)
-        one = shared.written(_scored(index, _wanted(probed), ids, q, allowed, k, digits, "long"), "probed")
+        one = shared.written(_scored(index, _wanted(probed), ids, q, allowed, k, digits), "probed")
         least = {r[0]: r[1] for r in one.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # a row a query of the pass
         needed = ~probed & (bound >= np.array([least.get(i, -np.inf) for i in ids])[:, None]) & np.isfinite(bound)
         results.append(one)
         if needed.any():
-            results.append(shared.written(_scored(index, _wanted(needed), ids, q, allowed, k, digits, "long"), "needed"))
+            results.append(shared.written(_scored(index, _wanted(needed), ids, q, allowed, k, digits), "needed"))
         read = probed | needed
         reads.append(spark.createDataFrame([(i, len(index.size), int(r.sum()), int(index.size[r].sum())) for i, r in zip(ids, read)], "query_id long, lists int, lists_read int, rows_read long"))
     if not results:
