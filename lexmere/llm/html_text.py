@@ -57,6 +57,8 @@ NOISE = frozenset(
 )
 #: names that say so outside an article, and nothing alone within one
 OUTSIDE = frozenset("rail register login reply replies overlay notice notices skip".split())
+#: names that an article's subject may have: a short part of it stays with them unless it holds links
+SUBJECTS = OUTSIDE | frozenset("alert widget widgets subscription discussion response responses promotion promoted".split())
 #: names that such a part may have, and a part of the article too
 DOUBTFUL = frozenset("alert banner promo promotion promoted widget widgets share sharing social related recommended recommendations tags subscription discussion response responses".split())
 FORMS = frozenset("form fieldset".split())
@@ -110,7 +112,7 @@ class Page:
         self.by_name = by_name
         self.tag, self.parent, self.weight = ["#"], [-1], [0.0]
         self.doubtful: list[int] = []
-        self.in_article: dict[int, bool] = {}
+        self.mild: dict[int, bool] = {}
         self.forms: list[int] = []
         #: (block element around it, text, characters of it in links)
         self.blocks: list[tuple[int, str, int]] = []
@@ -219,7 +221,7 @@ class Page:
                         self.weight[node] = 15.0
                     if self.by_name and names & (DOUBTFUL | OUTSIDE) and tag not in KEPT_WHOLE and tag not in HEADING:
                         self.doubtful.append(node)
-                        self.in_article[node] = in_article
+                        self.mild[node] = in_article and not names & (DOUBTFUL - SUBJECTS)
             open_at.setdefault(tag, []).append(len(stack))
             if block:
                 block_at.append(len(stack))
@@ -262,13 +264,13 @@ class Page:
         return tuple(self._summed(x) for x in (chars, linked, count, plain))
 
     def _drop_parts(self) -> None:
-        """Leaves out the blocks of forms and doubtful parts that are no article: of much in links, or short and with links or outside an article."""
+        """Leaves out the blocks of forms and doubtful parts that are no article: of much in links, or short, but for those of an article that only have a subject's name and no links."""
         if not self.blocks or not (self.forms or self.doubtful):
             return
         chars, linked, _, _ = self._measures()
         every = sum(len(t) for _, t, _ in self.blocks)
         gone = {k for k in self.forms if 2 * chars[k] < every}
-        gone |= {k for k in self.doubtful if 2 * chars[k] < every and (linked[k] > MOST_LINKED * chars[k] or chars[k] < LEAST_PART and (linked[k] > 0 or not self.in_article[k]))}
+        gone |= {k for k in self.doubtful if 2 * chars[k] < every and (linked[k] > MOST_LINKED * chars[k] or chars[k] < LEAST_PART and (linked[k] > 0 or not self.mild[k]))}
         if gone:
             inside = self._within(gone)
             self.blocks = [b for b in self.blocks if not inside[b[0]]]
