@@ -5,7 +5,8 @@ what can still count: a session is one row of state, a throttle keeps its times
 of the window, so an event touches the buckets at the window's edges and no more. A timer
 in event time ends both.
 
-Rows of one key and one moment are counted together if they come in one batch; a row that is
+A batch's rows of a key are put in order in memory: the source's trigger limits (files or
+offsets a batch) bound them, whatever a key's share. Rows of one key and one moment are counted together if they come in one batch; a row that is
 later than the watermark is dropped, as in every stream.
 """
 
