@@ -10,10 +10,11 @@ taken out of the model it was counted in. The score is the mean over its words o
 the target model's loss less the background model's: the lower, the more it reads
 like the target.
 
-Words become ids of a chunk's own list of words, written once. A chunk sends its
-distinct words, and then its distinct bigrams, with their counts, packed, to ranges;
-a range adds them up over all chunks and sends every chunk the sums of its own, from
-which the chunk takes the losses. What travels grows with the text and is never at
+A task's texts make chunks of a bounded size; words become ids of a chunk's own list of
+words, written once. A chunk sends its distinct words, and then its distinct bigrams,
+with their counts, packed, to ranges; a range adds them up over all chunks and sends
+every chunk the sums of its own, from which the chunk takes the losses. What travels
+grows with the text, less than in proportion while chunks are small, and is never at
 one place; only the numbers of words reach the driver. Words and bigrams are told
 apart by 64 hash bits.
 
@@ -41,7 +42,8 @@ from .textscan import ALNUM, mix, scan, slices
 #: stands before a document's first word; no word has this hash
 OPEN = np.uint64(0)
 MIXTURE = 0.7
-CHUNK_BYTES = 8 << 20
+#: a task's texts are scanned in slices of a quarter of this, which make chunks; a longer text is one by itself
+CHUNK_BYTES = 32 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,22 +61,35 @@ def _unpacked(blob, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, docs, words, ids): up to CHUNK_BYTES of documents as ids; docs holds each one's id, presence, target mark and words, words the sorted hashes that ids count, OPEN first."""
+def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, docs, words, ids): up to chunk_bytes of a task's documents as ids; docs holds each one's id, presence, target mark and words, words the sorted hashes that ids count, OPEN first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal at, size
+            words = np.unique(np.concatenate([w for _, w, _ in held]))
+            ids = np.concatenate([np.searchsorted(words, w).astype("<u4")[i] for _, w, i in held])
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate([h for h, _, _ in held]), words.astype("<u8"), ids)]
+            held.clear()
+            at, size = at + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), *blobs], names=["chunk", "docs", "words", "ids"])
+
         for batch in batches:
-            for own in slices(batch, "text", CHUNK_BYTES):
+            for own in slices(batch, "text", max(1, chunk_bytes // 4)):
                 w = scan(own.column(1), ALNUM)
+                if held and size + len(w.buf) > chunk_bytes:
+                    yield chunk()
                 words, ids = np.unique(np.concatenate([[OPEN], np.maximum(w.hash, OPEN + np.uint64(1))]), return_inverse=True)
                 present = np.asarray(own.column(0).is_valid())
                 name = np.asarray(own.column(0).fill_null(0))
                 target = np.asarray(own.column(2))
-                head = np.stack([name, present, target, np.diff(w.first())], 1).astype("<i8")
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (head, words.astype("<u8"), ids[1:].astype("<u4"))]
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), *blobs], names=["chunk", "docs", "words", "ids"])
-                at += 1
+                held.append((np.stack([name, present, target, np.diff(w.first())], 1).astype("<i8"), words, ids[1:].astype("<u4")))
+                size += len(w.buf)
+        if held:
+            yield chunk()
 
     return scratch.table(docs.mapInArrow(run, "chunk long, docs binary, words binary, ids binary"), "chunks")
 
@@ -141,7 +156,7 @@ def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: np.nda
     return -np.log(np.where(context > 0, MIXTURE * pair / np.maximum(context, 1) + (1 - MIXTURE) * flat, flat))
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, is_target, score. targets: a column of ids named id_col."""
     own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
     ranges = max(8, own.rdd.getNumPartitions())
@@ -149,7 +164,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     names = scratch.table(names, "targets")
     if names.count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
-    chunks = _chunks(own.join(names, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
+    chunks = _chunks(own.join(names, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), chunk_bytes)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

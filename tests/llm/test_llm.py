@@ -533,6 +533,17 @@ def test_cross_entropy_difference_of_many_words(spark):
     assert np.allclose([r.score for r in got], [s for _, _, s in differences(rows, target)], atol=1e-9)
 
 
+@pytest.mark.parametrize("chunk_bytes", [1, 20_000])
+def test_cross_entropy_difference_however_texts_are_cut_in_chunks(spark, docs, texts, chunk_bytes):
+    """A chunk a text, and chunks of several slices, give what one chunk a task gives."""
+    names = {r.doc_id for r in docs.where("doc_id % 3 = 0").collect()}
+    rows = [(d, ALNUM.findall(low(t))) for d, t in texts]
+    want = sorted((d or 0, n, s) for d, n, s in differences(rows, names))
+    found = lm_score.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0").select("doc_id"), chunk_bytes=chunk_bytes)
+    got = sorted((r.doc_id or 0, r.n_words, r.score) for r in found.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+
+
 def test_a_copy_tells_a_document_from_one_that_stands_alone(spark):
     """What a document shares with others counts for it, its own words do not."""
     rng = np.random.default_rng(3)
