@@ -21,6 +21,7 @@ ZERO_WIDTH = r"​-‏⁠﻿­"
 INLINE_SPACE = r" \t   -   　"
 TERMINATORS = r"。！？；…．"
 HYPHENS = r"\-‐‑"
+HYPHENATED = rf"[\p{{L}}\p{{N}}][{HYPHENS}]"
 SENTENCE_CUT = rf"(?<=[{TERMINATORS}])\s*|(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9{HAN}{HANGUL}])|\n+"
 CLOSING = r".,;:!?%)\]}」』》〉）］｝。，、；：！？"
 # fixed values: characters of one Chinese script only, traditional then simplified
@@ -84,22 +85,27 @@ def join_sentences(parts: Column) -> Column:
 
 def join_across_break(left: Column, right: Column, trailing_space: Column, midword: Column) -> Column:
     """Both sides joined where the break is surely inside a word; null otherwise."""
-    a, b = F.regexp_replace(left, r"(?U)\s+$", ""), F.regexp_replace(right, r"(?U)^\s+", "")
+    return _across(F.regexp_replace(left, r"(?U)\s+$", ""), F.regexp_replace(right, r"(?U)^\s+", ""), trailing_space, midword, F.lit(False))
+
+
+def _across(a: Column, b: Column, trailing_space: Column, midword: Column, hyphenated: Column) -> Column:
+    """The same of sides without white space at the break. hyphenated: whether a's last word has a hyphen that a no longer shows."""
     glued, shortened = F.concat(a, b), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)
+    compound = a.rlike(rf"{HYPHENATED}$") & (hyphenated | a.rlike(rf"(?U){HYPHENATED}\S*{HYPHENATED}$"))
     return (
         F.when((a == "") | (b == ""), F.lit(None).cast("string"))
         .when(a.endswith("­"), shortened)
-        .when(a.rlike(rf"(?U)[\p{{L}}\p{{N}}][{HYPHENS}]\S*[\p{{L}}\p{{N}}][{HYPHENS}]$") & b.rlike(r"^[\p{L}\p{N}]"), glued)
+        .when(compound & b.rlike(r"^[\p{L}\p{N}]"), glued)
         .when(a.rlike(rf"\p{{L}}[{HYPHENS}]$") & b.rlike(r"^\p{Ll}"), shortened)
         .when(midword & ~trailing_space & a.rlike(f"[{HANGUL}]$") & b.rlike(f"^[{HANGUL}]"), glued)
     )
 
 
-def join_pair(left: Column, right: Column, trailing_space: Column, midword: Column) -> Column:
-    """Two lines of a paragraph as running text."""
+def _pair(left: Column, right: Column, trailing_space: Column, midword: Column, hyphenated: Column) -> Column:
+    """Two lines of a paragraph, without white space at their ends, as running text."""
     glued = F.concat(left, right)
     return F.coalesce(
-        join_across_break(left, right, trailing_space, midword),
+        _across(left, right, trailing_space, midword, hyphenated),
         F.when(left.rlike(rf"[\p{{L}}\p{{N}}][{HYPHENS}]$") & right.rlike(r"^[\p{Lu}\p{Nd}]"), glued)
         .when(left.rlike(f"[{WIDE}]$") & right.rlike(f"^[{WIDE}]"), glued)
         .when(right.rlike(f"^[{CLOSING}]"), glued)
@@ -107,16 +113,36 @@ def join_pair(left: Column, right: Column, trailing_space: Column, midword: Colu
     )
 
 
+#: of a longer last word only its end is held while lines are joined
+HELD_WORD, HELD_END = 40, 8
+
+
 def join_wrapped_lines(lines: Column, midword: bool = False) -> Column:
-    """One paragraph of an array of lines (text, trailing_space)."""
+    """One paragraph of an array of lines (text, trailing_space).
+
+    A fold that holds the last word so far, of a very long one its end and whether a hyphen
+    stands before that: each line is read once, however long the paragraph.
+    """
     kept = F.filter(F.transform(lines, lambda x: F.struct(strip(x["text"]).alias("text"), x["trailing_space"].alias("trailing_space"))), lambda x: x["text"] != "")
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("space"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("word"), F.lit(False).alias("hyphenated"), F.lit(False).alias("space"))
+
+    def joined(acc: Column, line: Column) -> Column:
+        return F.when(acc["word"] == "", line["text"]).otherwise(_pair(acc["word"], line["text"], acc["space"], F.lit(midword), acc["hyphenated"]))
+
+    def cut(acc: Column, line: Column, text: Column) -> Column:
+        word = F.regexp_extract(text, r"(?U)(\S*)$", 1)
+        word = F.when(F.length(word) > HELD_WORD, F.right(word, F.lit(HELD_END))).otherwise(word)
+        let_go = F.substring(text, F.lit(1), F.length(text) - F.length(word))
+        # a hyphen counts for the last word alone: with white space let go, only what stands behind that is of it
+        same = F.regexp_extract(F.substring(text, F.lit(1), F.length(let_go) + 1), r"(?U)(\S*)$", 1)
+        before = acc["hyphenated"] & ~text.rlike(r"(?U)\s")
+        return F.struct(F.concat(acc["done"], F.array(let_go)).alias("done"), word.alias("word"), (before | same.rlike(HYPHENATED)).alias("hyphenated"), line["trailing_space"].alias("space"))
 
     def step(acc: Column, line: Column) -> Column:
-        text = F.when(acc["text"] == "", line["text"]).otherwise(join_pair(acc["text"], line["text"], acc["space"], F.lit(midword)))
-        return F.struct(text.alias("text"), line["trailing_space"].alias("space"))
+        # the joined text is named once, as a one-element array, so that it is computed once
+        return F.element_at(F.transform(F.array(joined(acc, line)), lambda text: cut(acc, line, text)), 1)
 
-    return F.aggregate(kept, start, step, lambda a: a["text"])
+    return F.aggregate(kept, start, step, lambda a: F.concat(F.array_join(a["done"], ""), a["word"]))
 
 
 def document_language(c: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 VISITOR = "-"
 MODES = ("all", "mine", "public")
 
@@ -112,6 +114,14 @@ def check_search(query: str, top_k: int | None, default: int = 10, most: int = 1
     return text, min(top_k or default, most)
 
 
+def checked_search(query: Column, top_k: Column, default: int = 10, most: int = 100) -> Column:
+    """A table's search requests, (query, top_k, error): what check_search returns, or which part it refuses."""
+    text = T.strip(query)
+    error = F.when((F.coalesce(text, F.lit("")) == "") | (F.length(query) > 2000), "query").when(top_k < 1, "top_k")
+    count = F.least(F.coalesce(top_k, F.lit(default)), F.lit(most))
+    return F.struct(F.when(error.isNull(), text).alias("query"), F.when(error.isNull(), count).alias("top_k"), error.alias("error"))
+
+
 def published(documents: DataFrame, publishers: DataFrame, users: DataFrame) -> DataFrame:
     """Documents with who made them public and both names; null where there is no such user any more."""
     names = users.select("user_id", "username")
