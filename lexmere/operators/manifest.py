@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import LIBRARY, document_id, within
+from ..sources import shared
 
 TERMINAL = ("indexed", "unsupported")
 
@@ -292,3 +293,19 @@ def settings(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
 def by_locale(column: str, collation: str = "UNICODE_CI") -> list[Column]:
     """Order as a reader's language has it, case aside; equal names by code point."""
     return [F.collate(F.col(column), collation), F.col(column)]
+
+
+def numbered(rows: DataFrame, *order: Column | str, into: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in one order of them all; rows of equal keys in no fixed order.
+
+    Ranges of the keys are sorted and numbered each in a task of its own; a table of how many rows each
+    range has, one row a range, gives what stands before it. No task sees all rows.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # written once: a second reading must not cut other ranges
+    kept = shared.written(placed, "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + inside).drop("_range", "_at", "_before")

@@ -71,13 +71,12 @@ def collection_status(spark, sf):
 _WORDS = "w AS (SELECT DISTINCT regexp_extract(text, '^[^\\s.,;:!?|#$%&*()0-9]+') AS word FROM documents WHERE text IS NOT NULL)"
 
 
-@query(d.with_(_WORDS) + "SELECT word, row_number() OVER (ORDER BY word COLLATE de.NOCASE, word) AS place FROM w WHERE length(word) >= 2 AND regexp_matches(word, '^[A-Za-z]+$') QUALIFY place <= 200")
+@query(d.with_(_WORDS) + "SELECT word, row_number() OVER (ORDER BY word COLLATE de.NOCASE, word) AS place FROM w WHERE length(word) >= 2 AND regexp_matches(word, '^[A-Za-z]+$')")
 def names_by_locale(spark, sf):
-    """The first names in a reader's order, upper and lower case alike; ties by code point."""
+    """Names in a reader's order, upper and lower case alike; ties by code point."""
     word = F.regexp_extract("text", r"^[^\s.,;:!?|#$%&*()0-9]+", 0).alias("word")
     w = table(spark, sf, "documents").where("text IS NOT NULL").select(word).distinct().where("length(word) >= 2 AND word RLIKE '^[A-Za-z]+$'")
-    first = w.orderBy(*manifest.by_locale("word")).limit(200)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*manifest.by_locale("word"))).cast("long"))
+    return manifest.numbered(w, *manifest.by_locale("word"))
 
 
 # regions of a page for each order: its lines, one below the other, more or less near
@@ -178,11 +177,11 @@ def user_deletion(spark, sf):
 
 @query(
     d.with_(d.MANIFEST, _U)
-    + """SELECT chunk.doc_id, n FROM (SELECT doc_id, unnest(range(1, chunks + 1)) AS n FROM manifest WHERE owner_id <> 'u2' AND doc_id % 10 = 3) chunk"""
+    + """SELECT chunk.doc_id, n FROM (SELECT doc_id, unnest(range(1, chunks + 1)) AS n FROM manifest WHERE owner_id <> 'u2') chunk"""
 )
 def user_deletion_passages(spark, sf):
-    """The passages that stay, of documents whose id ends in 3."""
-    m = d.manifest(spark, sf).where("doc_id % 10 = 3")
+    """The passages that stay."""
+    m = d.manifest(spark, sf)
     passages = m.select("doc_id", "owner_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks").cast("long"))).alias("n"))
     return manifest.without_user("u2", d.users(spark, sf), m, passages, m)[0]["passages"].select("doc_id", "n")
 

@@ -288,10 +288,9 @@ def name_filter(spark, sf):
     return d.manifest(spark, sf).where(F.lower("filename").contains("12") & (F.col("status") != "indexed")).select("doc_id", "filename")
 
 
-@query(M + "SELECT doc_id, filename, row_number() OVER (ORDER BY filename, doc_id) AS place FROM manifest QUALIFY place <= 50")
+@query(M + "SELECT doc_id, filename, row_number() OVER (ORDER BY filename, doc_id) AS place FROM manifest")
 def documents_sorted(spark, sf):
-    top = d.manifest(spark, sf).select("doc_id", "filename").orderBy("filename", "doc_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("filename", "doc_id")).cast("long"))
+    return manifest.numbered(d.manifest(spark, sf).select("doc_id", "filename"), "filename", "doc_id")
 
 
 @query(M + "SELECT owner_id, count(*) AS documents, CAST(sum(chunks) AS BIGINT) AS passages FROM manifest WHERE owner_id = 'u2' GROUP BY owner_id")

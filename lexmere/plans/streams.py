@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import temporal
-from ..streaming import progress, stateful
+from ..sources import shared
+from ..streaming import indexing, progress, stateful
 from . import derived as d
 from .catalog import ORACLE_SQL, query, table
 
@@ -95,3 +96,22 @@ def answers_in_time(spark, sf):
     """Requests are answered up to six hours late; an answer that a later request's overtook is dropped."""
     e = table(spark, sf, "events").withColumn("arrived", F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 7 * 3_600_000_000)
     return temporal.not_overtaken(e, "user_id", "event_id", "arrived").select("user_id", "event_id")
+
+
+_KINDS = {"documents": ("document_id string, doc_id long, owner_id string, chunks int", "document_id"), "passages": ("passage_id string, document_id string, owner_id string", "passage_id")}
+
+
+@query(
+    d.with_(d.MANIFEST)
+    + """SELECT 'documents' AS "table", version, owner_id, count(*) AS rows FROM manifest, (VALUES (1), (2)) v(version) WHERE version = 1 OR owner_id <> 'u1' GROUP BY version, owner_id
+    UNION ALL SELECT 'passages', version, owner_id, CAST(sum(chunks) AS BIGINT) FROM manifest, (VALUES (1), (2)) v(version) WHERE version = 1 OR owner_id <> 'u1' GROUP BY version, owner_id"""
+)
+def stored_deletion(spark, sf):
+    """A stored library of two tables before and after an owner's rows leave both in one version."""
+    m = d.manifest(spark, sf).select("document_id", "doc_id", "owner_id", "chunks")
+    passages = m.select("document_id", "doc_id", "owner_id", F.explode(F.sequence(F.lit(1), F.col("chunks"))).alias("n")).select(F.concat_ws(":", "document_id", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("passage_id"), "document_id", "owner_id")
+    library = indexing.Library(spark, shared.fresh(spark, "library"), _KINDS, buckets=8)
+    library.change(lambda _: {"documents": m, "passages": passages})
+    library.change(lambda held: {name: rows.where("owner_id <> 'u1'") for name, rows in held.items()})
+    parts = [library.read(name, v).groupBy("owner_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.lit(v).alias("version"), "owner_id", "rows") for name in _KINDS for v in (1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -53,8 +53,10 @@ class Snapshots:
             return {}
         return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/versions/{version}.json").collect()))
 
-    def read(self, version: int | None = None) -> DataFrame:
-        folders = sorted(self._files(self.current() if version is None else version).values())
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A version's rows, the newest one's where none is named; of some buckets alone no other files are opened."""
+        files = self._files(self.current() if version is None else version)
+        folders = sorted(files.values() if buckets is None else {files[str(b)] for b in buckets if str(b) in files})
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
@@ -65,6 +67,11 @@ class Snapshots:
     def commit(self, table: DataFrame, base: int | None = None, changed: list[int] | None = None) -> int:
         """Publishes table as the next version after `base`; only the buckets in `changed` are written, where they are named."""
         base = self.current() if base is None else base
+        self._publish(base + 1, self.written(table, base, changed))
+        return base + 1
+
+    def written(self, table: DataFrame, base: int, changed: list[int] | None = None) -> dict[str, str]:
+        """The folders of the buckets of version `base` with table's rows in place of all of them, or of those in `changed`; published nowhere."""
         files = self._files(base)
         which = list(range(self.buckets)) if changed is None else changed
         made = f"data/{base + 1}-{self.spark._jvm.java.util.UUID.randomUUID()}"
@@ -76,8 +83,7 @@ class Snapshots:
             files.pop(str(b), None)
             if f"bucket={b}" in written:
                 files[str(b)] = f"{made}/bucket={b}"
-        self._publish(base + 1, files)
-        return base + 1
+        return files
 
     def _publish(self, version: int, files: dict[str, str]) -> None:
         fs, p = self._fs(f"{self.path}/versions/{version}.json")
@@ -99,7 +105,7 @@ class Snapshots:
             changed = sorted(r[0] for r in fresh.select(self._bucket()).distinct().collect())
             for _ in range(tries):
                 base = self.current()
-                held = self.read(base).where(self._bucket().isin(changed))
+                held = self.read(base, changed)
                 try:
                     return self.commit(M.upsert(held, fresh.select(*held.columns), [self.key]), base, changed)
                 except Conflict:
@@ -108,6 +114,84 @@ class Snapshots:
         finally:
             fresh.unpersist()
 
+    def delete(self, gone: DataFrame, tries: int = 5) -> int:
+        """Publishes the newest version without the keys in gone and returns how many rows they had; none had: no version."""
+        keys = shared.written(gone.select(self.key).where(F.col(self.key).isNotNull()).distinct(), "gone")
+        named = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())
+        for _ in range(tries):
+            base = self.current()
+            held = self.read(base, named)
+            hit = [tuple(r) for r in held.join(keys, self.key, "left_semi").groupBy(self._bucket().alias("bucket")).count().collect()]
+            if not hit:
+                return 0
+            changed = sorted(b for b, _ in hit)
+            try:
+                self.commit(self.read(base, changed).join(keys, self.key, "left_anti"), base, changed)
+                return sum(n for _, n in hit)
+            except Conflict:
+                continue
+        raise Conflict(f"no version after {tries} tries")
+
+    def clear(self, tries: int = 5) -> int:
+        """Publishes an empty version and returns how many rows the one before it had."""
+        for _ in range(tries):
+            base = self.current()
+            n = self.read(base).count()
+            try:
+                self._publish(base + 1, {})
+                return n
+            except Conflict:
+                continue
+        raise Conflict(f"no version after {tries} tries")
+
+
+class Library:
+    """Several tables under one path that change together: a version names the files of all of them.
+
+    A change writes the tables it names and publishes them at once, so a reader sees all of a
+    change or nothing of it, and a change that fails on the way leaves the version before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, str]], buckets: int = BUCKETS):
+        """tables: name -> (schema, key)."""
+        self.path = path.rstrip("/")
+        self.all = Snapshots(spark, self.path, "", buckets=buckets)
+        self.tables = {name: _Part(self.all, name, schema, key, buckets) for name, (schema, key) in tables.items()}
+
+    def current(self) -> int:
+        return self.all.current()
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.tables[name].read(version)
+
+    def change(self, tables: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], tries: int = 5) -> int:
+        """Publishes the tables that the function makes of the newest version's; after a conflict, of the version that came between."""
+        for _ in range(tries):
+            base = self.current()
+            files = self.all._files(base)
+            made = tables({name: part.read(base) for name, part in self.tables.items()})
+            for name, rows in made.items():
+                files = {k: v for k, v in files.items() if not k.startswith(f"{name}/")}
+                files |= {f"{name}/{b}": f for b, f in self.tables[name].written(rows, base).items()}
+            try:
+                self.all._publish(base + 1, files)
+                return base + 1
+            except Conflict:
+                continue
+        raise Conflict(f"no version after {tries} tries")
+
+
+class _Part(Snapshots):
+    """One table of a library: its files are those that the library's versions name under it."""
+
+    def __init__(self, whole: Snapshots, name: str, schema: str, key: str, buckets: int):
+        super().__init__(whole.spark, whole.path, schema, key, buckets)
+        self.whole, self.name = whole, name
+
+    def _files(self, version: int) -> dict[str, str]:
+        own = f"{self.name}/"
+        return {k[len(own) :]: v for k, v in self.whole._files(version).items() if k.startswith(own)}
+
 
 RECORD = "document_id string, filename string, filepath string, alt_filepaths array<string>, file_hash string, owner_id string, visibility string, status string, error_message string, title string, pages int"
 
@@ -162,7 +246,7 @@ def sweep(snapshots: Snapshots, listing: DataFrame, tries: int = 5) -> int:
         if not changed:
             return base
         try:
-            return snapshots.commit(M.present(held.where(snapshots._bucket().isin(changed)), listing), base, changed)
+            return snapshots.commit(M.present(snapshots.read(base, changed), listing), base, changed)
         except Conflict:
             continue
     raise Conflict(f"no version after {tries} tries")

@@ -322,3 +322,61 @@ def test_streamed_languages_are_those_of_the_functions(spark):
     got = rows.select("t", "want", T.question_language(F.col("t")).alias("found"), T.is_in_language(F.col("t"), F.col("want")).alias("passes")).collect()
     for r in got:
         assert (answers.language_of(r.t), answers.passes(r.t, r.want)) == (r.found, r.passes), (r.t, r.want)
+
+
+def test_places_in_one_order(spark):
+    rows = spark.createDataFrame([(k * 37 % 1000, "x" if k % 3 else None) for k in range(1000)] + [(None, "n")], "k int, own string").repartition(5)
+    got = sorted((r.place, -1 if r.k is None else r.k) for r in manifest.numbered(rows, "k").collect())
+    assert got == [(i + 1, k) for i, k in enumerate(range(-1, 1000))]
+    assert manifest.numbered(rows.limit(0), "k").count() == 0
+    same = manifest.numbered(spark.createDataFrame([(1,)] * 50, "k int"), "k", into="p")
+    assert same.columns == ["k", "p"] and sorted(r.p for r in same.collect()) == list(range(1, 51))
+
+
+def test_rows_deleted_by_key(spark, tmp_path):
+    from lexmere.streaming.indexing import Snapshots
+
+    kind = "document_id string, n long"
+    table = Snapshots(spark, str(tmp_path / "t"), kind, buckets=8)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "document_id string")
+    assert table.delete(keys("d1")) == 0 and table.clear() == 0
+    table.merge(spark.createDataFrame([(f"d{k}", k) for k in range(40)], kind))
+    base = table.current()
+    assert table.delete(keys("d1", "d1", "d2", "none", None)) == 2 and table.read().count() == 38
+    before, after = table._files(base), table._files(base + 1)
+    assert 0 < sum(before[b] != after.get(b) for b in before) <= 2
+    assert table.delete(keys("none")) == 0 and table.current() == base + 1
+    assert table.clear() == 38 and table.read().count() == 0 and table.read(base).count() == 40
+
+
+def test_tables_of_a_library_change_together(spark, tmp_path):
+    from lexmere.streaming.indexing import Conflict, Library
+
+    kinds = {"a": ("document_id string, n long", "document_id"), "b": ("id long, document_id string", "id")}
+    library = Library(spark, str(tmp_path / "l"), kinds, buckets=4)
+    a = spark.createDataFrame([(f"d{k}", k) for k in range(9)], kinds["a"][0])
+    b = spark.createDataFrame([(k, f"d{k % 9}") for k in range(30)], kinds["b"][0])
+    assert library.change(lambda held: {"a": a, "b": b}) == 1
+
+    def broken(held):
+        # the second table fails while it is written, when the first one's files are there
+        return {"a": held["a"].where("n > 5"), "b": held["b"].selectExpr("id", "raise_error('no') AS document_id")}
+
+    with pytest.raises(Exception, match="no"):
+        library.change(broken)
+    assert library.current() == 1 and library.read("a").count() == 9 and library.read("b").count() == 30
+
+    raced = []
+
+    def late(held):
+        if not raced:
+            raced.append(1)
+            Library(spark, str(tmp_path / "l"), kinds, buckets=4).change(lambda other: {"b": other["b"].where("id < 20")})
+        return {"a": held["a"].where("n <> 3"), "b": held["b"].where("document_id <> 'd3'")}
+
+    assert library.change(late) == 3
+    assert library.read("a").count() == 8 and library.read("b").count() == sum(k % 9 != 3 for k in range(20)) and library.read("b", 1).count() == 30
+    # a table that is not named stays
+    assert library.change(lambda held: {"a": held["a"].limit(0)}) == 4 and library.read("a").count() == 0 and library.read("b").count() == 18
+    with pytest.raises(Conflict):
+        library.change(lambda held: library.change(lambda other: {"a": other["a"]}) and {"a": held["a"]}, tries=1)
