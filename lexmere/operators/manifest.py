@@ -309,3 +309,21 @@ def numbered(rows: DataFrame, *order: Column | str, into: str = "place") -> Data
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return kept.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + inside).drop("_range", "_at", "_before")
+
+
+def settled(extracted: DataFrame, passages: DataFrame) -> DataFrame:
+    """What came of each extracted document (document_id, status, error_message): indexed with its number of passages, or unsupported where there are none; others stay as they are, with 0.
+
+    Passages of documents that were not extracted do not count.
+    """
+    counts = passages.groupBy("document_id").agg(F.count("*").alias("_n"))
+    joined = extracted.join(counts, "document_id", "left")
+    read = F.coalesce(F.col("status") == "extracted", F.lit(False))
+    empty = read & F.col("_n").isNull()
+    return joined.withColumns(
+        {
+            "chunks": F.when(read, F.coalesce("_n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")),
+            "error_message": F.when(empty, "no passages").otherwise(F.col("error_message")),
+            "status": F.when(empty, "unsupported").when(read, "indexed").otherwise(F.col("status")),
+        }
+    ).drop("_n")

@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.ids import hash_embedding, overlap_score
 from ..functions.text import estimate_tokens
+from ..sources import shared
 from . import rag
 from .access import Scope, readable
 from .chunking import CharTokens
@@ -139,7 +140,8 @@ class Models:
         """(key, status, language, n_sources, answer): hits that the scope may see are scored, packed and put to the model, where there is one and there are sources."""
         seen = hits.where(self.may_see(scope)) if scope is not None else hits
         scored = rag.rerank_or_search(seen, candidates, self.relevance(F.col("question"), F.col("text")), key)
-        sources = rag.source_rows(rag.relevant(scored, least), most, budget, key)
+        # states and prompts both need them: scored once, a few rows a question
+        sources = shared.written(rag.source_rows(rag.relevant(scored, least), most, budget, key), "sources")
         states = rag.answer_states(questions, sources, self.answer is not None, key)
         asked = states.join(questions.select(key, "question"), key)
         out = asked.join(rag.prompts(asked, sources, key), key, "left")

@@ -339,3 +339,19 @@ def rerank_or_search_order(spark, sf):
     """A question whose reranker fails on any hit keeps the search's order, without scores."""
     score = F.when(F.col("rank") % 5 != 4, ids.overlap_score(F.col("question"), F.col("text")))
     return rag.rerank_or_search(d.hits(spark, sf), 6, score).select("ask_id", "place", "document_id", "rerank")
+
+
+# some files failed; of the rest, every paragraph with a letter is a passage
+_PARTS = "CASE WHEN doc_id % 9 = 4 THEN '12 - 3' ELSE text END"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'failed' WHEN n = 0 THEN 'unsupported' ELSE 'indexed' END AS status, CASE WHEN doc_id % 17 = 0 THEN 'broken file' WHEN n = 0 THEN 'no passages' END AS error_message, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE n END AS chunks
+    FROM (SELECT doc_id, coalesce(len(list_filter(string_split({_PARTS}, chr(10)), lambda x: regexp_matches(x, '\\p{{L}}'))), 0) AS n FROM documents WHERE doc_id IS NOT NULL)"""
+)
+def extraction_outcomes(spark, sf):
+    t = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    failed = F.col("doc_id") % 17 == 0
+    extracted = t.select(F.col("doc_id").alias("document_id"), F.when(failed, "failed").otherwise("extracted").alias("status"), F.when(failed, "broken file").alias("error_message"))
+    passages = t.select(F.col("doc_id").alias("document_id"), F.explode(F.split(F.expr(_PARTS), "\n", -1)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    return manifest.settled(extracted, passages).select(F.col("document_id").alias("doc_id"), "status", "error_message", "chunks")

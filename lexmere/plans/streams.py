@@ -76,7 +76,7 @@ def run_progress(spark, sf):
     return run.snapshot()
 
 
-@query(d.with_(_SEEN) + f"SELECT 'uploads' AS run, 'stream' AS stage, {_COUNTED}, 1.0 AS progress FROM s")
+@query(d.with_(_SEEN) + f"SELECT 'uploads' AS run, 'stream' AS stage, {_COUNTED}, CAST(1.0 AS DOUBLE) AS progress FROM s")
 def run_progress_stream(spark, sf):
     return progress.observed_stream(_files(_stream(spark, sf, "documents")), "uploads").drop("current_file")
 

@@ -380,3 +380,10 @@ def test_tables_of_a_library_change_together(spark, tmp_path):
     assert library.change(lambda held: {"a": held["a"].limit(0)}) == 4 and library.read("a").count() == 0 and library.read("b").count() == 18
     with pytest.raises(Conflict):
         library.change(lambda held: library.change(lambda other: {"a": other["a"]}) and {"a": held["a"]}, tries=1)
+
+
+def test_documents_without_passages_are_told_apart(spark):
+    found = spark.createDataFrame([("a", "extracted", None), ("b", "extracted", None), ("c", "failed", "broken"), ("d", None, None), ("e", "unsupported", "old file")], "document_id string, status string, error_message string")
+    passages = spark.createDataFrame([("a",), ("a",), ("c",), ("x",), (None,)], "document_id string")
+    got = {r.document_id: (r.status, r.error_message, r.chunks) for r in manifest.settled(found, passages).collect()}
+    assert got == {"a": ("indexed", None, 2), "b": ("unsupported", "no passages", 0), "c": ("failed", "broken", 0), "d": (None, None, 0), "e": ("unsupported", "old file", 0)}
