@@ -79,3 +79,21 @@ def separability(results: DataFrame, score: str = "top_relevance") -> DataFrame:
     a, u = F.when(~F.col("unanswerable"), F.col(score)), F.when(F.col("unanswerable"), F.col(score))
     out = results.agg(F.min(a).alias("answerable_min"), F.median(a).alias("answerable_median"), F.max(u).alias("unanswerable_max"), F.median(u).alias("unanswerable_median"))
     return out.withColumn("separable", F.col("unanswerable_max") < F.col("answerable_min"))
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """An evaluation as JSON under a new path: `cases`, a line for each, written by the tasks that judged them, and `summary`, one line.
+
+    The summary is taken of the cases that were written. Nulls stay as fields; a report that is there is an error.
+    """
+    where = path.rstrip("/")
+    results.write.option("ignoreNullFields", "false").json(f"{where}/cases")
+    cases = results.sparkSession.read.schema(results.schema).json(f"{where}/cases")
+    answer_summary(cases).coalesce(1).write.option("ignoreNullFields", "false").json(f"{where}/summary")
+
+
+def read_report(results: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, summary) of a report of results with these columns."""
+    where = path.rstrip("/")
+    read = results.sparkSession.read
+    return read.schema(results.schema).json(f"{where}/cases"), read.schema(answer_summary(results).schema).json(f"{where}/summary")

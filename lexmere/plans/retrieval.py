@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import access, evaluation, rag, search
 from ..operators.access import Scope
+from ..sources import shared
 from . import derived as d
 from .catalog import query, table
 from .textual import question_sql
@@ -246,3 +247,17 @@ def passage_windows(spark, sf):
 def heading_fill(spark, sf):
     own = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
     return d.passages(spark, sf).select("vec_id", F.last(F.when(F.col("kind") == "heading", F.col("vec_id")), True).over(own).alias("heading"))
+
+
+@query(
+    d.with_(_ANSWERS)
+    + f"""SELECT item_id, cites AS cited, CASE WHEN {_PASSED} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM answers
+    UNION ALL SELECT NULL, NULL, round(avg(CASE WHEN {_PASSED} THEN 1.0 ELSE 0.0 END), 6) FROM answers"""
+)
+def eval_report(spark, sf):
+    """A report written and read again: its cases, and a row of the summary's share."""
+    results, path = _answers(spark, sf), shared.fresh(spark, "report")
+    evaluation.write_report(results, path)
+    cases, summary = evaluation.read_report(results, path)
+    shares = cases.select("item_id", (F.size("cited") > 0).alias("cited"), F.col("passed").cast("double").alias("passed"))
+    return shares.unionByName(summary.select("passed"), allowMissingColumns=True)

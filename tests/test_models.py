@@ -156,3 +156,23 @@ def test_requests_of_a_table(spark):
         elif q is not None:
             with pytest.raises(ValueError):
                 access.check_search(q, k)
+
+
+def test_a_report_is_what_was_judged(spark, tmp_path):
+    import json
+
+    from lexmere.operators import evaluation
+    from lexmere.plans import retrieval
+
+    results, path = retrieval._answers(spark, "/root/testdata/sf0.001"), f"file://{tmp_path}/report"
+    evaluation.write_report(results, path)
+    cases, summary = evaluation.read_report(results, path)
+    assert cases.exceptAll(results).count() == 0 and cases.count() == results.count()
+    assert summary.collect() == evaluation.answer_summary(results).collect()
+    lines = [json.loads(x) for f in (tmp_path / "report/cases").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(lines) == cases.count() and all(set(x) == set(results.columns) for x in lines)
+    with pytest.raises(Exception, match="(?i)exists"):
+        evaluation.write_report(results, path)
+    empty = results.limit(0)
+    evaluation.write_report(empty, path + "2")
+    assert [x.count() for x in evaluation.read_report(empty, path + "2")] == [0, 1]
