@@ -2,69 +2,83 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folder_name
+from ..sources import shared
 
 MOST_LEVELS = 20
 MOST_FOLDERS = 5000
 
 
-def _recursive(folders: DataFrame, text: str, **values: str) -> DataFrame:
-    """A recursive query over a view of the folders (folder_id, parent_id, name)."""
-    spark, view = folders.sparkSession, f"folders_{uuid.uuid4().hex}"
-    folders.select("folder_id", "parent_id", "name").createOrReplaceTempView(view)
-    return spark.sql(text.format(folders=view, levels=MOST_LEVELS), args=values or None)
+def _levels(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: int) -> DataFrame:
+    """The rows of the first level, what a step (of a level's rows, the next one's number) makes of them, and so on: until none are left, or for `most` levels.
+
+    Each level is written once, so a level is one join whatever the number of folders; a
+    recursive query ends with an error at the session's limit of rows.
+    """
+    spark, path = first.sparkSession, shared.fresh(first.sparkSession, "levels")
+    held, found = first, []
+    while len(found) < most:
+        own = f"{path}/{len(found)}"
+        held.write.parquet(own)
+        level = spark.read.schema(first.schema).parquet(own)
+        found.append(own)
+        if level.isEmpty():
+            break
+        held = step(level, len(found))
+    return spark.read.schema(first.schema).parquet(*found)
 
 
 def paths(folders: DataFrame) -> DataFrame:
     """(folder_id, parent_id, name, depth, path) for every folder below the roots."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t(folder_id, parent_id, name, depth, path) AS (
-            SELECT folder_id, parent_id, name, 1, CONCAT('/', name) FROM {folders} WHERE parent_id IS NULL
-            UNION ALL SELECT f.folder_id, f.parent_id, f.name, t.depth + 1, CONCAT(t.path, '/', f.name)
-            FROM {folders} f JOIN t ON f.parent_id = t.folder_id WHERE t.depth < {levels}
-        ) SELECT * FROM t""",
-    )
+    own = folders.select("folder_id", "parent_id", "name")
+
+    def below(level: DataFrame, n: int) -> DataFrame:
+        above = level.select(F.col("folder_id").alias("parent_id"), F.col("path").alias("_path"))
+        return own.join(above, "parent_id").select("folder_id", "parent_id", "name", F.lit(n + 1).alias("depth"), F.concat("_path", F.lit("/"), "name").alias("path"))
+
+    roots = own.where("parent_id IS NULL").select("folder_id", "parent_id", "name", F.lit(1).alias("depth"), F.concat(F.lit("/"), "name").alias("path"))
+    return _levels(roots, below, MOST_LEVELS)
 
 
 def subtree(folders: DataFrame, root: str) -> DataFrame:
     """(folder_id, level) of a folder and all below it."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t(folder_id, level) AS (
-            SELECT folder_id, 0 FROM {folders} WHERE folder_id = :root
-            UNION ALL SELECT f.folder_id, t.level + 1 FROM {folders} f JOIN t ON f.parent_id = t.folder_id WHERE t.level < {levels}
-        ) SELECT * FROM t""",
-        root=root,
-    )
+    own = folders.select("folder_id", "parent_id")
+
+    def below(level: DataFrame, n: int) -> DataFrame:
+        return own.join(level.select(F.col("folder_id").alias("parent_id")), "parent_id").select("folder_id", F.lit(n).alias("level"))
+
+    return _levels(own.where(F.col("folder_id") == root).select("folder_id", F.lit(0).alias("level")), below, MOST_LEVELS + 1)
 
 
 def ancestors(folders: DataFrame, leaf: str) -> DataFrame:
     """(folder_id, name, level) from a folder up to its root."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t(folder_id, parent_id, name, level) AS (
-            SELECT folder_id, parent_id, name, 0 FROM {folders} WHERE folder_id = :leaf
-            UNION ALL SELECT f.folder_id, f.parent_id, f.name, t.level + 1 FROM {folders} f JOIN t ON f.folder_id = t.parent_id WHERE t.level < {levels}
-        ) SELECT folder_id, name, level FROM t""",
-        leaf=leaf,
-    )
+    own = folders.select("folder_id", "parent_id", "name")
+
+    def above(level: DataFrame, n: int) -> DataFrame:
+        return own.join(level.select(F.col("parent_id").alias("folder_id")), "folder_id").select("folder_id", "parent_id", "name", F.lit(n).alias("level"))
+
+    first = own.where(F.col("folder_id") == leaf).withColumn("level", F.lit(0))
+    return _levels(first, above, MOST_LEVELS + 1).select("folder_id", "name", "level")
 
 
 def heights(folders: DataFrame) -> DataFrame:
-    """(folder_id, height): 1 for a folder without folders in it."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t(top, folder_id, level) AS (
-            SELECT folder_id, folder_id, 1 FROM {folders}
-            UNION ALL SELECT t.top, f.folder_id, t.level + 1 FROM {folders} f JOIN t ON f.parent_id = t.folder_id WHERE t.level < {levels}
-        ) SELECT top AS folder_id, MAX(level) AS height FROM t GROUP BY top""",
-    )
+    """(folder_id, height): 1 for a folder without folders in it.
+
+    Folders of a height of at least k + 1 are the parents of those of at least k, so each
+    level has fewer rows than the one before, and no pairs of a folder and one below it.
+    """
+    own = folders.select("folder_id", "parent_id")
+
+    def above(level: DataFrame, n: int) -> DataFrame:
+        return own.join(level.select(F.col("parent_id").alias("folder_id")), "folder_id", "left_semi").withColumn("height", F.lit(n + 1))
+
+    found = _levels(own.withColumn("height", F.lit(1)), above, MOST_LEVELS)
+    return found.groupBy("folder_id").agg(F.max("height").alias("height"))
 
 
 def counted(folders: DataFrame, files: DataFrame) -> DataFrame:
