@@ -144,9 +144,10 @@ def create(folders: DataFrame, folder_id: str, parent: str | None, name: str, mo
 def move(folders: DataFrame, moved: str, to: str | None) -> DataFrame:
     """The folders after a move: no cycle, no more than MOST_LEVELS, a taken name gets a number."""
     if to is not None:
-        if subtree(folders, moved).where(F.col("folder_id") == to).limit(1).count():
+        below = subtree(folders, moved)
+        if below.where(F.col("folder_id") == to).limit(1).count():
             raise ValueError("a folder cannot move into itself")
-        height = heights(folders).where(F.col("folder_id") == moved).first()["height"]
+        height = below.agg(F.max("level")).first()[0] + 1
         if ancestors(folders, to).count() + height > MOST_LEVELS:
             raise ValueError("too deep")
     name = folders.where(F.col("folder_id") == moved).first()["name"]
