@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 from .access import Scope, matching, readable, searchable
-from .search import QUERY_ROWS
+from .search import QUERY_ROWS, Best
 
 LISTS = 64
 MOST_LISTS = 4096
 #: lists that a query reads first
 PROBES = 2
 STEPS = 2
-BATCH = 4096
+#: distances held at once
+DISTANCES = 1 << 20
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -37,9 +38,11 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, the first of equals, and the distance."""
-    square = (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)
-    near = square.argmin(1)
+    """The nearest centroid of each row, the first of equals, and the distance; in blocks of rows, as there may be many centroids."""
+    near, own, step = np.zeros(len(x), np.int64), (centroids * centroids).sum(1), max(1, DISTANCES // len(centroids))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        near[a : a + step] = ((part * part).sum(1)[:, None] - 2 * part @ centroids.T + own).argmin(1)
     return near, np.linalg.norm(x - centroids[near], axis=1)
 
 
@@ -107,23 +110,15 @@ def build(passages: DataFrame, lists: int = LISTS, path: str | None = None) -> I
 def _scored(index: Index, wanted: dict[int, np.ndarray], ids: list, q: np.ndarray, allowed: DataFrame, k: int, digits: int) -> DataFrame:
     """(query_id, document_id, chunk_index, score): each query's k best of a batch, in the lists that it wants."""
     dimension = q.shape[1]
-    names = ["query_id", "document_id", "chunk_index", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(q, k, digits)
         for batch in batches:
-            of = batch.column(3).to_numpy()
-            x = _matrix(batch.column(2), dimension)
-            best: dict[int, list[tuple[float, int]]] = {}
-            for list_ in np.unique(of).tolist():
-                rows, asking = np.flatnonzero(of == list_), wanted[list_]
-                for n, own in zip(asking.tolist(), np.round(q[asking] @ x[rows].T, digits)):
-                    near = np.argsort(-own, kind="stable") if len(own) <= k else np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-                    best.setdefault(n, []).extend(zip(own[near].tolist(), rows[near].tolist()))
-            found = [(n, score, row) for n, own in best.items() for score, row in own]
-            if found:
-                n, score, row = zip(*found)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in n], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(score)], names=names)
+            batch = batch.sort_by([("list", "ascending"), ("document_id", "ascending"), ("chunk_index", "ascending")])
+            of, x = batch.column(3).to_numpy(), _matrix(batch.column(2), dimension)
+            for list_, first, n in zip(*(v.tolist() for v in np.unique(of, return_index=True, return_counts=True))):
+                best.meet(wanted[list_], x[first : first + n], batch.column(0).slice(first, n), batch.column(1).slice(first, n))
+        yield from best.batches(pa.array(ids, pa.int64()))
 
     kinds = dict(allowed.dtypes)
     scan = allowed.where(F.col("list").isin(sorted(wanted))).select("document_id", "chunk_index", "embedding", "list")
