@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,15 +49,26 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """A vector of unit length."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
+
+    def divided(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+        return _once(norm, lambda n: F.transform(v, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12))))
+
+    return _once(v, divided)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value named, as the one element of an array, so that it is computed once and not at every place of use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def hash_embedding(text: Column, dimension: int) -> Column:
     """A deterministic stand-in for a model: repeated digest bytes, of unit length."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    return normalised(raw)
+
+    def bytes_of(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+
+    return normalised(_once(F.sha2(text, 256), bytes_of))
 
 
 def overlap_score(query: Column, text: Column) -> Column:
