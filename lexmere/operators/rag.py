@@ -13,9 +13,9 @@ LANGUAGE_NAMES = {"en": "English", "ko": "Korean", "zh-Hans": "Simplified Chines
 
 
 def distinct_hits(hits: DataFrame, key: str = "ask_id") -> DataFrame:
-    """The first of hits with equal text, by search rank."""
-    order = Window.partitionBy(key, passage_key(F.col("text"))).orderBy("rank")
-    return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The first of hits with equal text, by search rank; texts are told apart by their digests, so that a sort holds no second copy of them."""
+    order = Window.partitionBy(key, "_text").orderBy("rank")
+    return hits.withColumn("_text", F.unhex(F.sha2(passage_key(F.col("text")), 256))).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_text")
 
 
 def rerank(hits: DataFrame, candidates: int, score: Column | None = None, key: str = "ask_id") -> DataFrame:
