@@ -16,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.ids import hash_embedding, overlap_score
@@ -67,11 +66,12 @@ def _pieces(path: str):
 def piece_count(text: Column, path: str) -> Column:
     """How many tokens a SentencePiece model has for a text; null for null. The path is one that every executor can read."""
 
-    def counted(texts: pd.Series) -> pd.Series:
+    def counted(texts: pa.Array) -> pa.Array:
         model = _pieces(path)
-        return pd.Series([None if t is None else len(model.encode(t, num_threads=1)) for t in texts], dtype="Int64")
+        slices = (texts.slice(a, SLICE).to_pylist() for a in range(0, len(texts), SLICE))
+        return pa.array([None if t is None else len(model.encode(t, num_threads=1)) for own in slices for t in own], pa.int64())
 
-    return pandas_udf(counted, "long")(text)
+    return F.arrow_udf(counted, "long")(text)
 
 
 def embedded(rows: DataFrame, load: Callable[[], Embed], dimension: int, text_col: str = "text", size: int = SLICE, into: str = "embedding") -> DataFrame:
