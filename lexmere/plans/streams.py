@@ -13,13 +13,19 @@ from .catalog import ORACLE_SQL, query, table
 _DAY = 86_400
 
 
-def _stream(spark, sf, name):
+def _stream(spark, sf, name, **limits):
     # a pattern, so that a file and a folder of files read alike
-    return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/{name}.parquet*")
+    return spark.readStream.schema(table(spark, sf, name).schema).options(**limits).parquet(f"{sf}/{name}.parquet*")
+
+
+def _timed(spark, sf):
+    # a table's files are not cut by time: what a second batch brings would be late or out of order, so one batch takes them all
+    return _stream(spark, sf, "events")
 
 
 def _updates(spark, sf):
-    return stateful.drained(stateful.session_updates(_stream(spark, sf, "events"), _DAY, 10 * _DAY, 3600), "sessions").where("event_id IS NOT NULL")
+    # a timer's row repeats its session as it stands and touches nothing, so it can stay; an event may have no id
+    return stateful.drained(stateful.session_updates(_timed(spark, sf), _DAY, 10 * _DAY, 3600), "sessions")
 
 
 @query(ORACLE_SQL["session_idle"].replace("user_id, session, events FROM s", "user_id, session, events, started, last_seen FROM s"))
@@ -45,7 +51,7 @@ def session_stream_touches(spark, sf):
     FROM (SELECT event_id, user_id, ts, count(*) OVER w AS n, min(ts) OVER w AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW))"""
 )
 def throttle_stream(spark, sf):
-    return stateful.drained(stateful.throttle(_stream(spark, sf, "events"), 5, _DAY), "throttle").select("event_id", "user_id", "in_window", "allowed", "retry_after")
+    return stateful.drained(stateful.throttle(_timed(spark, sf), 5, _DAY), "throttle").select("event_id", "user_id", "in_window", "allowed", "retry_after")
 
 
 _STATE = "CASE WHEN n_chars < 20 THEN 'unsupported' WHEN doc_id % 17 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'skipped' ELSE 'indexed' END"
@@ -78,13 +84,13 @@ def run_progress(spark, sf):
 
 @query(d.with_(_SEEN) + f"SELECT 'uploads' AS run, 'stream' AS stage, {_COUNTED}, CAST(1.0 AS DOUBLE) AS progress FROM s")
 def run_progress_stream(spark, sf):
-    return progress.observed_stream(_files(_stream(spark, sf, "documents")), "uploads").drop("current_file")
+    return progress.observed_stream(_files(_stream(spark, sf, "documents", maxFilesPerTrigger=64)), "uploads").drop("current_file")
 
 
 @query("SELECT DISTINCT user_id, event_type, CAST(floor(value / 10) AS BIGINT) AS step FROM events")
 def change_stream(spark, sf):
     """Statuses are polled again and again; a change is a key that was not there before."""
-    polled = _stream(spark, sf, "events").select("user_id", "event_type", F.floor(F.col("value") / 10).alias("step"), "ts")
+    polled = _stream(spark, sf, "events", maxFilesPerTrigger=64).select("user_id", "event_type", F.floor(F.col("value") / 10).alias("step"), "ts")
     found = stateful.changes(polled, ["user_id", "event_type", "step"], late="36500 days")
     return stateful.drained(found, "changes").select("user_id", "event_type", "step")
 
