@@ -7,10 +7,12 @@
    meeting of prints only keeps a document that the next steps then tell apart.)
 2. Which of the others can meet: two linked sets of at most r shingles differ in at most
    k = 2r(1-t)/(1+t) of them. The hash range is cut in more than k + 1 parts, so
-   some part agrees exactly; its signature is a key. Sets meet only in keys, and
-   a key's sets are tied to one of them, so a group of m sets gives m - 1 pairs.
-   A set with too many empty parts for this argument adds their keys too. Keys
-   travel sorted and packed, one row for a task and a range of keys.
+   some g parts agree exactly; a part's signature is a key. A set leaves out its
+   g - 1 weakest parts, those of fewest shingles, by an order of the signatures alone:
+   the strongest part that two linked sets agree in is left out by neither. Sets
+   meet only in keys, and a key's sets are tied to one of them, so a group of m sets
+   gives m - 1 pairs. A set with g empty parts or more adds their keys, too, and
+   leaves out none. Keys travel sorted and packed, one row for a task and a range of keys.
 3. The ties' connected components bound the join: linked sets share one. They
    are dealt into blocks of bounded size. A component above the bound is cut in
    pieces that are joined each by itself; then all that is not in the largest part
@@ -115,26 +117,35 @@ class Levels:
     def shape(self, i: int) -> tuple[int, int]:
         """(differences, parts) of a level."""
         k = 2 * (100 - self.percent) * self.at(i) // (100 + self.percent)
-        return k, k + 1 + -(-(k + 1) // 20)
+        return k, k + 1 + -(-(k + 1) // 4)
+
+    def agreed(self, n: int, i: int) -> int:
+        """In how many parts of level i a set of n shingles agrees with any that it links with there, at least."""
+        k, parts = self.shape(i)
+        most = min(self.at(i), 100 * n // self.percent)  # the size of such a set
+        return parts - min(k, (100 - self.percent) * (n + most) // (100 + self.percent))
 
 
 def signatures(own: np.ndarray, weight: np.ndarray, levels: Levels, known: dict[int, int]) -> list[np.ndarray]:
-    """The keys of a set in its own level and the next."""
+    """The keys of a set in its own level and, if a set there can link with it, the next."""
     n = len(own)
     if n not in known:
         known[n] = levels.of(n)
     out = []
     for i in (known[n], known[n] + 1):
         k, parts = levels.shape(i)
-        if not k:
+        if not k or (i > known[n] and 100 * n // levels.percent <= levels.at(known[n])):
             continue
         part = ((own >> U(32)) * U(parts)) >> U(32)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         name = (U(i) << U(40)) | part[begin]
-        out.append(mix(np.add.reduceat(weight, begin) ^ mix(name ^ SALT_P)))
-        if parts - len(begin) >= parts - k:
+        key = mix(np.add.reduceat(weight, begin) ^ mix(name ^ SALT_P))
+        weak = levels.agreed(n, i) - 1 - (parts - len(begin))
+        if weak < 0:
             none = np.setdiff1d(np.arange(parts, dtype=U), part[begin])
-            out.append(mix(mix(((U(i) << U(40)) | none) ^ SALT_P)))
+            out += [key, mix(mix(((U(i) << U(40)) | none) ^ SALT_P))]
+        else:
+            out.append(key[np.lexsort((key, np.diff(begin, append=n)))[weak:]])
     return out
 
 
