@@ -13,7 +13,8 @@ like the target.
 A task's texts make chunks of a bounded size; words become ids of a chunk's own list of
 words, written once. A chunk sends its distinct words, and then its distinct bigrams,
 with their counts, packed, to ranges; a range adds them up over all chunks and sends
-every chunk the sums of its own, from which the chunk takes the losses. What travels
+every chunk the sums of its own, from which the chunk takes the losses. There are as many
+ranges as the words need, so that none is sent more than a bounded number of keys. What travels
 grows with the text, less than in proportion while chunks are small, and is never at
 one place; only the numbers of words reach the driver. Words and bigrams are told
 apart by 64 hash bits.
@@ -44,6 +45,8 @@ OPEN = np.uint64(0)
 MIXTURE = 0.7
 #: a task's texts are scanned in slices of a quarter of this, which make chunks; a longer text is one by itself
 CHUNK_BYTES = 8 << 20
+#: keys that all chunks together send to one range, some 100 bytes of its task each
+RANGE_KEYS = 4_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -62,7 +65,7 @@ def _unpacked(blob, *kinds: str) -> list[np.ndarray]:
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, docs, words, ids): up to chunk_bytes of a task's documents as ids; docs holds each one's id, presence, target mark and words, words the sorted hashes that ids count, OPEN first."""
+    """(chunk, docs, words, ids, names, n): up to chunk_bytes of a task's documents as ids; docs holds each one's id, presence, target mark and words, words the sorted hashes that ids count, OPEN first. names and n are the numbers of words and of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, size = TaskContext.get().partitionId(), 0, 0
@@ -75,7 +78,8 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             blobs = [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate([h for h, _, _ in held]), words.astype("<u8"), ids)]
             held.clear()
             at, size = at + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), *blobs], names=["chunk", "docs", "words", "ids"])
+            counts = [pa.array([len(x)], pa.int64()) for x in (words, ids)]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), *blobs, *counts], names=["chunk", "docs", "words", "ids", "names", "n"])
 
         for batch in batches:
             for own in slices(batch, "text", max(1, chunk_bytes // 4)):
@@ -91,7 +95,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield chunk()
 
-    return scratch.table(docs.mapInArrow(run, "chunk long, docs binary, words binary, ids binary"), "chunks")
+    return scratch.table(docs.mapInArrow(run, "chunk long, docs binary, words binary, ids binary, names long, n long"), "chunks")
 
 
 def _bigrams(docs, words, ids) -> tuple[np.ndarray, ...]:
@@ -159,12 +163,13 @@ def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: np.nda
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, is_target, score. targets: a column of ids named id_col."""
     own = docs.select(F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text"))
-    ranges = max(8, own.rdd.getNumPartitions())
     names = targets.select(F.col(named(id_col)).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     names = scratch.table(names, "targets")
     if names.count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
     chunks = _chunks(own.join(names, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), chunk_bytes)
+    word_ranges, pair_ranges = (max(8, -(-(n or 0) // RANGE_KEYS)) for n in chunks.agg(F.sum("names"), F.sum("n")).first())
+    chunks = chunks.drop("names", "n")
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +177,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
                 _, name, _, target, before, now = _bigrams(*(x.as_buffer() for x in blobs))
                 if len(now):
                     counts = [np.bincount(x, minlength=len(name)) for x in (now[target], now[~target], before[target], before[~target])]
-                    yield _sent(chunk, name, counts, ranges)
+                    yield _sent(chunk, name, counts, word_ranges)
 
     def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +186,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
                 if len(now):
                     found, at = _distinct(name, before, now)
                     counts = [np.bincount(at[own], minlength=len(found)) for own in (target, ~target)]
-                    yield _sent(chunk, found, counts, ranges)
+                    yield _sent(chunk, found, counts, pair_ranges)
 
     def added(sent, counts: int) -> DataFrame:
         rows = chunks.mapInArrow(sent, "chunk long, range int, blob binary")
